@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality_rules import op5_quality_rules
 from .url_filter import op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op5_quality_rules": op5_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
