@@ -25,14 +25,14 @@ from . import text as tx
 from .labelled import sample_labelled
 from .tables import read
 
-WORD_BUCKETS = 1 << 12
-CHAR_BUCKETS = 1 << 12
+BUCKET_BITS = 11
+WORD_BUCKETS = CHAR_BUCKETS = 1 << BUCKET_BITS
 CHAR_ORDERS = (3, 4)
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 KEEP_FROM = 0.5
 #: Bound on the labelled rows of each class that the fit uses.
-ROWS_PER_CLASS = 800
+ROWS_PER_CLASS = 500
 
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -74,7 +74,7 @@ def hashed(block: tx.Block, codes: np.ndarray, edges: tuple[np.ndarray, np.ndarr
     """Feature groups: offset of the group's buckets, bucket of every item, and each text's run of items."""
     first, last = edges
     yield 0, (codes % tx.U64(WORD_BUCKETS)).astype(np.int64), first, last
-    pairs = (codes[:-1] * tx.U64(0x9E3779B97F4A7C15) + codes[1:]) >> tx.U64(64 - 12)
+    pairs = (codes[:-1] * tx.U64(0x9E3779B97F4A7C15) + codes[1:]) >> tx.U64(64 - BUCKET_BITS)
     yield WORD_BUCKETS, pairs.astype(np.int64), np.minimum(first, len(pairs)), np.maximum(np.minimum(first, len(pairs)), last - 1)
     raw = block.buf.astype(np.uint32)
     for at, n in enumerate(CHAR_ORDERS):
@@ -83,7 +83,7 @@ def hashed(block: tx.Block, codes: np.ndarray, edges: tuple[np.ndarray, np.ndarr
         for k in range(n):
             gram |= raw[k : k + m] << np.uint32(8 * k)
         start = np.minimum(block.start, m)
-        yield 2 * WORD_BUCKETS + at * CHAR_BUCKETS, ((gram * np.uint32(2654435761)) >> np.uint32(32 - 12)).astype(np.int64), start, np.maximum(start, np.minimum(m, block.end - n + 1))
+        yield 2 * WORD_BUCKETS + at * CHAR_BUCKETS, ((gram * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64), start, np.maximum(start, np.minimum(m, block.end - n + 1))
 
 
 N_FEATURES = 2 * WORD_BUCKETS + len(CHAR_ORDERS) * CHAR_BUCKETS
@@ -125,7 +125,7 @@ class RulesModel:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Full-batch Adam on features scaled by their root mean square; weights are for the raw features."""
-    scale = 1 / (np.sqrt((x * x).mean(axis=0)) + 1e-4)
+    scale = (1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4)).astype(np.float32)
     x = x * scale
     w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
     m = v = np.zeros(x.shape[1] + 1)
