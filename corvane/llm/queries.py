@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .quality_rules import op5_quality_rules
 from .fingerprints import op10_order_minhash
+from .minhash import op6_minhash
 from .packing import op3_packing
 from .quality_classifier import op7_quality_classifier
 from .url_filter import op1_url_filter
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_minhash": op6_minhash,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_order_minhash": op10_order_minhash,
 }
