@@ -11,10 +11,12 @@ from .fingerprints import op10_order_minhash
 from .minhash import op6_minhash
 from .packing import op3_packing
 from .quality_classifier import op7_quality_classifier
+from .substring import op2_substring_dedup
 from .url_filter import op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash": op6_minhash,
