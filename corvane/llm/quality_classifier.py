@@ -206,3 +206,16 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     model = train(documents, read(spark, sf_dir, "labels"), ~held_out())
     return score_quality(documents, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
+
+
+def good_documents(documents: DataFrame, model: QualityModel, threshold: float = PREDICT_FROM) -> DataFrame:
+    """The rows that score at least the threshold, with all their columns; nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            for block in tx.blocks(one["text"]):
+                good = shared.value.score(pooled(shared.value.vectors, block)) >= threshold
+                yield one.slice(int(block.index[0]), len(block.index)).filter(pa.array(good))
+
+    return documents.mapInArrow(choose, documents.schema)

@@ -198,3 +198,19 @@ def score_quality_rules(documents: DataFrame, model: RulesModel, threshold: floa
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return score_quality_rules(documents, train(documents, read(spark, sf_dir, "labels")))
+
+
+def good_documents(documents: DataFrame, model: RulesModel, threshold: float = KEEP_FROM) -> DataFrame:
+    """The rows that the rules keep, with all their columns; nothing is shuffled."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            for block in tx.blocks(one["text"]):
+                codes, edges = block_words(block)
+                out = base_counts(block, codes, edges)
+                failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED_PERCENT * out["n_words"])
+                good = ~failed & (shared.value.probability(block, codes, edges) >= threshold)
+                yield one.slice(int(block.index[0]), len(block.index)).filter(pa.array(good))
+
+    return documents.mapInArrow(choose, documents.schema)

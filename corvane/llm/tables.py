@@ -12,15 +12,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's shared checkpoint folder and read them from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; a
-    temporary one is set only where none is named, as in tests.
+    A temporary one is set only where none is named, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write the rows to the cluster's shared checkpoint folder and read them from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
