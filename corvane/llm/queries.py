@@ -10,6 +10,7 @@ from .quality_rules import op5_quality_rules
 from .fingerprints import op10_order_minhash
 from .minhash import op6_minhash
 from .packing import op3_packing
+from .pieces import op9_pieces
 from .quality_classifier import op7_quality_classifier
 from .substring import op2_substring_dedup
 from .url_filter import op1_url_filter
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash": op6_minhash,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_pieces": op9_pieces,
     "op10_order_minhash": op10_order_minhash,
 }
 
