@@ -12,6 +12,7 @@ from .minhash import op6_minhash
 from .packing import op3_packing
 from .pieces import op9_pieces
 from .quality_classifier import op7_quality_classifier
+from .suffixes import op8_suffix_dedup
 from .substring import op2_substring_dedup
 from .url_filter import op1_url_filter
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash": op6_minhash,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_pieces": op9_pieces,
     "op10_order_minhash": op10_order_minhash,
 }
