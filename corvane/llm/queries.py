@@ -12,6 +12,7 @@ from .minhash import op6_minhash
 from .packing import op3_packing
 from .pieces import op9_pieces
 from .quality_classifier import op7_quality_classifier
+from .suffix_tree import op4_suffix_tree
 from .suffixes import op8_suffix_dedup
 from .substring import op2_substring_dedup
 from .url_filter import op1_url_filter
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash": op6_minhash,
     "op7_quality_classifier": op7_quality_classifier,
