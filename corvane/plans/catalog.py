@@ -1,10 +1,6 @@
-"""All queries over the reference tables with their SQL, by name."""
+"""All queries over the driver's tables with their SQL, by name."""
 
-from __future__ import annotations
+from . import corpus_queries, edge_queries, log_queries, vector_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
