@@ -49,11 +49,12 @@ def queue_status(queue: DataFrame, log: DataFrame) -> DataFrame:
 
 # --- trajectories --------------------------------------------------------
 
-BY_SEQ = Window.partitionBy("id").orderBy("seq")
+def by_seq():
+    return Window.partitionBy("id").orderBy("seq")
 
 
 def with_previous(log: DataFrame) -> DataFrame:
-    return log.withColumn("previous", F.lag("vector").over(BY_SEQ))
+    return log.withColumn("previous", F.lag("vector").over(by_seq()))
 
 
 def finite_difference(log: DataFrame) -> DataFrame:
@@ -76,3 +77,11 @@ def ortho_distance(spectrum: DataFrame, norms: DataFrame, gram: DataFrame, keys:
 
 def discrimination_ratio(ortho, k_cin):
     return F.when(k_cin < 1e-12, ortho / 1e-12).otherwise(ortho / k_cin)
+
+
+def upgrade_log(log: DataFrame) -> DataFrame:
+    """Columns that older layouts lack, with their defaults."""
+    if "seq" not in log.columns:
+        log = log.withColumn("seq", F.lit(1).cast("long"))
+    epoch = F.lit("EPOCH_V1")
+    return log.withColumn("epoch", F.coalesce("epoch", epoch) if "epoch" in log.columns else epoch)

@@ -68,7 +68,7 @@ def _(spark, d):
     return manual.unionByName(logged(spark, d).select("id", "state"))
 
 
-@query("e6_calibrate_epsilon", PAIRS + "SELECT round(dist, 6) AS epsilon FROM (SELECT dist, row_number() OVER (ORDER BY dist) - 1 AS r, count(*) OVER () AS n FROM pairs) WHERE r = least(greatest(1, (0.05 * n)::DOUBLE // 1), n - 1)")
+@query("e6_calibrate_epsilon", PAIRS + "SELECT round(dist, 6) AS epsilon FROM (SELECT dist, row_number() OVER (ORDER BY dist) - 1 AS r, count(*) OVER () AS n FROM pairs) WHERE r = least(greatest(1, floor(0.05 * n)::BIGINT), n - 1)")
 def _(spark, d):
     return spark.createDataFrame([(round(E.calibrate_epsilon(I.points(spark, d)), 6),)], "epsilon double")
 
@@ -79,7 +79,7 @@ def _(spark, d):
     return graph(spark, d, 1.2).agg(F.count("*").alias("e")).crossJoin(F.broadcast(n)).select(F.round(E.density(F.col("e"), F.col("n")), 9).alias("density"))
 
 
-@query("e8_edge_jaccard", LOGGED + "SELECT x, y, round(both / (nx + ny - both), 9) AS jaccard FROM (SELECT 'e110' AS x, 'e115' AS y, (SELECT count(*) FROM e110) AS nx, (SELECT count(*) FROM e115) AS ny, (SELECT count(*) FROM e110 JOIN e115 USING (id)) AS both UNION ALL SELECT 'e110', 'e120', (SELECT count(*) FROM e110), (SELECT count(*) FROM e120), (SELECT count(*) FROM e110 JOIN e120 USING (id)) UNION ALL SELECT 'e115', 'e120', (SELECT count(*) FROM e115), (SELECT count(*) FROM e120), (SELECT count(*) FROM e115 JOIN e120 USING (id)))")
+@query("e8_edge_jaccard", LOGGED + "SELECT x, y, round(shared / (nx + ny - shared), 9) AS jaccard FROM (SELECT 'e110' AS x, 'e115' AS y, (SELECT count(*) FROM e110) AS nx, (SELECT count(*) FROM e115) AS ny, (SELECT count(*) FROM e110 JOIN e115 USING (id)) AS shared UNION ALL SELECT 'e110', 'e120', (SELECT count(*) FROM e110), (SELECT count(*) FROM e120), (SELECT count(*) FROM e110 JOIN e120 USING (id)) UNION ALL SELECT 'e115', 'e120', (SELECT count(*) FROM e115), (SELECT count(*) FROM e120), (SELECT count(*) FROM e115 JOIN e120 USING (id)))")
 def _(spark, d):
     sets = None
     for name, eps in (("e110", 1.1), ("e115", 1.15), ("e120", 1.2)):

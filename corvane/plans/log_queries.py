@@ -1,0 +1,185 @@
+"""Queries of the revision log, the queue, and proposal screening."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import revisions as R
+from ..operators import screening as S
+from ..operators import vectors as O
+from . import inputs as I
+from .inputs import LOG_SQL as W
+from .registry import query
+
+
+@query("r1_assign_seq", W + "SELECT 'NODE_' || user_id AS id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) + coalesce((SELECT max(seq) FROM nlog n WHERE n.id = 'NODE_' || e.user_id AND event_id % 2 = 0), 0) AS seq FROM events e WHERE FALSE UNION ALL SELECT id, event_id, (n + coalesce(top, 0))::BIGINT FROM (SELECT 'NODE_' || user_id AS id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = 'error') LEFT JOIN (SELECT id, max(seq) AS top FROM nlog WHERE state <> 'telemetry_error' GROUP BY 1) USING (id)")
+def _(spark, d):
+    new = I.table(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("NODE_"), F.col("user_id").cast("string")).alias("id"), "event_id")
+    return R.assign_seq(new, I.node_log(spark, d).where("state <> 'telemetry_error'"), ["event_id"])
+
+
+@query("r2_current_nodes", W + "SELECT id, seq, state FROM last WHERE state <> 'telemetry_error'")
+def _(spark, d):
+    return R.current_nodes(I.node_log(spark, d).select("id", "seq", "state"))
+
+
+@query("r3_current_vectors", "SELECT 'VEC_' || label AS id, count(*) AS seq, round(arg_max(embedding[1]::DOUBLE, vec_id), 6) AS first FROM embeddings GROUP BY label")
+def _(spark, d):
+    log = I.raw_vectors(spark, d).join(I.vec_log(spark, d).select("id", "seq", "vec_id"), "vec_id")
+    return R.latest(log.select("id", "seq", "vector")).select("id", "seq", F.round(F.col("vector")[0], 6).alias("first"))
+
+
+@query("r4_telemetry_errors", W + "SELECT id, seq, event_id FROM last WHERE state = 'telemetry_error'")
+def _(spark, d):
+    return R.telemetry_errors(I.node_log(spark, d)).orderBy(F.desc("ts")).select("id", "seq", "event_id")
+
+
+@query("r5_node_exists", W + "SELECT user_id + 50 AS user_id, 'NODE_' || (user_id + 50) IN (SELECT id FROM nlog) AS there FROM (SELECT DISTINCT user_id FROM events)")
+def _(spark, d):
+    asked = I.table(spark, d, "events").select((F.col("user_id") + 50).alias("user_id")).distinct().withColumn("id", F.concat(F.lit("NODE_"), F.col("user_id").cast("string")))
+    known = I.node_log(spark, d).select("id", F.lit(True).alias("hit")).distinct()
+    return asked.join(known, "id", "left").select("user_id", F.coalesce("hit", F.lit(False)).alias("there"))
+
+
+@query("r6_log_integrity", W + ", x AS (SELECT id, CASE WHEN event_id % 100 = 0 THEN seq + 1 ELSE seq END AS seq FROM nlog) SELECT (SELECT count(*) FROM (SELECT id, seq FROM x GROUP BY ALL HAVING count(*) > 1)) AS repeated, (SELECT count(*) FROM (SELECT id FROM x GROUP BY 1 HAVING min(seq) <> 1 OR max(seq) <> count(*) OR count(DISTINCT seq) <> count(*))) AS broken")
+def _(spark, d):
+    return R.log_integrity(I.node_log(spark, d).withColumn("seq", F.when(F.col("event_id") % 100 == 0, F.col("seq") + 1).otherwise(F.col("seq"))))
+
+
+@query("r7_state_validity", "SELECT event_type AS state, count(*) AS n FROM events WHERE event_type NOT IN ('pending_approval', 'consolidated', 'incubating', 'telemetry_error') GROUP BY 1")
+def _(spark, d):
+    return I.table(spark, d, "events").select(F.col("event_type").alias("state")).where(~F.col("state").isin(*R.STATES)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("r8_append_only_diff", W + "SELECT count(*) AS lost FROM (SELECT id, seq, state FROM nlog EXCEPT ALL SELECT id, seq, state FROM nlog WHERE event_id % 500 <> 0)")
+def _(spark, d):
+    log = I.node_log(spark, d)
+    return log.select("id", "seq", "state").exceptAll(log.where("event_id % 500 <> 0").select("id", "seq", "state")).agg(F.count("*").alias("lost"))
+
+
+@query("r9_lifecycle_distribution", W + "SELECT state, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM nlog GROUP BY 1")
+def _(spark, d):
+    counts = I.node_log(spark, d).groupBy("state").agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("state", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
+
+
+@query("r10_queue_status", W + "SELECT CASE WHEN 'NODE_' || ingestion_id IN (SELECT id FROM nlog) THEN 'PROCESSED' ELSE 'PENDING' END AS status, count(*) AS n FROM queue GROUP BY 1")
+def _(spark, d):
+    return R.queue_status(I.queue(spark, d), I.node_log(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("r12_count_nodes_like", W + "SELECT count(*) FILTER (id LIKE 'NODE\\_1%' ESCAPE '\\') AS nodes, count(*) FILTER (state = 'telemetry_error') AS errors FROM nlog")
+def _(spark, d):
+    return I.node_log(spark, d).agg(F.sum(F.col("id").like("NODE\\_1%").cast("long")).alias("nodes"), F.sum((F.col("state") == "telemetry_error").cast("long")).alias("errors"))
+
+
+@query("s9_upgrade_log", "SELECT event_id AS id, 1::BIGINT AS seq, 'EPOCH_V1' AS epoch FROM events")
+def _(spark, d):
+    old = I.table(spark, d, "events").select(F.col("event_id").alias("id"))
+    return R.upgrade_log(old).select("id", "seq", "epoch")
+
+
+@query("i1_check_content_type", "SELECT event_id, event_type IN ('view') AS ok FROM events")
+def _(spark, d):
+    typed = F.when(F.col("event_type") == "view", " text/plain ; charset=utf-8").when(F.col("event_type") == "click", "text/html").when(F.col("event_type") == "error", F.lit(None)).otherwise("application/json")
+    return I.table(spark, d, "events").select("event_id", O.content_type_ok(typed).alias("ok"))
+
+
+@query("i2_check_null_bytes", "SELECT doc_id, doc_id % 7 = 0 OR contains(text, chr(0)) AS rejected FROM documents")
+def _(spark, d):
+    payload = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\0"))).otherwise(F.col("text"))
+    return I.table(spark, d, "documents").select("doc_id", (O.text_reject_code(F.lit("text/plain"), payload).isNotNull()).alias("rejected"))
+
+
+@query("i3_check_utf8", "SELECT doc_id, doc_id % 5 IN (1, 2, 3) AS rejected FROM documents")
+def _(spark, d):
+    raw = F.col("text").cast("binary")
+    tail = F.when(F.col("doc_id") % 5 == 1, F.lit(b"\xc3")).when(F.col("doc_id") % 5 == 2, F.lit(b"\xc0\xaf")).when(F.col("doc_id") % 5 == 3, F.lit(b"\xff\xfe")).otherwise(F.lit(b""))
+    return I.table(spark, d, "documents").select("doc_id", O.text_reject_code(F.lit("text/plain"), F.concat(raw, tail)).isNotNull().alias("rejected"))
+
+
+@query("i8_dedupe_idempotent", W + "SELECT ingestion_id, min(ingestion_id) OVER (PARTITION BY idempotency_key) AS first_id, ingestion_id > min(ingestion_id) OVER (PARTITION BY idempotency_key) AS duplicate FROM queue")
+def _(spark, d):
+    return O.dedupe_idempotent(I.queue(spark, d)).select("ingestion_id", "first_id", "duplicate")
+
+
+@query("m3_latency_profile", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS high FROM events GROUP BY 1")
+def _(spark, d):
+    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    a = I.table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), p.alias("p"), F.max("value").alias("high"))
+    return a.select("event_type", F.round("mean", 6).alias("mean"), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], F.round("high", 6).alias("high"))
+
+
+@query("m5_log_growth", W + "SELECT sum(CASE WHEN event_id % 2 = 0 THEN octet_length(payload::BLOB) ELSE 0 END)::BIGINT AS before, sum(octet_length(payload::BLOB))::BIGINT AS after, round(avg(octet_length(payload::BLOB)), 6) AS mean_insert FROM queue JOIN events ON event_id = ingestion_id")
+def _(spark, d):
+    size = F.octet_length("payload").cast("long")
+    return I.queue(spark, d).agg(F.sum(F.when(F.col("ingestion_id") % 2 == 0, size).otherwise(0)).alias("before"), F.sum(size).alias("after"), F.round(F.avg(size), 6).alias("mean_insert"))
+
+
+@query("m7_governance_checks", W + "SELECT 'contiguous_seq' AS rule, true AS passed UNION ALL SELECT 'allowed_states', true UNION ALL SELECT 'no_repeats', true UNION ALL SELECT 'errors_hidden', true")
+def _(spark, d):
+    log = I.node_log(spark, d)
+    integrity = R.log_integrity(log)
+    rows = [
+        integrity.select(F.lit("contiguous_seq").alias("rule"), (F.col("broken") == 0).alias("passed")), integrity.select(F.lit("no_repeats").alias("rule"), (F.col("repeated") == 0).alias("passed")),
+        log.agg(F.every(F.col("state").isin(*R.STATES)).alias("passed")).select(F.lit("allowed_states").alias("rule"), "passed"),
+        R.current_nodes(log.select("id", "seq", "state")).agg(F.every(F.col("state") != "telemetry_error").alias("passed")).select(F.lit("errors_hidden").alias("rule"), "passed"),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+# --- proposals -----------------------------------------------------------
+
+PROPOSALS = """
+WITH p AS (SELECT conv_id || '-' || turn AS case_id, turn % 7 AS k, text FROM conversations),
+quotes AS (SELECT item_id, text FROM benchmark),
+made AS (SELECT case_id, k, CASE k WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'SAFETY_GATE' WHEN 2 THEN 'ZERO_TRUST' WHEN 3 THEN 'GROUNDING_FAILED' WHEN 4 THEN 'ZERO_TRUST' ELSE 'EXECUTE_SAFE' END AS decision FROM p)
+"""
+
+
+def proposals(spark, d):
+    """JSON texts made from conversations, with a fixed share for each decision."""
+    k = F.col("turn") % 7
+    item = F.pmod(F.col("conv_id"), F.lit(40))
+    quotes = I.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    body = F.to_json(F.struct(
+        F.when(k == 5, "EXPLAIN").otherwise("REFACTOR").alias("Intent_Class"), F.when(k == 3, "missing.txt").otherwise(F.concat(F.lit("item_"), item.cast("string"))).alias("Target_File"),
+        F.coalesce("quote", F.lit("")).alias("Topological_Grounding"), F.when(k == 2, F.concat("text", F.lit(" os.system('x')"))).when(k == 4, F.lit("a\0b")).otherwise(F.col("text")).alias("Implementation_Block"), F.when(k == 1, "UNSAFE").otherwise("NONE").alias("Safety_Abort"),
+    ))
+    rows = I.table(spark, d, "conversations").join(F.broadcast(quotes), item == F.col("item_id"), "left")
+    return rows.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("case_id"), k.alias("k"), F.when(k == 0, F.substring(body, 2, 20)).otherwise(body).alias("raw"))
+
+
+def files(spark, d):
+    return I.table(spark, d, "benchmark").select(F.concat(F.lit("item_"), F.pmod(F.col("item_id"), F.lit(40)).cast("string")).alias("path"), F.col("text").cast("binary").alias("content")).where("path is not null").dropDuplicates(["path"])
+
+
+@query("q1_parse_proposals")
+def _(spark, d):
+    raw = proposals(spark, d)
+    damaged = raw.withColumn("raw", F.when(F.col("k") == 5, F.concat(F.lit("Here:\n```json\n"), "raw", F.lit("\n```"))).when(F.col("k") == 6, F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw")))
+    return S.parse_proposals(damaged).select("case_id", "status", "used_repair")
+
+
+@query("q2_validate_proposals", PROPOSALS + "SELECT case_id, decision <> 'INVALID_JSON' AND k <> 1 AND k <> 5 AS valid FROM made")
+def _(spark, d):
+    return S.validate_proposals(proposals(spark, d)).select("case_id", "valid")
+
+
+@query("q3_screen_proposals", PROPOSALS + "SELECT case_id, decision FROM made")
+def _(spark, d):
+    return S.screen_proposals(proposals(spark, d), files(spark, d)).select("case_id", "decision")
+
+
+@query("q4_audit_append", PROPOSALS + "SELECT case_id, decision FROM made WHERE k <> 6")
+def _(spark, d):
+    decided = S.screen_proposals(proposals(spark, d), files(spark, d)).select("case_id", "k", "decision")
+    return O.insert_or_ignore(decided, decided.where("k = 6"), ["case_id"]).select("case_id", "decision")
+
+
+@query("q5_decision_counts", PROPOSALS + "SELECT decision, count(*) AS n FROM made GROUP BY 1")
+def _(spark, d):
+    return S.screen_proposals(proposals(spark, d), files(spark, d)).groupBy("decision").agg(F.count("*").alias("n"))

@@ -344,7 +344,7 @@ def _(spark, d):
  FROM (SELECT *, lag(coalesce(k_cin, 0)) OVER (PARTITION BY id ORDER BY seq) AS kp FROM kc JOIN unit USING (vec_id)))""")
 def _(spark, d):
     full = kinetics(spark, d).join(ortho(spark, d).select("vec_id", "pp"), "vec_id").withColumn("k", F.coalesce("k_cin", F.lit(0.0)))
-    full = full.withColumn("kp", F.lag("k").over(R.BY_SEQ))
+    full = full.withColumn("kp", F.lag("k").over(R.by_seq()))
     after = F.sqrt(V.dot(F.col("vector"), F.col("vector")) + F.col("k") * F.col("k"))
     m = full.agg(F.var_pop(F.sqrt("pp")).alias("b"), F.var_pop(after).alias("a"), F.avg("step").alias("lb"), F.avg(F.col("step") + (F.col("k") - F.col("kp")) * (F.col("k") - F.col("kp"))).alias("la"))
     return m.select(F.round("b", 6).alias("loss_before"), F.round("a", 6).alias("loss_after"), F.round("lb", 6).alias("laminarity_before"), F.round("la", 6).alias("laminarity_after"), ((F.col("b") - F.col("a") > 0.001) | (F.col("la") - F.col("lb") > 0.001)).alias("valid"))
@@ -371,7 +371,7 @@ def _(spark, d):
     from pyspark.sql import Window
 
     k = kinetics(spark, d).where("k_cin is not null")
-    o = k.withColumn("a", F.row_number().over(R.BY_SEQ)).withColumn("z", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq"))))
+    o = k.withColumn("a", F.row_number().over(R.by_seq())).withColumn("z", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq"))))
     early, late = F.avg(F.when(F.col("a") <= 10, F.col("k_cin"))), F.avg(F.when(F.col("z") <= 10, F.col("k_cin")))
     return o.groupBy("id").agg(F.round(early, 6).alias("early"), F.round(late, 6).alias("late"), ((F.avg((F.col("k_cin") > 0).cast("int")) >= 0.8) & (late >= 0.8 * early)).alias("ok"))
 
