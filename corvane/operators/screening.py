@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the proposal format.
 FIELDS = ("Intent_Class", "Target_File", "Topological_Grounding", "Implementation_Block", "Safety_Abort")
-INTENTS = ("REFACTOR", "FIX", "CREATE", "DOCUMENT")
+INTENTS = ("FIX", "REFACTOR", "TEST", "DOC", "SPEC")
+ABORTS = ("NONE", "BOUNDARY_VIOLATION", "SYNTAX_ERROR", "UNAUTHORIZED_SCOPE")
 GROUNDED = ("REFACTOR", "FIX", "AUDIT")
-ABORTS = ("NONE", "AMBIGUOUS", "OUT_OF_SCOPE", "INSUFFICIENT_CONTEXT")
-DENIED = ("os.system", "subprocess", "eval(", "exec(", "rm -rf", "__import__")
+DENIED = (
+    "fetch(", "axios", "urllib.request", "import requests", "httpx", "socket", "urllib3", "subprocess", "curl", "wget", "aiohttp",
+    "importlib", "os.system", "os.popen", "requests.", "http.client", "webbrowser", "telnet", "nc ", "ftp", "xmlrpc",
+)
+ZERO_TRUST, SAFETY_GATE, UNGROUNDED = "ABORTED_VIOLATES_ZERO_TRUST", "BLOCKED_BY_SAFETY_GATE", "ABORTED_GROUNDING_FAILED"
 
 SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
 
@@ -83,9 +87,10 @@ def screen_proposals(raw: DataFrame, files: DataFrame) -> DataFrame:
     denied = F.lit(False)
     for token in DENIED:
         denied = denied | F.col("p.Implementation_Block").contains(token)
-    grounded = F.coalesce(F.contains(F.col("content"), F.col("p.Topological_Grounding").cast("binary")), F.lit(False))
+    quote = F.col("p.Topological_Grounding")
+    grounded = F.coalesce((quote != "") & F.contains(F.col("content"), quote.cast("binary")), F.lit(False))
     decision = (
-        F.when(F.contains("raw", F.lit("\0")), "ZERO_TRUST").when(~F.col("is_json"), "INVALID_JSON").when(F.lower("raw").contains("\\u0000"), "ZERO_TRUST").when(F.col("p.Safety_Abort") != "NONE", "SAFETY_GATE")
-        .when(denied, "ZERO_TRUST").when(F.col("p.Intent_Class").isin(*GROUNDED) & ~grounded, "GROUNDING_FAILED").otherwise("EXECUTE_SAFE")
+        F.when(F.contains("raw", F.lit("\0")), ZERO_TRUST).when(~F.col("is_json"), "INVALID_JSON").when(F.lower("raw").contains("\\u0000"), ZERO_TRUST).when(F.col("p.Safety_Abort") != "NONE", SAFETY_GATE)
+        .when(denied, ZERO_TRUST).when(F.col("p.Intent_Class").isin(*GROUNDED) & ~grounded, UNGROUNDED).otherwise("EXECUTE_SAFE")
     )
     return joined.withColumn("decision", decision).drop("p", "path", "content", "is_json")

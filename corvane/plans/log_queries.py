@@ -133,10 +133,10 @@ def _(spark, d):
 
 # --- proposals -----------------------------------------------------------
 
-PROPOSALS = """
+PROPOSALS = f"""
 WITH p AS (SELECT conv_id || '-' || turn AS case_id, turn % 7 AS k, text FROM conversations),
 quotes AS (SELECT item_id, text FROM benchmark),
-made AS (SELECT case_id, k, CASE k WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'SAFETY_GATE' WHEN 2 THEN 'ZERO_TRUST' WHEN 3 THEN 'GROUNDING_FAILED' WHEN 4 THEN 'ZERO_TRUST' ELSE 'EXECUTE_SAFE' END AS decision FROM p)
+made AS (SELECT case_id, k, CASE WHEN k = 0 THEN 'INVALID_JSON' WHEN k = 1 THEN '{S.SAFETY_GATE}' WHEN k IN (2, 4) OR len(list_filter({list(S.DENIED)}, lambda t: contains(text, t))) > 0 THEN '{S.ZERO_TRUST}' WHEN k = 3 THEN '{S.UNGROUNDED}' ELSE 'EXECUTE_SAFE' END AS decision FROM p)
 """
 
 
@@ -147,7 +147,7 @@ def proposals(spark, d):
     quotes = I.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     body = F.to_json(F.struct(
         F.when(k == 5, "EXPLAIN").otherwise("REFACTOR").alias("Intent_Class"), F.when(k == 3, "missing.txt").otherwise(F.concat(F.lit("item_"), item.cast("string"))).alias("Target_File"),
-        F.coalesce("quote", F.lit("")).alias("Topological_Grounding"), F.when(k == 2, F.concat("text", F.lit(" os.system('x')"))).when(k == 4, F.lit("a\0b")).otherwise(F.col("text")).alias("Implementation_Block"), F.when(k == 1, "UNSAFE").otherwise("NONE").alias("Safety_Abort"),
+        F.coalesce("quote", F.lit("")).alias("Topological_Grounding"), F.when(k == 2, F.concat("text", F.lit(" os.system('x')"))).when(k == 4, F.lit("a\0b")).otherwise(F.col("text")).alias("Implementation_Block"), F.when(k == 1, "SYNTAX_ERROR").otherwise("NONE").alias("Safety_Abort"),
     ))
     rows = I.table(spark, d, "conversations").join(F.broadcast(quotes), item == F.col("item_id"), "left")
     return rows.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("case_id"), k.alias("k"), F.when(k == 0, F.substring(body, 2, 20)).otherwise(body).alias("raw"))
@@ -164,7 +164,7 @@ def _(spark, d):
     return S.parse_proposals(damaged).select("case_id", "status", "used_repair")
 
 
-@query("q2_validate_proposals", PROPOSALS + "SELECT case_id, decision <> 'INVALID_JSON' AND k <> 1 AND k <> 5 AS valid FROM made")
+@query("q2_validate_proposals", PROPOSALS + "SELECT case_id, k <> 0 AND k <> 5 AS valid FROM made")
 def _(spark, d):
     return S.validate_proposals(proposals(spark, d)).select("case_id", "valid")
 
