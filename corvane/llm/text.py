@@ -1,7 +1,7 @@
 """Numpy helpers that work on many texts at once, used inside Arrow batches.
 
 Texts are handled as UTF-8 bytes.  A *block* is a run of whole texts joined by
-newlines into one buffer of at most a few megabytes (a single longer text makes
+newlines into one buffer of about a megabyte (a single longer text makes
 a block of its own), so that numpy calls cost little per text and memory stays
 bounded whatever the Arrow batch holds.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
