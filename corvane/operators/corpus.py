@@ -142,9 +142,9 @@ def split_reference(docs: DataFrame, seed: str = "seed") -> DataFrame:
 
 def bigram_transitions(docs: DataFrame, n: int = 2) -> DataFrame:
     """Row-normalised transitions between successive character n-grams of each document."""
-    chars = F.split(F.lower("text"), "")
-    grams = F.transform(F.sequence(F.lit(0), F.size("c") - n), lambda i: F.array_join(F.slice("c", i + 1, n), ""))
-    listed = docs.select("doc_id", chars.alias("c")).where(F.size("c") > n).select("doc_id", grams.alias("g"))
+    # a look-ahead finds overlapping n-grams
+    grams = F.regexp_extract_all(F.lower("text"), F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
+    listed = docs.where(F.length("text") > n).select("doc_id", grams.alias("g"))
     steps = listed.select("doc_id", F.explode(F.arrays_zip(F.slice("g", 1, F.size("g") - 1).alias("a"), F.slice("g", 2, F.size("g") - 1).alias("b"))).alias("s"))
     counts = steps.groupBy("doc_id", F.col("s.a").alias("a"), F.col("s.b").alias("b")).agg(F.count("*").alias("n"))
     rows = counts.groupBy("doc_id", "a").agg(F.sum("n").alias("total"))

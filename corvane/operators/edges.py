@@ -54,9 +54,9 @@ def epsilon_edges(vecs: DataFrame, eps: float, blocks: int | None = None) -> Dat
     def near(key: tuple, one: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         a, b, distance = pair_distances(*_products(one, i, j), i == j, eps)
-        low = [min(s, t) for s, t in zip(a, b, strict=True)]
-        high = [max(s, t) for s, t in zip(a, b, strict=True)]
-        return pd.DataFrame({"source": low, "target": high, "distance": distance}).astype({"distance": "float64"})
+        low = pd.Series([min(s, t) for s, t in zip(a, b, strict=True)], dtype=object)
+        high = pd.Series([max(s, t) for s, t in zip(a, b, strict=True)], dtype=object)
+        return pd.DataFrame({"source": low, "target": high, "distance": pd.Series(distance, dtype="float64")})
 
     found = block_pairs(vecs, blocks or blocks_for(vecs)).groupBy("i", "j").applyInPandas(near, "source string, target string, distance double")
     return found.withColumn("distance", F.round("distance", 6))
