@@ -27,20 +27,27 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 BUCKETS = 1 << 14
 ORDERS = (3, 4, 5)
-BLOCK_FROM = 0.7
+BLOCK_FROM = 0.55
+#: Wrongly blocking counts as much as wrongly allowing this many times.
+WANTED_WEIGHT = 3.0
 
 #: Words that mark hosts and paths of the labelled examples: 1 is unwanted, 0 is wanted.
 UNWANTED = "casino betting bets poker slots jackpot pills cheap-pills pharma viagra cheap-meds adult xxx porn escort spam link-farm farm-links ads adserver tracker track clickbait payday-loans replica warez".split()
 WANTED = "news library museum science weather garden history cooking school travel music river mountain theatre reading thinking writing there other stone therein tion-notes hand-tools letters archive journal forum recipes maps atlas radio paper wood".split()
 
 
+SHAPES = ("{w}", "{w}-x", "best-{w}", "the{w}s")
+PLACES = (("", "com", "/en/{n}"), ("www.", "net", "/fr/{n}.html"), ("m.", "org", "/de/{n}/"), ("blog.", "net", "/es/{n}"))
+
+
 def labelled_urls() -> pd.DataFrame:
-    """The default training table: each marking word as a host under several prefixes, suffixes and paths."""
+    """The default training table: each marking word as a host in all shapes and places."""
     rows = []
     for label, words in ((1, UNWANTED), (0, WANTED)):
         for i, word in enumerate(words):
-            for j, (prefix, top, path) in enumerate((("", "com", "/en/{n}"), ("www.", "net", "/fr/{n}.html"), ("m.", "org", "/de/{n}/"), ("blog.", "net", "/es/{n}"))):
-                rows.append((f"https://{prefix}{word}.example.{top}{path.format(n=37 * i + 11 * j)}", label))
+            for j, (prefix, top, path) in enumerate(PLACES):
+                for k, shape in enumerate(SHAPES):
+                    rows.append((f"https://{prefix}{shape.format(w=word)}.example.{top}{path.format(n=37 * i + 11 * j + 5 * k)}", label))
     return pd.DataFrame(rows, columns=["url", "label"])
 
 
@@ -93,7 +100,7 @@ class UrlModel:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(labelled: pd.DataFrame, epochs: int = 30, rate: float = 0.5, decay: float = 1e-4) -> UrlModel:
+def train(labelled: pd.DataFrame, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> UrlModel:
     """Fit by stochastic gradient descent in a fixed order, so that results repeat."""
     model = UrlModel(np.zeros(BUCKETS), 0.0)
     rows = []
@@ -106,14 +113,14 @@ def train(labelled: pd.DataFrame, epochs: int = 30, rate: float = 0.5, decay: fl
         rows.append((features(host, path), float(label)))
     order = np.random.default_rng(7)
     for epoch in range(epochs):
-        step = rate / (1 + epoch / 5)
+        step = rate / WANTED_WEIGHT / (1 + epoch / 5)
         for i in order.permutation(len(rows)):
             f, y = rows[i]
             if not len(f):
                 continue
             scale = 1 / np.sqrt(len(f))
             z = model.bias + model.weights[f].sum() * scale
-            g = 1 / (1 + np.exp(-z)) - y
+            g = (1 / (1 + np.exp(-z)) - y) * (1.0 if y else WANTED_WEIGHT)
             model.weights[f] -= step * (g * scale + decay * model.weights[f])
             model.bias -= 0.1 * step * g
     return model
