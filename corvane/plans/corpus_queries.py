@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import corpus as C
 from ..operators import vectors as O
+from ..sources import tables as sources
 from ..streaming import jobs as T
 from . import inputs as I
 from .inputs import CORPUS_SQL as W
@@ -83,16 +84,16 @@ def _(spark, d):
 @query("s6_read_axes", VECTORS_SQL + "SELECT axis_id, len(av)::INT AS width FROM axes")
 def _(spark, d):
     place = f"{T.folder(spark)}/axes-{uuid.uuid4()}"
-    I.axes(spark, d).write.json(place)
-    return spark.read.schema("axis_id string, vector array<double>, epoch string").json(place).where("epoch = 'EPOCH_V1'").select("axis_id", F.size("vector").alias("width"))
+    sources.write_axes(I.axes(spark, d), place)
+    return sources.read_axes(spark, place, "EPOCH_V1").select("axis_id", F.size("vector").alias("width"))
 
 
 @query("s7_write_report")
 def _(spark, d):
     place = f"{T.folder(spark)}/report-{uuid.uuid4()}"
     s = sparse(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.avg("variance").alias("mean"))
-    s.agg(F.struct(F.collect_list(F.struct("category", "n", "mean")).alias("categories")).alias("metrics")).write.json(place)
-    return spark.read.schema("metrics struct<categories: array<struct<category: string, n: long, mean: double>>>").json(place).select(F.explode("metrics.categories").alias("c")).select("c.*")
+    report = s.agg(F.struct(F.collect_list(F.struct("category", "n", "mean")).alias("categories")).alias("metrics"))
+    return sources.write_report(report, place).select(F.explode("metrics.categories").alias("c")).select("c.*")
 
 
 @query("s8_append_log", LOG_SQL + "SELECT count(*) AS n, count(DISTINCT id) AS ids FROM nlog")
@@ -100,7 +101,7 @@ def _(spark, d):
     place = f"{T.folder(spark)}/log-{uuid.uuid4()}"
     log = I.node_log(spark, d).select("id", "seq", "state")
     for part in (0, 1):
-        log.where(F.col("seq") % 2 == part).write.mode("append").parquet(place)
+        sources.append_log(log.where(F.col("seq") % 2 == part), place)
     return spark.read.parquet(place).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources import tables as sources
 
 N_AXES = 8
 
@@ -15,7 +16,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def raw_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", "label", V.as_double(F.col("embedding")).alias("vector"))
+    return sources.read_vectors(spark, f"{d}/embeddings.parquet")
 
 
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +52,7 @@ def queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    category = F.when(F.col("lang") == "en", "A").when(F.col("lang") == "fr", "B").otherwise("C")
-    return table(spark, d, "documents").select("doc_id", category.alias("category"), "text")
+    return sources.read_texts(spark, f"{d}/documents.parquet", {"en": "A", "fr": "B"}, "C")
 
 
 def bad_vectors(spark: SparkSession, d: str) -> DataFrame:
