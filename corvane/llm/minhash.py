@@ -9,8 +9,9 @@ can change nothing, and the drawing stops.  Many texts are drawn together.
 representative goes on.  Slots are hashed in bands; representatives that share a
 band meet in a bucket.  In each bucket the member that meets the most others
 overall, the hub, is compared with all members on full shingle sets.  Members of
-a bucket that do not end up in one component are then compared across components.
-No group is gathered in one task and no bucket is expanded into all its pairs.
+a bucket that do not end up in one component are then compared across components,
+in pairs of blocks of bounded size; pairs that are not linked never become rows,
+and no group is gathered in one task.
 
 With ``BANDS`` bands of ``ROWS`` slots a pair of similarity 0.8 shares no band
 with a chance of 8e-6, and one of similarity 0.1 shares one with a chance of 6e-7.
@@ -25,13 +26,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .tables import keep, read
+from .tables import keep, read, with_ids
 
 BANDS = 64
 ROWS = 8
@@ -39,6 +41,9 @@ SLOTS = BANDS * ROWS
 SIMILAR_PERCENT = 80
 #: Shingles whose permutations are drawn together.
 TOGETHER = 1 << 13
+#: Documents of a block, and different shingles of a stripe, in comparisons by matrix products.
+CLUSTER_BLOCK = 256
+STRIPE = 1 << 14
 
 SETS = tx.arrow_schema(doc_id=pa.int64(), n_shingles=pa.int64(), set_a=pa.int64(), set_b=pa.int64(), bands=pa.list_(pa.int64()))
 PAIRS = tx.arrow_schema(a=pa.int64(), b=pa.int64())
@@ -150,37 +155,84 @@ def linked(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> D
             yield tx.batch({"a": one["a"].take(pa.array(good, pa.int64())), "b": one["b"].take(pa.array(good, pa.int64()))}, PAIRS)
 
     # the member's text travels to its hub: the hub's text is not sent with every pair
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    texts = with_ids(documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")), ids, "id")
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_both.select("a", "text_a", "b", "text_b").mapInArrow(confirm, tx.spark_schema(PAIRS))
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y."""
+    _, codes = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    rows = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    order = np.argsort(codes, kind="stable")
+    rows, codes = rows[order], codes[order]
+    for at in range(0, int(codes[-1]) + 1 if len(codes) else 0, STRIPE):
+        a, z = np.searchsorted(codes, (at, at + STRIPE))
+        held = np.zeros((len(x) + len(y), min(STRIPE, int(codes[z - 1]) + 1 - at)), dtype=np.float32)
+        held[rows[a:z], codes[a:z] - at] = 1
+        out += held[: len(x)] @ held[len(x) :].T
+    return out
+
+
+def links_across(able: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components among the documents that meet in mixed buckets.
+
+    Documents that meet directly or by others form a cluster.  A cluster is cut
+    into blocks; each pair of blocks is compared in one task by matrix products,
+    and of the links found, one for each document and other component comes out.
+    """
+    low = able.groupBy("key").agg(F.min("doc_id").alias("low"))
+    clusters = components(able.join(low, "key").select("doc_id", "low"), "doc_id", "low").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("blocks"))
+    named = able.groupBy("doc_id").agg(F.first("component").alias("component"))
+    placed = keep(named.join(clusters, "doc_id").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    texts = with_ids(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), placed.select("doc_id"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = placed.join(texts, "doc_id").select("doc_id", "component", "cluster", "block", "text", other)
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+
+    def compare(key: tuple, one: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        x, y = one[one["block"] == key[1]], one[one["block"] == key[2]]
+        if len(x) and len(y):
+            sets = [[s for block in tx.blocks(pa.array(part["text"], pa.binary()), lower=True) for s in shingle_sets(block, size)] for part in (x, y)]
+            both = shared_counts(*sets)
+            total = np.array([len(s) for s in sets[0]])[:, None] + np.array([len(s) for s in sets[1]])[None, :]
+            cx, cy, ix, iy = x["component"].to_numpy(), y["component"].to_numpy(), x["doc_id"].to_numpy(), y["doc_id"].to_numpy()
+            p, q = np.nonzero((100 * both >= percent * (total - both)) & (both > 0) & (cx[:, None] != cy[None, :]))
+            seen = set()
+            for i, j in zip(p, q, strict=True):
+                if (i, cy[j]) not in seen:
+                    seen.add((i, cy[j]))
+                    found.append((ix[i], iy[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document with an id."""
     known = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     sets = keep(signed_sets(known, size))
     classes = keep(sets.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    signed = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    signed = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("bands").alias("key"))
     shared = signed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = keep(signed.join(shared, "key"))
     degree = members.groupBy("doc_id").agg(F.sum("size").alias("meets"))
     met = members.join(degree, "doc_id")
     hubs = met.groupBy("key").agg(F.max(F.struct("meets", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
-    near = (F.col("x.n_shingles") * 100 >= F.col("y.n_shingles") * percent) & (F.col("y.n_shingles") * 100 >= F.col("x.n_shingles") * percent)
-    sizes = F.col("n_shingles")
-    first = members.join(hubs, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    first = keep(members.join(hubs, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = keep(linked(first, known, size, percent))
     group = components(links, "a", "b")
 
-    labelled = members.where("size > 2").join(group, members["doc_id"] == group["node"], "left").select("key", "doc_id", sizes, F.coalesce("component", "doc_id").alias("component"))
+    labelled = members.where("size > 2").join(group, members["doc_id"] == group["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     apart = keep(labelled.join(mixed, "key"))
     if not apart.isEmpty():
-        x, y = apart.alias("x"), apart.alias("y")
-        across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-        tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = keep(linked(across.distinct().join(tested, ["a", "b"], "left_anti"), known, size, percent))
+        more = keep(links_across(apart, known, size, percent))
         if not more.isEmpty():
             group = components(links.unionByName(more), "a", "b")
 
