@@ -375,3 +375,23 @@ def test_fingerprint_keeps_order(spark):
     got = df.select(fingerprints.fingerprint(F.col("text")).alias("f")).first()["f"]
     hashed = {t: spark.createDataFrame([(list(t),)], "t array<long>").select(F.hash("t").bitwiseOR(1).alias("v")).first()["v"] for t in set(want) if t}
     assert got == [hashed[t] if t else 0 for t in want]
+
+
+def test_near_duplicates_with_repeats_and_missing_ids(spark):
+    text = "one two three four five six seven eight"
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
+
+
+def test_large_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 5)
+    r, base = random.Random(9), [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for k in r.sample(range(80), r.randint(0, 12)):
+            w[k] = f"x{r.randint(0, 3)}"
+        rows.append((i, " ".join(w)))
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2))
+    assert {i: x["component_id"] for i, x in got.items()} == brute_components(rows, 2)[1]
