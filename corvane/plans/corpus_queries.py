@@ -27,7 +27,9 @@ every AS (SELECT doc_id, category, groups.grp, coalesce(hits, 0) AS hits, sum(co
 shares AS (SELECT doc_id, category, grp, hits, CASE WHEN total > 0 THEN hits / total ELSE 0.0 END AS share FROM every),
 sparse AS (SELECT doc_id, category, sum(share) AS charge, var_pop(share) AS variance FROM shares GROUP BY ALL)
 """
-AXES_SQL = ", weights AS (SELECT grp, form AS term, (1.0::DOUBLE + length(form)) / sqrt(sum((1 + length(form)) * (1 + length(form))) OVER (PARTITION BY grp)) AS weight FROM lexicon)"
+AXES_SQL = """, used AS (SELECT form AS term, grp, 1.0::DOUBLE + count(token) AS w FROM lexicon LEFT JOIN toks ON token = form GROUP BY ALL),
+weights AS (SELECT grp, term, w / sqrt(sum(w * w) OVER (PARTITION BY grp)) AS weight FROM used)
+"""
 WEIGHTED_SQL = TOKENS_SQL + AXES_SQL + """, counted AS (SELECT doc_id, count(*) AS tokens FROM toks GROUP BY 1), alphas AS (SELECT doc_id, grp, sum(weight) AS alpha FROM toks JOIN weights ON token = term GROUP BY ALL),
 weighted AS (SELECT doc_id, sum(coalesce(alpha, 0)) AS total, var_pop(coalesce(alpha, 0)) AS v FROM corpus CROSS JOIN groups LEFT JOIN alphas USING (doc_id, grp) GROUP BY 1)
 """
@@ -42,8 +44,11 @@ def lexicon(spark):
     return spark.createDataFrame(rows, "form string, `group` string, rank int")
 
 
-def weights(spark):
-    return C.weighted_axes(lexicon(spark).select("group", F.col("form").alias("term"), (F.lit(1.0) + F.length("form")).alias("weight")))
+def weights(spark, d):
+    """Unit axes of the lexicon's groups, each form weighted by its use in the corpus."""
+    used = C.tokens(I.corpus(spark, d)).groupBy("token").agg(F.count("*").alias("n"))
+    forms = lexicon(spark).join(used, F.col("form") == F.col("token"), "left")
+    return C.weighted_axes(forms.select("group", F.col("form").alias("term"), (F.lit(1.0) + F.coalesce("n", F.lit(0))).alias("weight")))
 
 
 def shares(spark, d):
@@ -121,19 +126,19 @@ def _(spark, d):
     return sparse(spark, d).select("doc_id", F.round("charge", 9).alias("charge"), F.round("variance", 9).alias("variance"))
 
 
-@query("x4_weighted_axes", "WITH x AS (SELECT 1)" + FORMS_SQL + AXES_SQL + " SELECT grp AS \"group\", term, round(weight, 9) AS weight FROM weights")
+@query("x4_weighted_axes", TOKENS_SQL + AXES_SQL + " SELECT grp AS \"group\", term, round(weight, 9) AS weight FROM weights")
 def _(spark, d):
-    return weights(spark).select("group", "term", F.round("weight", 9).alias("weight"))
+    return weights(spark, d).select("group", "term", F.round("weight", 9).alias("weight"))
 
 
 @query("x5_project_weighted", WEIGHTED_SQL + "SELECT doc_id, round(coalesce(total / tokens, 0), 9) AS density, round(CASE WHEN total > 0 THEN v / (total * total) ELSE 0 END, 9) AS variance FROM weighted LEFT JOIN counted USING (doc_id)")
 def _(spark, d):
-    return C.project_weighted(I.corpus(spark, d), weights(spark)).select("doc_id", F.round("density", 9).alias("density"), F.round("variance", 9).alias("variance"))
+    return C.project_weighted(I.corpus(spark, d), weights(spark, d)).select("doc_id", F.round("density", 9).alias("density"), F.round("variance", 9).alias("variance"))
 
 
-@query("x6_lexicon_threshold", "WITH x AS (SELECT 1)" + FORMS_SQL + AXES_SQL + ", g AS (SELECT a.grp AS a, b.grp AS b, coalesce((SELECT sum(x.weight * y.weight) FROM weights x JOIN weights y USING (term) WHERE x.grp = a.grp AND y.grp = b.grp), 0) AS g FROM groups a, groups b WHERE a.grp <> b.grp) SELECT round(avg(v), 9) AS threshold FROM (SELECT a, var_pop(g) AS v FROM g GROUP BY 1)")
+@query("x6_lexicon_threshold", TOKENS_SQL + AXES_SQL + ", g AS (SELECT a.grp AS a, b.grp AS b, coalesce((SELECT sum(x.weight * y.weight) FROM weights x JOIN weights y USING (term) WHERE x.grp = a.grp AND y.grp = b.grp), 0) AS g FROM groups a, groups b WHERE a.grp <> b.grp) SELECT round(avg(v), 9) AS threshold FROM (SELECT a, var_pop(g) AS v FROM g GROUP BY 1)")
 def _(spark, d):
-    return C.lexicon_threshold(weights(spark)).select(F.round("threshold", 9).alias("threshold"))
+    return C.lexicon_threshold(weights(spark, d)).select(F.round("threshold", 9).alias("threshold"))
 
 
 @query("x7_lexicon_report", SHARES_SQL + "SELECT category, count(*) AS n, round(avg(charge), 9) AS charge, round(avg(variance), 9) AS mean, round(var_pop(variance), 9) AS spread, count(*) FILTER (charge = 0) AS empty, count(*) FILTER (variance >= 0.05 AND charge >= 0.5) AS passed FROM sparse GROUP BY 1")
@@ -282,7 +287,7 @@ def _(spark, d):
 
 @query("b10_name_basis")
 def _(spark, d):
-    names = I.table(spark, d, "nation").select(F.col("n_nationkey").alias("rank"), F.col("n_name").alias("name"))
+    names = I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("rank"), F.col("s_name").alias("name"))
     v = C.encode(names, C.HashProvider(64), "name")
     return O.label_axes(names).join(v.select(F.concat(F.lit("AXIS_"), (F.col("rank") + 1).cast("string")).alias("axis_id"), F.size("vector").alias("width")), "axis_id")
 
