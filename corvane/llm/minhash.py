@@ -17,8 +17,9 @@ With ``BANDS`` bands of ``ROWS`` slots a pair of similarity 0.8 shares no band
 with a chance of 8e-6, and one of similarity 0.1 shares one with a chance of 6e-7.
 
 Defined results: null and empty texts have an empty set, link with nothing and
-stay; repeated rows of one id count once; rows without an id are kept, each on
-its own, with a null component.
+stay; repeated rows of one id, which have one text, count once and are each
+returned; rows without an id take no part and are not returned; other columns
+are not carried.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .tables import keep, read, with_ids
+from .tables import keep, read, small_batches, with_ids
 
 BANDS = 64
 ROWS = 8
@@ -215,6 +216,7 @@ def links_across(able: DataFrame, documents: DataFrame, size: int, percent: int)
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document with an id."""
+    small_batches(documents.sparkSession)
     known = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     sets = keep(signed_sets(known, size))
     classes = keep(sets.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .tables import read
+from .tables import read, small_batches
 
 MIN_WORDS = 5
 #: A unit's end: a line end, or white space after a sentence's closing mark.
@@ -74,6 +74,7 @@ def hashed_units(documents: DataFrame, min_words: int) -> DataFrame:
 
 def drop_repeated_units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated units cut from their text, the units' number, and the removed places."""
+    small_batches(documents.sparkSession)
     units = hashed_units(documents, min_words)
     first = units.groupBy("digest_a", "digest_b").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "unit")).alias("first")).where("times > 1").drop("times")
     again = units.join(first, ["digest_a", "digest_b"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))

@@ -37,6 +37,14 @@ def keep_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Let Arrow batches to and from Python hold at most 16 MB from now on in this session.
+
+    Rows with two texts each would otherwise fill 64 MB on either side of the pipe.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 #: Ids that a filter sends to every executor; beyond, both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
