@@ -1,15 +1,19 @@
 """Substring dedup by hashing units of lines and paragraphs.
 
 A text is cut at line ends and, within a line, at sentence ends, so that a
-passage is found inside otherwise different lines; a sentence of fewer than
-``MIN_WORDS`` words goes with the next one of its line run.  A unit's normal form
-is its words, A-Z lower-cased, joined by single spaces.  Digests of the normal
-forms are grouped over the whole table and the earliest occurrence, by document
-and place, is kept.  The others are removed together with the white space that
-follows them, and their places in the original text are returned.
-
-Defined results: null texts stay null and have no units; units without
-``MIN_WORDS`` words (at a text's end) are kept; repeated rows of one id are one
+passage is found inside otherwise different lines.  A sentence of ``MIN_WORDS``
+words is a unit of its own; shorter ones are put together, up to ``MIN_WORDS``
+words, with the next short ones of their line and never beyond its end.  A unit's
+normal form is its words, A-Z lower-cased, joined by single spaces.  What stays
+shorter than ``MIN_WORDS`` words has the whole line's normal form and its place
+among such rests instead, so that a repeated line goes as a whole.  Digests of the
+normal forms are grouped over the whole table and the earliest occurrence, by
+document and place, is kept.  The others are removed together with the white space
+that follows them, and their places in the original text are returned.
+
+Defined results: null texts stay null and have no units; lines of
+fewer than ``MIN_WORDS`` words are units that are kept; words are what ASCII white
+space parts; repeated rows of one id are one
 document and lose the same units; rows without an id are returned as they are.
 Other columns pass through, unless they have the name of an added one.
 """
@@ -31,27 +35,54 @@ from .tables import read, small_batches
 
 MIN_WORDS = 5
 #: A unit's end: a line end, or white space after a sentence's closing mark.
-BREAK = re.compile(r"\n\s*|(?<=[.!?])[ \t]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
+BREAK = re.compile(r"\n[ \t\n\r\x0b\x0c]*|(?<=[.!?])[ \t\r\x0b\x0c]+")
 
 UNITS = tx.arrow_schema(doc_id=pa.int64(), unit=pa.int32(), digest_a=pa.int64(), digest_b=pa.int64())
 ADDED = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))]
 
 
 def cut(text: str, min_words: int) -> list[tuple[int, int, list[bytes]]]:
-    """Start, end and words of the units, which together cover the text."""
-    out, start = [], 0
+    """Start, end and key words of the units, which together cover the text."""
+    out: list[tuple[int, int, list[bytes]]] = []
+    start = at = line = 0  # of the pending short sentences, the next sentence, and the line's first unit
     words: list[bytes] = []
-    at = 0
+
+    def end_line() -> None:
+        nonlocal start, words
+        if words:
+            out.append((start, at, words))
+        elif out:  # at most white space
+            out[-1] = (out[-1][0], at, out[-1][2])
+        if words or out:
+            start, words = at, []
+        if len(out) - line > 1:
+            short = [k for k in range(line, len(out)) if len(out[k][2]) < min_words]
+            if short:
+                whole = [w for k in range(line, len(out)) for w in out[k][2]]
+                for rank, k in enumerate(short):
+                    out[k] = (out[k][0], out[k][1], [*whole, b"\n%d" % rank])  # no word has a line end
+
     for found in BREAK.finditer(text):
-        words += text[at : found.start()].translate(UPPER).encode().split()
+        own = text[at : found.start()].encode().lower().split()
+        if words and len(own) >= min_words:
+            out.append((start, at, words))
+            start, words = at, []
+        words = words + own if words else own
         at = found.end()
-        if len(words) >= min_words:
+        if text[found.start()] == "\n":
+            end_line()
+            line = len(out)
+        elif len(words) >= min_words:
             out.append((start, at, words))
             start, words = at, []
-    words += text[at:].translate(UPPER).encode().split()
-    if start < len(text):
-        out.append((start, len(text), words))
+    own = text[at:].encode().lower().split()
+    if words and len(own) >= min_words:
+        out.append((start, at, words))
+        start, words = at, []
+    words, at = words + own, len(text)
+    end_line()
+    if start < len(text):  # white space only
+        out.append((start, len(text), []))
     return out
 
 

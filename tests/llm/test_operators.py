@@ -125,6 +125,41 @@ def test_substring_repeats_and_missing_ids(spark):
     assert got == [(-1, line), (1, line), (1, line), (2, "")]
 
 
+def test_substring_repeated_lines_go_whole(spark):
+    r = random.Random(11)
+    new = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    tail = lambda: r.choice(["", " The end.", " Yes. No!", " Then so. " + new(9)])
+    often = [f"{new(r.randint(1, 3))}. {new(r.randint(5, 12))}.{tail()}" for _ in range(12)] + [new(6), new(30) + ".", "A b. C d. E f. G h."]
+    docs = []
+    for i in range(40):
+        lines = []
+        for _ in range(r.randint(1, 8)):
+            lines.append(r.choice(["", new(1), "- " + new(2), new(r.randint(5, 20)) + ".", *r.sample(often, 3)]))
+        docs.append((i, r.choice(["\n", "\r\n", " \n\n", "\n\t"]).join(lines) + r.choice(["", "\n", " "])))
+    docs.append((40, often[0].replace(" ", "  ").upper()))
+    docs.append((41, "New words stand here first. " + often[13]))
+    got = {i: d["removed_spans"] for i, d in by_id(substring.drop_repeated_units(spark.createDataFrame(docs, "doc_id long, text string"))).items()}
+    seen, n_again, n_first = set(), 0, 0
+    for i, text in docs:
+        gone = {k for s in got[i] for k in range(s["start"], s["start"] + s["length"])}
+        at = 0
+        for line in text.split("\n"):
+            key = tuple(line.lower().split())
+            letters = {k for k, c in enumerate(line, at) if not c.isspace()}
+            at += len(line) + 1
+            if len(key) < 5:
+                assert not letters & gone
+            elif key in seen:
+                n_again += 1
+                assert letters <= gone
+            elif i < 40:
+                n_first += 1
+                assert not letters & gone
+            seen.add(key)
+    assert n_again > 20 and n_first > 20
+    assert [docs[41][1][s["start"] : s["start"] + s["length"]] for s in got[41]] == [often[13]]
+
+
 # --- 3 ---
 
 def test_packing(docs, rows, empty):
