@@ -12,6 +12,7 @@ their name is one of the five that are added, which then replaces it.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,24 +32,39 @@ BLOCK_FROM = 0.55
 #: Wrongly blocking counts as much as wrongly allowing this many times.
 WANTED_WEIGHT = 3.0
 
-#: Words that mark hosts and paths of the labelled examples: 1 is unwanted, 0 is wanted.
+#: Words that mark hosts or paths of the labelled examples: 1 is unwanted, 0 is wanted.
 UNWANTED = "casino betting bets poker slots jackpot pills cheap-pills pharma viagra cheap-meds adult xxx porn escort spam link-farm farm-links ads adserver tracker track clickbait payday-loans replica warez".split()
-WANTED = "news library museum science weather garden history cooking school travel music river mountain theatre reading thinking writing there other stone therein tion-notes hand-tools letters archive journal forum recipes maps atlas radio paper wood".split()
+WANTED = "news library museum science weather garden history cooking school travel music river mountain theatre reading thinking writing stone hand-tools letters archive journal forum recipes maps atlas radio paper wood roads beads adventure essays".split()
 
-
-SHAPES = ("{w}", "{w}-x", "best-{w}", "the{w}s")
-PLACES = (("", "com", "/en/{n}"), ("www.", "net", "/fr/{n}.html"), ("m.", "org", "/de/{n}/"), ("blog.", "net", "/es/{n}"))
+SHAPES = ("{w}", "{w}", "{w}-{a}", "{a}-{w}", "{w}{a}", "{a}{w}", "best-{w}", "my{w}", "{w}s", "{w}{n}")
+HOSTS = ("{m}.{top}", "www.{m}.{top}", "m.{m}.{top}", "blog.{m}.{top}", "shop.{m}.{top}", "{m}.{a}.{top}", "www.{m}.{a}.{top}", "en.{a}.{m}.{top}")
+TOPS = ("com", "net", "org", "info", "co.uk", "de", "fr", "io", "biz", "eu", "example.com", "example.net", "example.org")
+PATHS = ("/{m}", "/{m}/", "/{m}/{n}", "/{n}/{m}.html", "/{a}/{m}", "/{a}/{m}/{n}", "/{m}/{a}.php", "/2019/{n}/{m}-{a}/", "/category/{m}/page/{n}", "/{b}/{a}/{m}")
+PLAIN = ("", "/", "/{n}", "/en/{n}", "/fr/{n}.html", "/{a}", "/{a}/{n}/", "/{a}/{b}.html", "/index.php", "/2019/{n}/{a}-{b}/", "/page/{n}", "/{a}{n}.htm")
+#: Urls of an unwanted and a wanted word for each place of its mark: host, path or both.
+PER_WORD = {1: 28, 0: 14}
 
 
 def labelled_urls() -> pd.DataFrame:
-    """The default training table: each marking word as a host in all shapes and places."""
+    """The default training table: marking words in hosts, in paths and in both, among made-up names, and urls without any.
+
+    An unwanted word in either place makes a url unwanted, whatever stands in the other.
+    """
+    r = random.Random(3)
+    name = lambda: "".join(r.choice("bcdfghklmnprstvwz") + r.choice(("a", "e", "i", "o", "u", "er", "an", "th")) for _ in range(r.randint(2, 4)))
+    fill = lambda shape, **given: shape.format(**{"a": name(), "b": name(), "n": r.randint(1, 2000), "top": r.choice(TOPS), **given})
+    host = lambda word: fill(r.choice(HOSTS), m=fill(r.choice(SHAPES), w=word))
+    path = lambda word: fill(r.choice(PATHS), m=fill(r.choice(SHAPES), w=word))
+    plain = lambda: fill(r.choice(PLAIN))
     rows = []
     for label, words in ((1, UNWANTED), (0, WANTED)):
-        for i, word in enumerate(words):
-            for j, (prefix, top, path) in enumerate(PLACES):
-                for k, shape in enumerate(SHAPES):
-                    rows.append((f"https://{prefix}{shape.format(w=word)}.example.{top}{path.format(n=37 * i + 11 * j + 5 * k)}", label))
-    return pd.DataFrame(rows, columns=["url", "label"])
+        for word in words:
+            for _ in range(PER_WORD[label]):
+                rows += [(host(word) + plain(), label), (host(name()) + path(word), label)]
+                other = r.choice(WANTED)
+                rows.append((host(word) + path(other) if r.random() < 0.5 else host(other) + path(word), label))
+    rows += [(host(name()) + plain(), 0) for _ in range(PER_WORD[0] * len(WANTED))]
+    return pd.DataFrame([("https://" + url, label) for url, label in rows], columns=["url", "label"])
 
 
 def split_url(url: Column) -> tuple[Column, Column]:

@@ -85,6 +85,18 @@ def test_url_model_generalises():
     assert min(bad) > max(good)
 
 
+def test_url_model_reads_paths_and_unseen_hosts():
+    model = url_filter.train(url_filter.labelled_urls())
+    share = lambda hosts, paths: np.mean([model.unwanted(h, p) >= url_filter.BLOCK_FROM for h in hosts for p in paths])
+    hosts = ["oakfield.info", "elmgrove.co.jp", "brightwater.se", "www.kestrel.museum.nz", "harbour-view.ca"]
+    marked = ["/casino", "/poker/slots.html", "/cheap-pills/casino", "/2021/viagra-online/", "/tags/porn", "/deals/payday-loans/apply", "/video/xxx/12", "/en/betting-tips.aspx", "/shop/replica-watches"]
+    unmarked = ["/museum/garden", "/about-us", "/2021/school-lunch/", "/tags/rivers", "/video/concert/12", "/en/gardening-tips.aspx", "/contact.html", "/docs/install", "/shop/wooden-chairs", ""]
+    unwanted_hosts = ["thecasinoking.tv", "pokerworld.se", "online-pharma24.ru", "sexy-escortgirls.me", "best.jackpotcity.co", "warezforum.to"]
+    wanted_hosts = ["cityoflibraries.se", "weatherstation.ca", "oldmusicshop.pl", "brightwater.se", "elmgrove.co.jp", "northern-journal.nz"]
+    assert share(hosts, marked) >= 0.9 and share(hosts, unmarked) <= 0.05
+    assert share(unwanted_hosts, unmarked) >= 0.75 and share(wanted_hosts, unmarked) <= 0.05
+
+
 # --- 2 ---
 
 def brute_units(rows, least=substring.MIN_WORDS):
