@@ -116,21 +116,68 @@ def ncd(pairs: DataFrame, texts: DataFrame, codec: str = "zlib") -> DataFrame:
     return joined.select("a", "b", F.when(top == 0, 0.0).otherwise((F.col("c") - F.least("ca", "cb")) / top).alias("ncd"))
 
 
-def ncd_to_reference(docs: DataFrame, reference: bytes, codec: str = "zlib") -> DataFrame:
-    """1 - distance of each text to one reference blob, whose size the caller bounds."""
+#: Bytes of a block of the reference: half of zlib's window, so that a text of that size before it is still in reach.
+BLOCK = 1 << 14
+#: Bytes of texts, and blocks, that one group of comparisons holds.
+HELD_TEXTS, HELD_BLOCKS = 1 << 23, 64
+
+
+def reference_blocks(texts: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
+    """(block, reference): all texts in their order, joined by line ends and cut every ``block`` bytes; one empty block if there are none."""
+    own = texts.where(F.col("text").isNotNull()).select(F.col(order).alias("o"), F.col("text").cast("binary").alias("t"))
+    # kept, as the ranges may differ when they are drawn again
+    ranged = own.repartitionByRange("o", "t").withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum(F.length("t") + 1).alias("n")).collect()}
+    spark = texts.sparkSession
+    if not sizes:
+        return spark.createDataFrame([(0, b"")], "block long, reference binary")
+    parts = sorted(sizes)
+    begin = spark.createDataFrame([(p, sum(sizes[q] for q in parts if q < p)) for p in parts], "part int, begin long")
+    total = sum(sizes.values()) - 1
+    w = Window.partitionBy("part").orderBy("o", "t").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("z", F.sum(F.length("t") + 1).over(w)).join(F.broadcast(begin), "part")
+    z = F.col("begin") + F.col("z")
+    placed = placed.select((z - F.length("t") - 1).alias("a"), F.least(z, F.lit(total)).alias("z"), F.concat("t", F.lit(b"\n")).alias("t"))
+    of = F.sequence(F.floor(F.col("a") / block), F.floor((F.col("z") - 1) / block))
+    cut = placed.where("z > a").select("*", F.explode(of).alias("block"))
+    lo, hi = F.greatest("a", F.col("block") * block), F.least("z", (F.col("block") + 1) * block)
+    pieces = cut.select("block", lo.alias("at"), F.substring("t", (lo - F.col("a") + 1).cast("int"), (hi - lo).cast("int")).alias("piece"))
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "piece"))), F.lit(b""), lambda x, y: F.concat(x, y["piece"]))
+    found = pieces.groupBy("block").agg(joined.alias("reference"))
+    return found if total else spark.createDataFrame([(0, b"")], "block long, reference binary")
+
+
+def ncd_to_reference(docs: DataFrame, blocks: DataFrame, codec: str = "zlib") -> DataFrame:
+    """1 - distance of each text to the reference: the mean over all its blocks, by their bytes.
+
+    Texts and blocks are dealt to pairs of groups of bounded size; one block gives the distance to it.
+    """
     size = CODECS[codec]
-    own = size(reference)
-
-    @F.pandas_udf("double")
-    def near(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            b = t.encode()
-            c, both = size(b), size(b + reference)
-            out.append(1 - (both - min(c, own)) / max(c, own) if max(c, own) else 1.0)
-        return pd.Series(out, dtype="float64")
-
-    return docs.select("doc_id", near("text").alias("nearness"))
+    alone = F.pandas_udf(lambda s: s.map(lambda t: size(bytes(t))).astype("int64"), "long")
+    numbered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups, parts = -(-blocks.count() // HELD_BLOCKS), n_bytes // HELD_TEXTS + 1
+    pair = ["part", "group"]
+    # null texts have no nearness
+    x = numbered.where(F.col("text").isNotNull()).withColumn("size", alone("text")).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    x = x.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    y = blocks.withColumn("own", alone("reference")).withColumn("group", F.pmod(F.col("block"), F.lit(groups)).cast("long"))
+    y = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def near(texts: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        out, some = [], some.sort_values("block")
+        for text, c in zip(texts["text"], texts["size"], strict=True):
+            total = 0.0
+            for reference, own in zip(some["reference"], some["own"], strict=True):
+                total += max(1, len(reference)) * (1 - (size(bytes(text) + bytes(reference)) - min(c, own)) / max(c, own))
+            out.append(total)
+        weight = int(some["reference"].map(lambda b: max(1, len(b))).sum())
+        return pd.DataFrame({"row": texts["row"], "doc_id": texts["doc_id"], "near": out, "weight": weight}, columns=["row", "doc_id", "near", "weight"])
+
+    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, near double, weight long"
+    found = x.groupBy(*pair).cogroup(y.groupBy(*pair)).applyInPandas(near, schema)
+    missing = numbered.where(F.col("text").isNull()).select("row", "doc_id", F.lit(None).cast("double").alias("near"), F.lit(1).cast("long").alias("weight"))
+    return found.unionByName(missing).groupBy("row", "doc_id").agg((F.sum("near") / F.sum("weight")).alias("nearness")).drop("row")
 
 
 def split_reference(docs: DataFrame, seed: str = "seed") -> DataFrame:

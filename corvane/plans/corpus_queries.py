@@ -183,9 +183,9 @@ def _(spark, d):
 
 @query("x12_ncd_to_reference")
 def _(spark, d):
-    # the reference is the benchmark's first texts, at most 64 kB
-    blob = "\n".join(r["text"] for r in I.table(spark, d, "benchmark").orderBy("item_id").limit(100).collect()).encode()[:65536]
-    return C.ncd_to_reference(I.corpus(spark, d), blob)
+    # sums come in no fixed order
+    near = C.ncd_to_reference(I.corpus(spark, d), C.reference_blocks(I.table(spark, d, "benchmark"), "item_id"))
+    return near.select("doc_id", F.round("nearness", 9).alias("nearness"))
 
 
 @query("x13_split_reference", W + "SELECT doc_id, category, row_number() OVER (PARTITION BY category ORDER BY md5('seed' || doc_id), doc_id) <= floor(count(*) OVER (PARTITION BY category) / 2) AS reference FROM corpus")

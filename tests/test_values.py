@@ -103,6 +103,31 @@ def test_compression_distance(spark):
     assert got[1, 2] < 0.3 < 0.7 < got[1, 3]
 
 
+def test_distance_to_the_whole_reference(spark, monkeypatch):
+    texts = [(i, f"text {i} é " * (i % 7 * 30)) for i in range(40)] + [(40, "a long one " * 900), (41, None), (42, "the last words of the reference")]
+    table = spark.createDataFrame(texts, "item_id long, text string").repartition(3)
+    whole = "\n".join(t for _, t in texts if t is not None).encode()
+    docs = spark.createDataFrame([(1, "the last words of the reference " * 9), (1, "text 3 é"), (2, ""), (3, None), (4, "xyz " * 50)], "doc_id long, text string")
+    size = C.CODECS["zlib"]
+    for block in (1000, 1 << 20):
+        monkeypatch.setattr(C, "HELD_BLOCKS", 5)
+        monkeypatch.setattr(C, "HELD_TEXTS", 100)
+        blocks = C.reference_blocks(table, "item_id", block)
+        got = [bytes(r["reference"]) for r in blocks.orderBy("block").collect()]
+        assert got == [whole[k : k + block] for k in range(0, len(whole), block)]
+        near = sorted(((r["doc_id"], r["nearness"]) for r in C.ncd_to_reference(docs, blocks).collect()), key=lambda r: (r[0], r[1] or 0))
+        want = []
+        for r in docs.collect():
+            if r["text"] is None:
+                want.append((r["doc_id"], None))
+                continue
+            t = r["text"].encode()
+            want.append((r["doc_id"], sum(len(b) * (1 - (size(t + b) - min(size(t), size(b))) / max(size(t), size(b))) for b in got) / len(whole)))
+        for g, w in zip(near, sorted(want, key=lambda r: (r[0], r[1] or 0)), strict=True):
+            assert g[0] == w[0] and (g[1] == w[1] or abs(g[1] - w[1]) < 1e-9)
+    assert C.reference_blocks(table.limit(0), "item_id").collect()[0]["reference"] == b""
+
+
 def test_rank_test_without_a_side(spark):
     df = spark.createDataFrame([("A", 1.0), ("A", 2.0)], "category string, x double")
     r = C.mann_whitney(df, "x", F.col("category") == "A", F.col("category") == "B").first()
