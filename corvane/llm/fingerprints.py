@@ -2,16 +2,26 @@
 
 A text is cut into words (at most ``WORD_CHARS`` code points each), and its
 k-mers are runs of ``K`` words.  Every k-mer is numbered by its occurrence in the
-text; the hash of k-mer and number deals it to one of ``SLOTS`` slots and ranks it
-there (one permutation serves all slots).  Each slot keeps its ``PER_SLOT``
-smallest k-mers, puts them back in text order, and hashes them as a tuple, so
-that a slot agrees between two texts only if they hold the same k-mers in the
-same order.  The likeness of two fingerprints is the share of agreeing slots
-among those that either uses; two fingerprints without any k-mer are alike (1.0).
+text, and the hash of k-mer and number puts it on a circle of 64-bit values.  Slot
+i orders the circle from the point ``i / SLOTS`` of the way round on, a permutation
+of its own; it takes the ``PER_SLOT`` smallest k-mers in that order, puts them back
+in text order, and hashes them as a tuple.  A slot agrees between two texts only if
+they hold the same k-mers in the same order.  Every slot of a text with at least
+``PER_SLOT`` k-mers holds ``PER_SLOT`` of them, so order counts in short texts too.
+The likeness of two fingerprints is the share of agreeing slots; an empty
+fingerprint is like another empty one (1.0) and unlike all others (0.0).
+
+Rotations of one random order stand for independent permutations: two random
+points of the circle share their smallest k-mer with a chance of 2 / (n + 1) among
+n k-mers, two independent permutations with 1 / n.
 
 Defined results: a null text counts as empty and has the all-zero fingerprint; a
 text of fewer than ``K`` words is a single k-mer; equal texts have equal
-fingerprints.  Rows without an id form an order of their own, after the others.
+fingerprints.  Of repeated rows of one id each is a row of the order, by the hash
+of its text.  Rows without an id are no part of the order: their next text is
+empty.  An empty table gives no rows.  Other columns are not carried, whatever
+their names.  A text's words and hashes are held by the task that reads it, some 50
+bytes for each word, and a text may have up to 2**31 words.
 """
 
 from __future__ import annotations
@@ -25,26 +35,27 @@ from .tables import read
 
 K = 3
 WORD_CHARS = 16
-SLOTS = 32
+SLOTS = 64
 PER_SLOT = 2
+#: Ranges of ids that are ordered apart; each is one key of the shuffle.
+RANGES = 20_000
 
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def kmers(words: Column, k: int) -> Column:
     """Hashes of the runs of k words."""
     n = F.size(words)
     runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[words[i + j] for j in range(k)]))
-    nothing = F.array().cast("array<bigint>")
-    return F.when(n == 0, nothing).when(n < k, F.array(F.xxhash64(words))).otherwise(runs)
+    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(words))).otherwise(runs)
 
 
-def numbered(hashes: Column, slots: int) -> Column:
-    """Slot, rank, place and hash of each occurrence-numbered k-mer, sorted."""
-    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+def numbered(hashes: Column) -> Column:
+    """Hashes of k-mer and occurrence number, in text order."""
+    plain = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))
 
     def runs(s: Column) -> Column:
         n = F.size(s)
@@ -53,81 +64,119 @@ def numbered(hashes: Column, slots: int) -> Column:
         def number(firsts: Column) -> Column:
             def one(first: Column, r: Column) -> Column:
                 end = F.when(r + 1 < F.size(firsts), firsts[F.least(r + 1, F.size(firsts) - 1)]).otherwise(n)
-                return F.transform(
-                    F.slice(s, first + 1, end - first),
-                    lambda x, occurrence: let(F.xxhash64(x["h"], occurrence), lambda g: F.struct(F.pmod(g, F.lit(slots)).cast("int").alias("slot"), g.alias("g"), x["at"].alias("at"), x["h"].alias("h"))),
-                )
+                return F.transform(F.slice(s, first + 1, end - first), lambda x, occurrence: F.struct(x["at"].alias("at"), F.xxhash64(x["h"], occurrence).alias("g")))
 
-            return F.flatten(F.transform(firsts, one))
+            return F.transform(F.sort_array(F.flatten(F.transform(firsts, one))), lambda x: x["g"])
 
-        return F.sort_array(let(starts, number))
+        return let(starts, number)
 
-    return let(placed, runs)
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), plain).otherwise(let(placed, runs))
 
 
-def fingerprint(text: Column, k: int = K, slots: int = SLOTS, per_slot: int = PER_SLOT) -> Column:
-    """The tuple hash of each slot as an array of ints; 0 where a slot is empty."""
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % WORD_CHARS), F.lit(0))
+def slot_hashes(hashes: Column, ranks: Column, slots: int, per_slot: int) -> Column:
+    """The tuple hash of each slot from the k-mers and their ranks, both in text order.
+
+    A rank's low bits give way to the k-mer's place, so that one sort of longs
+    orders the circle; the slots' starting points are sorted among them, and a
+    starting point's place there tells how many ranks are below it.
+    """
+    bits = F.when(F.size(ranks) < (1 << 24) - 1, F.lit((1 << 24) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
+    points = F.array(*[F.lit((i << 64) // slots - (1 << 63)).cast("long").bitwiseOR(F.lit((1 << 31) - 1).cast("long")) for i in range(slots)])
+
+    def of(mask: Column) -> Column:
+        circle = F.sort_array(F.concat(F.transform(ranks, lambda r, i: r.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))), points))
 
-    def slot_hashes(ranked: Column) -> Column:
-        least = F.filter(ranked, lambda x, i: (i < per_slot) | (ranked[F.greatest(i - per_slot, F.lit(0))]["slot"] != x["slot"]))
+        def cut(c: Column) -> Column:
+            below = F.filter(F.transform(c, lambda x, j: F.when(x.bitwiseAND(mask) == mask, j)), lambda j: j.isNotNull())
+            places = F.filter(F.transform(c, lambda x: F.when(x.bitwiseAND(mask) != mask, x.bitwiseAND(mask).cast("int"))), lambda p: p.isNotNull())
 
-        def one(chosen: Column) -> Column:
-            def of(slot: Column) -> Column:
-                own = F.sort_array(F.transform(F.filter(chosen, lambda x: x["slot"] == slot), lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"))))
-                return let(own, lambda t: F.when(F.size(t) == 0, F.lit(0)).otherwise(F.hash(F.transform(t, lambda x: x["h"])).bitwiseOR(1)))
+            def each(p: Column) -> Column:
+                n = F.size(p)
 
-            return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), of)
+                def tuple_hash(b: Column, i: Column) -> Column:
+                    chosen = F.array_sort(F.transform(F.sequence(F.lit(0), F.least(F.lit(per_slot), n) - 1), lambda j: p[(b - i + j) % n]))
+                    return F.hash(F.transform(chosen, lambda at: hashes[at])).bitwiseOR(1)
 
-        return let(least, one)
+                return F.transform(below, tuple_hash)
 
+            return let(places, each)
+
+        return let(circle, cut)
+
+    return let(bits, of)
+
+
+def fingerprint(text: Column, k: int = K, slots: int = SLOTS, per_slot: int = PER_SLOT) -> Column:
+    """The tuple hash of each slot as an array of ints; all 0 without words."""
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % WORD_CHARS), F.lit(0))
     empty = F.array_repeat(F.lit(0), slots)
-    return let(let(words, lambda w: kmers(w, k)), lambda h: F.when(F.size(h) == 0, empty).otherwise(let(numbered(h, slots), slot_hashes)))
+    return let(let(words, lambda w: kmers(w, k)), lambda h: F.when(F.size(h) == 0, empty).otherwise(let(numbered(h), lambda g: slot_hashes(h, g, slots, per_slot))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing slots among those that either fingerprint uses."""
-    used = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda v: v))
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) & (x == y)), lambda v: v))
-    return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
+    """Share of agreeing slots."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda v: v))
+    return same / F.size(a)
 
 
 def as_text(slots: Column) -> Column:
     return F.array_join(F.transform(slots, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")), "")
 
 
-def with_next(rows: DataFrame, documents: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``next_<column>`` from the following row in descending doc_id; the last is followed by the first.
+def id_range(documents: DataFrame) -> Column:
+    """The number of the range that a row's doc_id lies in; ranges hold about as many rows each.
 
-    Ids are cut into about as many ranges as a range holds rows, each ordered by
-    a window of its own.  The first row of a range is also put behind the last
-    row of the range above it, so that no window spans the table.
+    There are about sqrt(rows) ranges, ``RANGES`` at most.  Their bounds are
+    quantiles of the ids, whatever the ids' spread, and are looked up in two steps.
+    """
+    count = documents.count()
+    wanted = min(RANGES, math.ceil(math.sqrt(count)))
+    bounds = documents.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], max(1000, 5 * wanted))).first()[0] if wanted > 1 else None
+    bounds = sorted(set(bounds or ()))
+    if not bounds:
+        return F.lit(0)
+    step = math.ceil(math.sqrt(len(bounds)))
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    up_to = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
+    own = let(up_to(longs([g[0] for g in groups])) - 1, lambda g: F.when(g < 0, 0).otherwise(g * step + up_to(F.get(F.array(*map(longs, groups)), g))))
+    return own
+
+
+def with_next(documents: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """Rows of (doc_id, text) with made columns, and all but doc_id again as ``next_<column>`` from the row that follows in descending doc_id.
+
+    The last row is followed by the first; every id is known.  Each range of ids is
+    ordered by a window of its own.  The first row of a range is also put behind the
+    last row of the range above it, so no window spans the table.
     """
-    low, high, count = documents.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / max(1.0, math.sqrt(count))))
-    part = F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    # one row for each of about sqrt(count) ranges
+    rows = documents.withColumns({"part": id_range(documents), "tie": F.xxhash64("text"), "copy": F.lit(False)})
+    heads = rows.groupBy("part").agg(F.max("doc_id").alias("doc_id"))
+    # a row for each range: RANGES at most
     order = Window.orderBy(F.desc("part"))
-    heads = documents.select("doc_id", part.alias("part")).groupBy("part").agg(F.max("doc_id").alias("doc_id"))
-    above = heads.select("doc_id", F.coalesce(F.lag("part").over(order), F.min("part").over(Window.partitionBy())).alias("part"))
-    copies = rows.join(F.broadcast(above), rows["doc_id"].eqNullSafe(above["doc_id"])).select(above["part"], *[rows[c] for c in rows.columns], F.lit(True).alias("copy"))
-    # a repeated id counts once here, by its least text
-    copies = copies.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("tie"))).where("nth = 1").drop("nth")
-    every = rows.withColumn("part", part).withColumn("copy", F.lit(False)).unionByName(copies)
+    above = heads.select("doc_id", F.coalesce(F.lag("part").over(order), F.min("part").over(Window.partitionBy())).alias("above"))
+    copies = rows.join(F.broadcast(above), "doc_id")
+    first = copies.groupBy("above").agg(F.min("tie").alias("tie"))  # of repeated ids one row follows
+    copies = copies.join(F.broadcast(first), ["above", "tie"]).dropDuplicates(["above"])
+    copies = copies.select("doc_id", "text", F.col("above").alias("part"), "tie", F.lit(True).alias("copy"))
+    every = rows.unionByName(copies).withColumns(made)
     ordered = Window.partitionBy("part").orderBy("copy", F.desc("doc_id"), "tie")
-    return every.select("*", *[F.lead(c).over(ordered).alias(f"next_{c}") for c in columns]).where(~F.col("copy"))
+    led = {f"next_{c}": F.lead(c).over(ordered) for c in ("text", *made)}
+    return every.withColumns(led).where(~F.col("copy")).drop("part", "tie", "copy")
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness."""
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), fingerprint(F.col("text")).alias("slots"))
-    paired = with_next(rows, documents, ["text", "slots"])
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    made = {"slots": fingerprint(F.col("text"))}
+    paired = with_next(rows.where(F.col("doc_id").isNotNull()), made)
+    alone = rows.where(F.col("doc_id").isNull()).withColumns(made).withColumns({"next_text": F.lit(""), "next_slots": F.array_repeat(F.lit(0), SLOTS)})
     n = F.char_length("text")
     edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(char_length(text) / 3) as int))"))
-    full = paired.select("doc_id", n.cast("long").alias("n_chars"), "slots", "next_slots", edited.alias("edited"))
-    made = full.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "slots", "next_slots", fingerprint(F.col("edited")).alias("edited_slots"))
-    return made.select(
+    full = paired.unionByName(alone).select("doc_id", n.cast("long").alias("n_chars"), "slots", "next_slots", edited.alias("edited"))
+    prints = full.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "slots", "next_slots", fingerprint(F.col("edited")).alias("edited_slots"))
+    return prints.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("slots")).alias("fingerprint"), as_text(F.col("edited_slots")).alias("edited_fingerprint"),
         likeness(F.col("slots"), F.col("edited_slots")).alias("near_edited"), likeness(F.col("slots"), F.col("next_slots")).alias("near_next"),
     )

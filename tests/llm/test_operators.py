@@ -404,24 +404,61 @@ def brute_fingerprint(hashes, slots, per_slot, g):
     """Slots of an occurrence-numbered sequence of k-mer hashes, as tuples in text order."""
     seen, placed = collections.Counter(), []
     for at, h in enumerate(hashes):
-        placed.append((g[h, seen[h]], at, h))
+        placed.append((g[h, seen[h]] & ~0xFFFFFF, at, h))  # low bits hold the place
         seen[h] += 1
     out = []
-    for s in range(slots):
-        least = sorted(p for p in placed if p[0] % slots == s)[:per_slot]
+    for i in range(slots):
+        start = (i << 64) // slots - (1 << 63)
+        least = sorted(placed, key=lambda p: ((p[0] - start) % (1 << 64), p[1]))[:per_slot]
         out.append(tuple(h for _, at, h in sorted(least, key=lambda p: p[1])))
     return out
 
 
-def test_fingerprint_keeps_order(spark):
-    words = "one two three four five six one two three seven eight one two three".split()
+def prints(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", fingerprints.fingerprint(F.col("text")).alias("f")).orderBy("i").collect()
+    return [r["f"] for r in rows]
+
+
+@pytest.mark.parametrize("words", ["one two three four five six one two three seven eight one two three", "one two three four", "one two three", "one", "a b a b a b a b a b a b a b"])
+def test_fingerprint_by_definition(spark, words):
+    words = words.split()
     df = spark.createDataFrame([(" ".join(words),)], "text string")
     h = df.select(fingerprints.kmers(F.split("text", " "), 3).alias("h")).first()["h"]
-    pairs = spark.createDataFrame([(x, o) for x in set(h) for o in range(4)], "h long, o int").select("h", "o", F.xxhash64("h", "o").alias("g")).collect()
+    pairs = spark.createDataFrame([(x, o) for x in set(h) for o in range(14)], "h long, o int").select("h", "o", F.xxhash64("h", "o").alias("g")).collect()
     want = brute_fingerprint(h, fingerprints.SLOTS, fingerprints.PER_SLOT, {(r["h"], r["o"]): r["g"] for r in pairs})
     got = df.select(fingerprints.fingerprint(F.col("text")).alias("f")).first()["f"]
-    hashed = {t: spark.createDataFrame([(list(t),)], "t array<long>").select(F.hash("t").bitwiseOR(1).alias("v")).first()["v"] for t in set(want) if t}
-    assert got == [hashed[t] if t else 0 for t in want]
+    named = spark.createDataFrame([(list(t),) for t in sorted(set(want))], "t array<long>").select("t", F.hash("t").bitwiseOR(1).alias("v")).collect()
+    hashed = {tuple(r["t"]): r["v"] for r in named}
+    assert got == [hashed[t] for t in want]
+
+
+@pytest.mark.parametrize("n", range(5, 21, 3))
+def test_short_texts_differ_by_order(spark, n):
+    r = random.Random(n)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    runs = [words[k : k + 3] for k in range(n - 2)]
+    r.shuffle(runs)
+    ordered, same_words, a, b = prints(spark, [" ".join(words), " ".join(reversed(words)), " ".join(" ".join(x) for x in runs), " ".join(" ".join(x) for x in reversed(runs))])
+    assert sum(x == y for x, y in zip(ordered, same_words)) <= 2
+    assert sum(x == y for x, y in zip(a, b)) < 0.7 * fingerprints.SLOTS  # the same runs in another order
+
+
+def test_next_with_skewed_repeated_and_missing_ids(spark):
+    ids = [None, None, -(10**15), 10**17, 10**17 - 1, *range(40), 7, 7]
+    rows = [(i, f"text number {k} of the table with a few words") for k, i in enumerate(ids)]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    texts = collections.defaultdict(set)
+    for i, t in rows:
+        texts[i].add(t)
+    order = sorted({i for i in ids if i is not None}, reverse=True)
+    follow = {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
+    for g in got:
+        nexts = texts[follow[g["doc_id"]]] | (texts[g["doc_id"]] if g["doc_id"] == 7 else set()) if g["doc_id"] is not None else {""}
+        possible = {hashlib.sha256((t[: len(t) - len(t) // 3] + x[: len(t) // 3]).encode()).hexdigest() for t in texts[g["doc_id"]] for x in nexts}
+        assert g["edited_sha256"] in possible
+    one = fingerprints.fingerprint_documents(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).first()
+    assert one["near_next"] == 1.0
 
 
 def test_near_duplicates_with_repeats_and_missing_ids(spark):
