@@ -202,19 +202,68 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, BYTES).count() == 0
 
 
-@pytest.mark.parametrize("segments,loss", [(3, 2047), (128, 50), (2, 20)])
-def test_packer_keeps_all_limits(segments, loss):
-    done, r = [], random.Random(1)
-    packer = packing.Packer(done.append, 64, segments, loss, pool_size=10)
-    total = 0
-    for k in range(200):
-        n = r.randint(1, 150)
-        total += n
-        packer.add(k, np.zeros(n, dtype="<u4").tobytes())
+@pytest.mark.parametrize("seed", range(60))
+def test_packer_keeps_all_limits(seed):
+    r, done = random.Random(seed), []
+    tokens, segments, loss = r.choice([16, 64, 100]), r.randint(1, 9), r.randint(1, 90)
+    packer, docs = packing.Packer(done.append, tokens, segments, loss, pool_size=r.randint(1, 10)), {}
+    if seed == 0:
+        packer, docs = packing.Packer(done.append, 64, 2, 20), {0: (20, 0), 1: (20, 0)}
+    else:
+        for k in range(r.randint(0, 80)):
+            n = r.choice([1, 20, tokens, r.randint(1, 250)])
+            docs[k] = (n, r.choice([0, 0, r.randint(0, n)]))
+    for k, (n, prompt) in docs.items():
+        packer.add(k, np.arange(n, dtype="<u4").tobytes(), prompt)
     packer.close()
-    assert sum(p.tokens for s in done for p in s) == total
+    pieces = collections.defaultdict(list)
     for s in done:
-        assert sum(p.tokens for p in s) <= 64 and len(s) <= segments and sum(p.tokens - 1 for p in s) <= loss
+        assert 0 < sum(p.tokens for p in s) <= packer.tokens and len(s) <= packer.segments
+        borne = 0
+        for p in s:
+            pieces[p.doc].append(p)
+            borne += sum(k >= p.prompt for k in range(p.start + 1, p.start + p.tokens))
+        assert borne == sum(p.loss for p in s) <= packer.loss
+    for k, (n, _) in docs.items():
+        own = sorted(pieces[k], key=lambda p: p.start)
+        assert b"".join(p.ids for p in own) == np.arange(n, dtype="<u4").tobytes()
+
+
+def test_loss_limit_binds_on_conversations(spark, data):
+    turns = spark.read.parquet(f"{data}/conversations.parquet")
+    asked = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(
+        F.concat_ws("\n", F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.col("text"))))).alias("asked"), F.concat_ws("\n", F.array_sort(F.collect_list(F.when(F.col("role") != "user", F.col("text"))))).alias("text")
+    )
+    got = packing.pack_documents(asked.coalesce(1), BYTES, 512, 16, 128, prompt="asked").toPandas()
+    by = got.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss_tokens", "sum"))
+    assert (by["tokens"] <= 512).all() and (by["segments"] <= 16).all() and (by["loss"] <= 128).all() and (by["loss"] == 128).any()
+    whole = packing.pack_documents(asked, BYTES, 512, 16, 511, prompt="asked").toPandas()
+    assert got["loss_tokens"].sum() > 0 and got["length"].sum() == whole["length"].sum()
+
+
+def test_other_vocabularies_go_through_tokenizers(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    lower = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.encoder(BYTES).by_rank is not None and packing.encoder(lower).by_rank is None
+    text = "Some words, ANOTHER  one"
+    assert np.frombuffer(packing.encoder(lower)(text), dtype="<u4").tolist() == Tokenizer.from_file(lower).encode(text, add_special_tokens=False).ids
+    with open(BYTES, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"][5:7] = spec["model"]["merges"][6:4:-1]
+    (tmp_path / "swapped.json").write_text(json.dumps(spec))
+    assert packing.merge_ranks(spec) is None
+
+
+def test_packing_repeats_missing_ids_and_long_texts(spark):
+    long = "word and another, " * 60_000
+    rows = [(1, "a b"), (1, "a b"), (None, "c"), (2, long), (3, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), BYTES).toPandas()
+    assert (got[got["doc_id"] == 1]["length"] == 3).sum() == 2 and got["doc_id"].isna().sum() == 1
+    assert got[got["doc_id"] == 2]["length"].sum() == got[got["doc_id"] == 2]["doc_tokens"].iloc[0]
+    assert got["length"].sum() == 3 + 3 + 2 + 1 + got[got["doc_id"] == 2]["doc_tokens"].iloc[0]
 
 
 def test_encoder_on_odd_spaces():
