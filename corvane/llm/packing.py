@@ -25,6 +25,7 @@ whole text beside its pool, 4 bytes a token, whatever the text's length.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from array import array
@@ -87,10 +88,13 @@ class Encoder:
     """Token ids of a vocabulary file, as the tokenizers library gives them, as 32-bit little-endian bytes.
 
     Where merging by rank is the same (see ``merge_ranks``), ``tiktoken`` does it, in
-    a third of the time; texts with a special token's string, and all texts of other
-    files, go through ``tokenizers``.
+    a third of the time; texts with a special token's string or with very long white
+    space, on which its pattern runs out of stack, and all texts of other files go
+    through ``tokenizers``.
     """
 
+    BLANK = re.compile(r"\s{10000}")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -105,7 +109,7 @@ class Encoder:
             self.by_rank = tiktoken.Encoding("ranks", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        if self.by_rank is None or any(s in text for s in self.special):
+        if self.by_rank is None or any(s in text for s in self.special) or self.BLANK.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         ids = array("I", self.by_rank(text))
         return ids.tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()

@@ -270,7 +270,7 @@ def test_encoder_on_odd_spaces():
     from tokenizers import Tokenizer
 
     whole, own, r = Tokenizer.from_file(BYTES), packing.encoder(BYTES), random.Random(2)
-    for text in ["", " ", "a  b", "a   b", " a", "a ", "a\n b", "a \n b", "\n\n a", "<|endoftext|> x", *("".join(r.choice("ab \n\t1é日'.") for _ in range(r.randint(1, 40))) for _ in range(500))]:
+    for text in ["", " ", "a  b", "a" + " " * 2_000_000 + "b", " \n" * 4999 + "b", "x" * 300_000, "a   b", " a", "a ", "a\n b", "a \n b", "\n\n a", "<|endoftext|> x", *("".join(r.choice("ab \n\t1é日'.") for _ in range(r.randint(1, 40))) for _ in range(500))]:
         assert np.frombuffer(own(text), dtype="<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
