@@ -1,27 +1,26 @@
-"""Substring dedup by hashing units of lines and paragraphs.
-
-A text is cut at line ends and, within a line, at sentence ends, so that a
-passage is found inside otherwise different lines.  A sentence of ``MIN_WORDS``
-words is a unit of its own; shorter ones are put together, up to ``MIN_WORDS``
-words, with the next short ones of their line and never beyond its end.  A unit's
-normal form is its words, A-Z lower-cased, joined by single spaces.  What stays
-shorter than ``MIN_WORDS`` words has the whole line's normal form and its place
-among such rests instead, so that a repeated line goes as a whole.  Digests of the
-normal forms are grouped over the whole table and the earliest occurrence, by
-document and place, is kept.  The others are removed together with the white space
-that follows them, and their places in the original text are returned.
-
-Defined results: null texts stay null and have no units; lines of
-fewer than ``MIN_WORDS`` words are units that are kept; words are what ASCII white
-space parts; repeated rows of one id are one
-document and lose the same units; rows without an id are returned as they are.
-Other columns pass through, unless they have the name of an added one.
+"""Substring dedup by hashing sentences of lines and grouping their digests globally.
+
+A text's lines are cut after sentence marks; a sentence of fewer than ``SHORT``
+words belongs to the unit before it in its line, so that where a unit begins and
+ends depends on its own words alone, wherever it stands.  A unit's normal form is
+its words with A-Z lower-cased; its 128-bit digest is made once and grouped over the
+whole table.  The earliest occurrence, by document and place, stays.  Later ones
+are repeated units, and stretches of neighbouring repeated units (over line ends
+too) that hold ``MIN_WORDS`` words or more are removed, with the white space that
+follows them.  Shorter repeats, such as a common greeting or a heading in
+otherwise new text, stay.  The removed places in the original text are returned.
+
+Defined results: null texts stay null and have no units; texts without words stay;
+an empty table gives an empty one; words are what ASCII white space parts.  Rows of
+one id and one text are one document and lose the same units; rows of one id with
+different texts are documents of their own, ordered by a hash of the text.  Rows
+without an id are returned as they are and take nothing from others.  Other columns
+pass through, unless they have the name of an added one.  A task holds one whole
+text and some 60 bytes for each of its words at a time, whatever the text's length.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,111 +30,121 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as tx
-from .tables import read, small_batches
-
-MIN_WORDS = 5
-#: A unit's end: a line end, or white space after a sentence's closing mark.
-BREAK = re.compile(r"\n[ \t\n\r\x0b\x0c]*|(?<=[.!?])[ \t\r\x0b\x0c]+")
-
-UNITS = tx.arrow_schema(doc_id=pa.int64(), unit=pa.int32(), digest_a=pa.int64(), digest_b=pa.int64())
-ADDED = [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))]
-
-
-def cut(text: str, min_words: int) -> list[tuple[int, int, list[bytes]]]:
-    """Start, end and key words of the units, which together cover the text."""
-    out: list[tuple[int, int, list[bytes]]] = []
-    start = at = line = 0  # of the pending short sentences, the next sentence, and the line's first unit
-    words: list[bytes] = []
-
-    def end_line() -> None:
-        nonlocal start, words
-        if words:
-            out.append((start, at, words))
-        elif out:  # at most white space
-            out[-1] = (out[-1][0], at, out[-1][2])
-        if words or out:
-            start, words = at, []
-        if len(out) - line > 1:
-            short = [k for k in range(line, len(out)) if len(out[k][2]) < min_words]
-            if short:
-                whole = [w for k in range(line, len(out)) for w in out[k][2]]
-                for rank, k in enumerate(short):
-                    out[k] = (out[k][0], out[k][1], [*whole, b"\n%d" % rank])  # no word has a line end
-
-    for found in BREAK.finditer(text):
-        own = text[at : found.start()].encode().lower().split()
-        if words and len(own) >= min_words:
-            out.append((start, at, words))
-            start, words = at, []
-        words = words + own if words else own
-        at = found.end()
-        if text[found.start()] == "\n":
-            end_line()
-            line = len(out)
-        elif len(words) >= min_words:
-            out.append((start, at, words))
-            start, words = at, []
-    own = text[at:].encode().lower().split()
-    if words and len(own) >= min_words:
-        out.append((start, at, words))
-        start, words = at, []
-    words, at = words + own, len(text)
-    end_line()
-    if start < len(text):  # white space only
-        out.append((start, len(text), []))
-    return out
-
-
-def hashed_units(documents: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, unit number and 128-bit digest of every unit that may be removed."""
+from .tables import keep_table, read, small_batches
+
+#: Repeated stretches of fewer words stay.
+MIN_WORDS = 20
+#: Sentences of fewer words are no units of their own.
+SHORT = 5
+
+UNITS = tx.arrow_schema(of_doc=pa.int64(), tie=pa.int64(), unit=pa.int32(), start=pa.int64(), end=pa.int64(), words=pa.int32(), digest_a=pa.int64(), digest_b=pa.int64())
+ADDED = [T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))]
+
+END_MARK = np.zeros(256, dtype=bool)
+END_MARK[[ord(c) for c in ".!?"]] = True
+_SECOND = tx.U64(0xD6E8FEB86659FD93)
+
+
+def run_bounds(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of the runs that begin at the flagged places; the first place is flagged."""
+    first = np.flatnonzero(flags)
+    return first, np.append(first[1:], len(flags))
+
+
+def cut(block: tx.Block) -> dict[str, np.ndarray]:
+    """The units of a lower-cased block's texts: text number, place among its units, characters, words and digests."""
+    s, e, of = block.words()
+    if not len(s):
+        none = np.zeros(0, dtype=np.int64)
+        return dict.fromkeys(("of", "unit", "start", "end", "words", "digest_a", "digest_b"), none)
+    line_ends = np.concatenate(([0], np.cumsum(block.buf == 10)))
+    line = np.append(True, line_ends[s[1:]] > line_ends[e[:-1]])  # texts are joined by line ends
+    sentence = line | np.append(True, END_MARK[block.buf[e[:-1] - 1]])
+    first, end = run_bounds(sentence)
+    unit = line.copy()
+    unit[first[end - first >= SHORT]] = True
+    first, end = run_bounds(unit)
+    text = of[first]
+    hashes = tx.span_hash(tx.prefix_hash(block.buf), s, e)
+    up, down = tx.powers(len(hashes) + 1)
+    digests = []
+    for word in (hashes, tx.mix(hashes ^ _SECOND)):
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(word * up[: len(word)], dtype=np.uint64)))
+        digests.append(tx.mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64) * _SECOND).view(np.int64))
+    chars = np.concatenate(([0], np.cumsum((block.buf & 0xC0) != 0x80)))
+    origin, close = chars[block.start[text]], chars[block.end[text]]
+    start = chars[s[first]]
+    last = np.append(text[1:] != text[:-1], True)
+    stop = np.where(last, close, np.append(start[1:], 0))
+    number = np.arange(len(text)) - np.searchsorted(text, text)
+    return {"of": text, "unit": number, "start": start - origin, "end": stop - origin, "words": end - first, "digest_a": digests[0], "digest_b": digests[1]}
+
+
+def hashed_units(documents: DataFrame) -> DataFrame:
+    """Every unit of (of_doc, tie, text) rows with its place and digest."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
-            rows: list[tuple[int, int, bytes]] = []
-            for doc, text in zip(one["doc_id"].to_pylist(), one["text"], strict=True):
-                for k, (_, _, words) in enumerate(cut(text.as_py(), min_words)):
-                    if len(words) >= min_words:
-                        rows.append((doc, k, hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
-            digests = np.frombuffer(b"".join(r[2] for r in rows), dtype="<i8").reshape(-1, 2)
-            yield tx.batch({"doc_id": [r[0] for r in rows], "unit": [r[1] for r in rows], "digest_a": digests[:, 0], "digest_b": digests[:, 1]}, UNITS)
+            docs, ties = one["of_doc"].to_numpy(), one["tie"].to_numpy()
+            for block in tx.blocks(one["text"], lower=True):
+                units = cut(block)
+                row = block.index[units.pop("of")]
+                yield tx.batch(units | {"of_doc": docs[row], "tie": ties[row]}, UNITS)
 
-    rows = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(split, tx.spark_schema(UNITS))
+    return documents.mapInArrow(split, tx.spark_schema(UNITS))
+
+
+def stretches(found: list[dict], min_words: int) -> list[tuple[int, int]]:
+    """Start and end of the runs of neighbouring units that hold enough words."""
+    out: list[list[int]] = []
+    last = -2
+    for u in sorted(found, key=lambda u: u["unit"]):
+        if u["unit"] == last + 1:
+            out[-1][1], out[-1][2] = u["end"], out[-1][2] + u["words"]
+        else:
+            out.append([u["start"], u["end"], u["words"]])
+        last = u["unit"]
+    return [(a, z) for a, z, words in out if words >= min_words]
 
 
 def drop_repeated_units(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with repeated units cut from their text, the units' number, and the removed places."""
+    """The documents with repeated stretches cut from their text, the removed places and their number."""
     small_batches(documents.sparkSession)
-    units = hashed_units(documents, min_words)
-    first = units.groupBy("digest_a", "digest_b").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "unit")).alias("first")).where("times > 1").drop("times")
-    again = units.join(first, ["digest_a", "digest_b"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("unit") != F.col("first.unit")))
-    # at most a document's own units
-    gone = again.groupBy("doc_id").agg(F.collect_set("unit").alias("gone")).withColumnRenamed("doc_id", "of_doc")
     own = documents.drop(*[f.name for f in ADDED])
-    joined = own.join(gone, own["doc_id"].cast("long") == gone["of_doc"], "left").drop("of_doc")
+    keys = {"of_doc": F.col("doc_id").cast("long"), "tie": F.xxhash64("text")}
+    known = own.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    units = keep_table(hashed_units(known.select(keys["of_doc"].alias("of_doc"), keys["tie"].alias("tie"), F.col("text").cast("binary").alias("text"))))
+    digest = ["digest_a", "digest_b"]
+    place = F.struct("of_doc", "tie", "unit")
+    # written, so that both sides of the join are shuffled and its hot digests can be split
+    first = keep_table(units.groupBy(digest).agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").drop("times"))
+    again = units.join(first, digest).where(place != F.col("first"))
+    # at most a document's own units
+    gone = again.groupBy("of_doc", "tie").agg(F.collect_set(F.struct("unit", "start", "end", "words")).alias("found"))
+    fields = {c: f"__{c}" for c in ("of_doc", "tie", "found")}
+    named = gone.select(*[F.col(a).alias(b) for a, b in fields.items()])
+    joined = own.join(named, (keys["of_doc"] == F.col("__of_doc")) & (keys["tie"] == F.col("__tie")), "left").drop("__of_doc", "__tie")
     names = own.columns
-    schema = T.StructType([*own.schema.fields, *ADDED])
-    arrow = pa.schema([pa.field("n_units", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("removed_spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
+    arrow = pa.schema([pa.field("n_removed", pa.int64()), pa.field("removed_spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
-            texts, n_units, n_removed, places = [], [], [], []
-            for text, gone_units in zip(one["text"], one["gone"], strict=True):
-                text, gone_units = text.as_py(), set(gone_units.as_py() or ())
-                if text is None:
-                    texts.append(None), n_units.append(0), n_removed.append(0), places.append([])
-                    continue
-                all_units = cut(text, min_words)
-                texts.append("".join(text[a:z] for k, (a, z, _) in enumerate(all_units) if k not in gone_units))
-                n_units.append(len(all_units)), n_removed.append(len(gone_units))
-                places.append([{"start": a, "length": z - a} for k, (a, z, _) in enumerate(all_units) if k in gone_units])
+            texts, places = [], []
+            for text, found in zip(one["text"], one["__found"], strict=True):
+                spans = stretches(found.as_py(), min_words) if found.is_valid else []
+                whole = text.as_py()
+                if spans:
+                    starts, ends = [0, *[z for _, z in spans]], [*[a for a, _ in spans], len(whole)]
+                    whole = "".join([whole[a:z] for a, z in zip(starts, ends, strict=True)])
+                texts.append(whole)
+                places.append([{"start": a, "length": z - a} for a, z in spans])
             columns = [pa.array(texts, one["text"].type) if n == "text" else one[n] for n in names]
-            added = [pa.array(v, type=f.type) for v, f in zip((n_units, n_removed, places), arrow, strict=True)]
+            added = [pa.array([len(p) for p in places], pa.int64()), pa.array(places, arrow.field("removed_spans").type)]
             yield pa.RecordBatch.from_arrays([*columns, *added], names=[*names, *arrow.names])
 
-    return joined.mapInArrow(remove, schema)
+    return joined.mapInArrow(remove, T.StructType([*own.schema.fields, *ADDED]))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeated_units(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_units", "n_removed", "removed_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.char_length("text").cast("long").alias("kept_chars"), "text")
+    return found.select("doc_id", "n_removed", "removed_spans", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.char_length("text").cast("long").alias("kept_chars"), "text")

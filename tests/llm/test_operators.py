@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -99,77 +100,83 @@ def test_url_model_reads_paths_and_unseen_hosts():
 
 # --- 2 ---
 
-def brute_units(rows, least=substring.MIN_WORDS):
+def brute_units(text):
+    """(start, end, normal form) of each unit, word by word."""
+    units, at, held = [], 0, None
+    for line in text.split("\n"):
+        words = [(m.start() + at, m.group()) for m in re.finditer(r"[^\x20\x09-\x0D]+", line)]
+        at += len(line) + 1
+        sentences, new = [], True
+        for w in words:
+            if new:
+                sentences.append([])
+            sentences[-1].append(w)
+            new = w[1][-1] in ".!?"
+        for k, sentence in enumerate(sentences):
+            if k == 0 or len(sentence) >= substring.SHORT:
+                units.append([])
+            units[-1] += sentence
+    starts = [u[0][0] for u in units] + [len(text)]
+    return [(starts[k], starts[k + 1], tuple(w.translate(LOWER) for _, w in u)) for k, u in enumerate(units)]
+
+
+def brute_removed(rows, least):
     seen, out = set(), {}
     for i, t in sorted((i, t) for i, t in rows if t is not None):
-        gone = []
-        for k, (a, z, words) in enumerate(substring.cut(t, least)):
-            key = b" ".join(words)
-            if len(words) >= least:
-                if key in seen:
-                    gone.append((a, z))
-                seen.add(key)
-        out[i] = gone
+        spans, words = [], 0
+        runs, open_run = [], False
+        for a, z, form in brute_units(t):
+            if form in seen:
+                if open_run:
+                    runs[-1] = (runs[-1][0], z, runs[-1][2] + len(form))
+                else:
+                    runs.append((a, z, len(form)))
+            open_run = form in seen
+            seen.add(form)
+        out[i] = [(a, z) for a, z, n in runs if n >= least]
     return out
 
 
-def test_substring(docs, rows, empty):
-    got, want = by_id(substring.drop_repeated_units(docs)), brute_units(rows)
-    assert len(got) == len(rows)
+@pytest.mark.parametrize("least", [1, 7, substring.MIN_WORDS])
+def test_substring(docs, rows, empty, least):
+    got, want = by_id(substring.drop_repeated_units(docs, least)), brute_removed(rows, least)
+    assert len(got) == len(rows) and any(want.values())
     for i, t in rows:
         if t is None:
-            assert got[i]["text"] is None and got[i]["n_units"] == 0
+            assert got[i]["text"] is None and got[i]["n_removed"] == 0
             continue
-        assert [(s["start"], s["start"] + s["length"]) for s in got[i]["removed_spans"]] == want[i]
+        assert [(s["start"], s["start"] + s["length"]) for s in got[i]["removed_spans"]] == want[i] and got[i]["n_removed"] == len(want[i])
         left, at = "", 0
         for a, z in want[i]:
             left, at = left + t[at:a], z
-        assert got[i]["text"] == left + t[at:]
-        assert "".join(t[a:z] for a, z, _ in substring.cut(t, 5)) == t
-    assert len(got[12]["text"].split()) < 5 and got[11]["text"] == rows[11][1]
+        assert got[i]["text"] == left + t[at:] and got[i]["kept"] == "clash"
+    assert got[12]["text"] == "" and got[11]["text"] == rows[11][1]
     assert substring.drop_repeated_units(empty).count() == 0
 
 
 def test_substring_repeats_and_missing_ids(spark):
     line = "these are six words of text"
-    df = spark.createDataFrame([(1, line), (1, line), (None, line), (2, line)], "doc_id long, text string")
-    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["text"]) for r in substring.drop_repeated_units(df).collect())
-    assert got == [(-1, line), (1, line), (1, line), (2, "")]
+    other = "quite another line of six words"
+    df = spark.createDataFrame([(1, line), (1, line), (None, line), (2, line), (0, line), (1, other), (3, ""), (4, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["text"] or "-" * (r["text"] is None)) for r in substring.drop_repeated_units(df, 5).collect())
+    assert got == [(-1, line), (0, line), (1, ""), (1, ""), (1, other), (2, ""), (3, ""), (4, "-")]
 
 
-def test_substring_repeated_lines_go_whole(spark):
+def test_substring_passages_go_and_short_repeats_stay(spark):
     r = random.Random(11)
-    new = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n))
-    tail = lambda: r.choice(["", " The end.", " Yes. No!", " Then so. " + new(9)])
-    often = [f"{new(r.randint(1, 3))}. {new(r.randint(5, 12))}.{tail()}" for _ in range(12)] + [new(6), new(30) + ".", "A b. C d. E f. G h."]
-    docs = []
-    for i in range(40):
-        lines = []
-        for _ in range(r.randint(1, 8)):
-            lines.append(r.choice(["", new(1), "- " + new(2), new(r.randint(5, 20)) + ".", *r.sample(often, 3)]))
-        docs.append((i, r.choice(["\n", "\r\n", " \n\n", "\n\t"]).join(lines) + r.choice(["", "\n", " "])))
-    docs.append((40, often[0].replace(" ", "  ").upper()))
-    docs.append((41, "New words stand here first. " + often[13]))
-    got = {i: d["removed_spans"] for i, d in by_id(substring.drop_repeated_units(spark.createDataFrame(docs, "doc_id long, text string"))).items()}
-    seen, n_again, n_first = set(), 0, 0
+    new = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) + ("." if r.random() < 0.1 else "") for _ in range(n))
+    passages, greeting = [new(r.randint(60, 100)) for _ in range(5)], "Welcome to this page of ours. "
+    docs = [(i, new(r.randint(20, 90)) + ". " + r.choice(["", "\n"]) + passages[i % 5] + r.choice(["", "\n"]) + " " + new(30)) for i in range(20)]
+    docs += [(i, greeting + new(40) + "\nThe end.") for i in range(20, 40)] + [(40, new(50_000))]
+    got = by_id(substring.drop_repeated_units(spark.createDataFrame(docs, "doc_id long, text string")))
     for i, text in docs:
-        gone = {k for s in got[i] for k in range(s["start"], s["start"] + s["length"])}
-        at = 0
-        for line in text.split("\n"):
-            key = tuple(line.lower().split())
-            letters = {k for k, c in enumerate(line, at) if not c.isspace()}
-            at += len(line) + 1
-            if len(key) < 5:
-                assert not letters & gone
-            elif key in seen:
-                n_again += 1
-                assert letters <= gone
-            elif i < 40:
-                n_first += 1
-                assert not letters & gone
-            seen.add(key)
-    assert n_again > 20 and n_first > 20
-    assert [docs[41][1][s["start"] : s["start"] + s["length"]] for s in got[41]] == [often[13]]
+        gone = sum(s["length"] for s in got[i]["removed_spans"])
+        if 5 <= i < 20:
+            at = text.index(passages[i % 5])
+            inside = [s for s in got[i]["removed_spans"] if s["start"] >= at - 1 and s["start"] + s["length"] <= at + len(passages[i % 5]) + 2]
+            assert len(inside) == len(got[i]["removed_spans"]) and gone > 0.5 * len(passages[i % 5])
+        else:
+            assert gone == 0 and got[i]["text"] == text
 
 
 # --- 3 ---
