@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +36,28 @@ def keep_table(df: DataFrame) -> DataFrame:
     """As ``keep``, in columns: for larger results of which later steps read parts."""
     place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    kept = df.sparkSession.read.schema(df.schema).parquet(place)
+    kept.kept_in = place
+    return kept
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``keep_table`` that no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.kept_in)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, each finished job's shuffle files go at once: results that are read again are tables by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:

@@ -405,14 +405,29 @@ def brute_strings(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
-def test_suffixes(docs, rows, empty, hot):
-    got = by_id(suffixes.drop_repeated_strings(docs, hot=hot))
-    for i, (b, gone) in brute_strings(rows).items():
+@pytest.mark.parametrize("threshold,anchor", [(50, 25), (50, 9), (120, 25), (10, 10)])
+def test_suffixes(docs, rows, empty, threshold, anchor):
+    got = by_id(suffixes.drop_repeated_strings(docs, threshold, anchor))
+    for i, (b, gone) in brute_strings(rows, threshold).items():
         left = bytes(np.frombuffer(b, dtype=np.uint8)[~gone])
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
-    assert suffixes.drop_repeated_strings(empty).count() == 0
+    assert suffixes.drop_repeated_strings(empty, threshold, anchor).count() == 0
+
+
+def test_suffixes_of_runs_repeats_and_missing_ids(spark):
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    common = noise(90)
+    rows = [(k, noise(r.randint(0, 80)) + r.choice([common, common[:70], common[9:], "z" * r.randint(40, 900), "xyz" * r.randint(10, 300)]) + noise(r.randint(0, 80))) for k in range(60)]
+    rows += [(60, "z" * 100_000), (61, common * 3), (61, common * 3), (62, common[:49]), (63, None)]
+    df = spark.createDataFrame([*rows, (None, common), (None, None)], "doc_id long, text string").repartition(5)
+    got = sorted((-1 if g["doc_id"] is None else g["doc_id"], g["n_bytes"], g["n_removed"], g["n_spans"]) for g in suffixes.drop_repeated_strings(df).collect())
+    want = [(-1, 0, 0, 0), (-1, 90, 0, 0)]
+    for i, (b, gone) in brute_strings(rows).items():
+        one = (i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()))
+        want += [one, one] if i == 61 else [one]
+    assert got == sorted(want)
 
 
 # --- 9 ---
