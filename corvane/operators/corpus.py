@@ -13,7 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Fixed values that results must share.
 TOKEN = r"[a-z0-9]+(?:-[a-z0-9]+)*"
 CODECS: dict[str, Callable[[bytes], int]] = {"zlib": lambda b: len(zlib.compress(b, 9)), "bz2": lambda b: len(bz2.compress(b, 9)), "lzma": lambda b: len(lzma.compress(b, preset=6))}
 
@@ -49,7 +51,7 @@ def project_sparse(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     owner = lexicon.groupBy("form").agg(F.max_by("group", "rank").alias("group"))
     groups = lexicon.select("group").distinct()
-    hits = tokens(docs).join(F.broadcast(owner), F.col("token") == F.col("form")).groupBy("doc_id", "group").agg(F.count("*").alias("hits"))
+    hits = tokens(docs).join(owner, F.col("token") == F.col("form")).groupBy("doc_id", "group").agg(F.count("*").alias("hits"))
     every = docs.select("doc_id").crossJoin(F.broadcast(groups)).join(hits, ["doc_id", "group"], "left")
     filled = every.withColumn("hits", F.coalesce("hits", F.lit(0)))
     total = filled.groupBy("doc_id").agg(F.sum("hits").alias("total"))
@@ -63,7 +65,7 @@ def sparse_variance(shares: DataFrame) -> DataFrame:
 def weighted_axes(lexicon: DataFrame) -> DataFrame:
     """(group, term, weight) with unit rows, kept sparse."""
     size = lexicon.groupBy("group").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
-    return lexicon.join(F.broadcast(size), "group").select("group", "term", (F.col("weight") / F.col("size")).alias("weight"))
+    return lexicon.join(size, "group").select("group", "term", (F.col("weight") / F.col("size")).alias("weight"))
 
 
 def project_weighted(docs: DataFrame, axes: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def project_weighted(docs: DataFrame, axes: DataFrame) -> DataFrame:
     groups = axes.select("group").distinct()
     t = tokens(docs)
     counted = t.groupBy("doc_id").agg(F.count("*").alias("tokens"))
-    alpha = t.join(F.broadcast(axes), F.col("token") == F.col("term")).groupBy("doc_id", "group").agg(F.sum("weight").alias("alpha"))
+    alpha = t.join(axes, F.col("token") == F.col("term")).groupBy("doc_id", "group").agg(F.sum("weight").alias("alpha"))
     every = docs.select("doc_id").crossJoin(F.broadcast(groups)).join(alpha, ["doc_id", "group"], "left").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
     sums = every.groupBy("doc_id").agg(F.sum("alpha").alias("total"), F.var_pop("alpha").alias("v"))
     joined = sums.join(counted, "doc_id", "left")
@@ -181,21 +183,33 @@ def ncd_to_reference(docs: DataFrame, blocks: DataFrame, codec: str = "zlib") ->
 
 
 def split_reference(docs: DataFrame, seed: str = "seed") -> DataFrame:
-    """True for the first half of each category in the order of a seeded hash."""
-    w = Window.partitionBy("category").orderBy(F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), "doc_id")
-    sizes = docs.groupBy("category").agg(F.count("*").alias("n"))
-    return docs.withColumn("place", F.row_number().over(w)).join(F.broadcast(sizes), "category").select("doc_id", "category", (F.col("place") <= F.floor(F.col("n") / 2)).alias("reference"))
+    """True for the first half of each category in the order of a seeded hash.
+
+    Ranks are places in one of 4096 ranges of hashes and the sizes of the ranges
+    below, so that a category is ordered in many tasks.
+    """
+    hashed = docs.select("doc_id", "category", F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))).alias("h")).withColumn("range", F.substring("h", 1, 3))
+    sizes = hashed.groupBy("category", "range").agg(F.count("*").alias("n"))
+    of = Window.partitionBy("category")
+    # at most 4096 rows a category
+    below = sizes.select("category", "range", F.coalesce(F.sum("n").over(of.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("n").over(of).alias("n"))
+    place = F.row_number().over(Window.partitionBy("category", "range").orderBy("h", "doc_id"))
+    ranked = hashed.withColumn("place", place).join(below, ["category", "range"])
+    return ranked.select("doc_id", "category", (F.col("below") + F.col("place") <= F.floor(F.col("n") / 2)).alias("reference"))
 
 
 def bigram_transitions(docs: DataFrame, n: int = 2) -> DataFrame:
-    """Row-normalised transitions between successive character n-grams of each document."""
+    """Row-normalised transitions between successive character n-grams of each document.
+
+    Documents are dealt once by their id; counts and totals stay where they are.
+    """
     # a look-ahead finds overlapping n-grams
     grams = F.regexp_extract_all(F.lower("text"), F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
-    listed = docs.where(F.length("text") > n).select("doc_id", grams.alias("g"))
+    listed = docs.where(F.length("text") > n).select("doc_id", "text").repartition("doc_id").select("doc_id", grams.alias("g"))
     steps = listed.select("doc_id", F.explode(F.arrays_zip(F.slice("g", 1, F.size("g") - 1).alias("a"), F.slice("g", 2, F.size("g") - 1).alias("b"))).alias("s"))
     counts = steps.groupBy("doc_id", F.col("s.a").alias("a"), F.col("s.b").alias("b")).agg(F.count("*").alias("n"))
-    rows = counts.groupBy("doc_id", "a").agg(F.sum("n").alias("total"))
-    return counts.join(rows, ["doc_id", "a"]).select("doc_id", "a", "b", "n", (F.col("n") / F.col("total")).alias("p"))
+    total = F.sum("n").over(Window.partitionBy("doc_id", "a"))
+    return counts.select("doc_id", "a", "b", "n", (F.col("n") / total).alias("p"))
 
 
 def spectral_gap(docs: DataFrame, n: int = 2) -> DataFrame:
@@ -217,14 +231,22 @@ def spectral_gap(docs: DataFrame, n: int = 2) -> DataFrame:
     return bigram_transitions(docs, n).groupBy("doc_id").applyInPandas(solve, "doc_id long, gap double, second double, states long, entropy double")
 
 
+#: Ranges of values that are ranked apart.
+RANGES = 128
+
+
 def mann_whitney(df: DataFrame, value: str, first: Column, second: Column) -> DataFrame:
     """One row: auc, z and p from average ranks with tie correction.
 
-    Values are counted, cut into ranges, and ranked by offsets of the ranges: no
-    window spans the table.
+    Values are counted, cut into ranges by quantiles, and ranked by offsets of the
+    ranges: no window spans the table.  The quantiles are drawn once, so that a value
+    lies in one range whenever a range is computed.
     """
     counts = df.where(first | second).groupBy(F.col(value).alias("v")).agg(F.sum(first.cast("long")).alias("n1"), F.sum(second.cast("long")).alias("n2"))
-    cut = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    bounds = counts.agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 50 * RANGES)).first()[0]
+    kind = counts.schema["v"].dataType
+    part = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in sorted(set(bounds or ()))]).cast(T.ArrayType(kind)), lambda b: b < F.col("v")))
+    cut = counts.withColumn("part", part)
     totals = cut.groupBy("part").agg(F.sum("n2").alias("s"))
     offsets = totals.withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")  # a row for each range
     below = F.coalesce(F.sum("n2").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from .revisions import assign_seq, latest
 
 #: Vectors of a block; a task holds two blocks.
@@ -81,10 +82,12 @@ def cosine_stats(vecs: DataFrame, blocks: int | None = None) -> DataFrame:
 
 
 def calibrate_epsilon(vecs: DataFrame, density: float = 0.05, bins: int = 4096, blocks: int | None = None) -> float:
-    """The pair distance at rank min(max(1, int(density * pairs)), pairs - 1), 0-based; 0.0 without pairs.
+    """The distance of unit vectors at rank min(max(1, int(density * pairs)), pairs - 1), 0-based; 0.0 without pairs.
 
-    One pass counts distances in fixed bins, a second sorts those of one bin.
+    Vectors are normalised, zero vectors left out.  One pass counts distances in
+    fixed bins, a second sorts those of one bin.
     """
+    vecs = vecs.where(V.norm(F.col("vector")) > 0).withColumn("vector", V.unit(F.col("vector")))
     n = vecs.count()
     pairs = n * (n - 1) // 2
     if not pairs:
@@ -95,11 +98,11 @@ def calibrate_epsilon(vecs: DataFrame, density: float = 0.05, bins: int = 4096,
     def within(low: float, high: float, count: bool):
         def part(key: tuple, one: pd.DataFrame) -> pd.DataFrame:
             i, j = key
-            _, _, distance = pair_distances(*_products(one, i, j), i == j, 3.0)
+            _, _, distance = pair_distances(*_products(one, i, j), i == j, 2.0 + 1e-6)
             b = np.minimum((np.asarray(distance) / width).astype(int), bins)
             if count:
-                c = np.bincount(b, minlength=bins + 1) if len(b) else np.zeros(bins + 1, dtype=int)
-                return pd.DataFrame({"bin": np.arange(bins + 1), "n": c})
+                found, times = np.unique(b, return_counts=True)
+                return pd.DataFrame({"bin": found, "n": times})
             return pd.DataFrame({"distance": np.asarray(distance)[b == low]})
 
         return part
@@ -153,26 +156,37 @@ def jaccard(edges: DataFrame) -> DataFrame:
 # --- reduction -----------------------------------------------------------
 
 def moments(vecs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and centred Gram matrix of the vectors: d x d numbers whatever their number."""
+    """Count, mean and centred Gram matrix of the vectors: d x d numbers whatever their number.
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Each task adds up its own matrix; the matrices' rows are dealt by their number
+    and added one at a time, and d sums come to the driver.
+    """
+    schema = "i long, n long, total double, row array<double>"
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total, square = 0, 0.0, 0.0
         for one in batches:
             if len(one):
                 x = np.stack(one["vector"].to_numpy())
                 n, total, square = n + len(x), total + x.sum(0), square + x.T @ x
         if n:
-            yield pd.DataFrame({"n": [n], "total": [total], "square": [np.ravel(square)]})
-
-    add = lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.zip_with(acc, x, lambda p, q: p + q))
-    parts = vecs.select("vector").mapInPandas(part, "n long, total array<double>, square array<double>")
-    # one partial sum for each task
-    empty = F.array().cast("array<double>")
-    row = parts.agg(F.sum("n").alias("n"), F.aggregate(F.collect_list("total"), empty, add).alias("total"), F.aggregate(F.collect_list("square"), empty, add).alias("square")).first()
-    if not row["n"]:
+            yield pd.DataFrame({"i": np.arange(len(total)), "n": n, "total": total, "row": list(square)})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for one in batches:
+            for i, n, total, row in zip(one["i"], one["n"], one["total"], one["row"], strict=True):
+                have = sums.get(i, (0, 0.0, 0.0))
+                sums[i] = (have[0] + n, have[1] + total, have[2] + row)
+        if sums:
+            yield pd.DataFrame([(i, *x) for i, x in sums.items()], columns=["i", "n", "total", "row"])
+
+    rows = vecs.select("vector").mapInPandas(own, schema).repartition("i").mapInPandas(added, schema).collect()
+    if not rows:
         return 0, np.zeros(0), np.zeros((0, 0))
-    n, total = row["n"], np.array(row["total"])
-    return n, total / n, np.array(row["square"]).reshape(len(total), -1) - np.outer(total, total) / n
+    rows = sorted(rows, key=lambda r: r["i"])
+    n, total = rows[0]["n"], np.array([r["total"] for r in rows])
+    return n, total / n, np.array([r["row"] for r in rows]) - np.outer(total, total) / n
 
 
 def svd_reduce(vecs: DataFrame, k: int = 2) -> DataFrame:

@@ -61,18 +61,18 @@ def finite_difference(log: DataFrame) -> DataFrame:
     return with_previous(log).where("previous is not null").withColumn("delta", V.difference(F.col("vector"), F.col("previous")))
 
 
-def kinetics(log: DataFrame, variances: DataFrame) -> DataFrame:
-    """k_cin = 0.5 |dv|^2 (1 + variance of the spectrum); null on the first revision."""
+def kinetics(log: DataFrame) -> DataFrame:
+    """k_cin = 0.5 |dv|^2 (1 + variance of the row's spectrum); null on the first revision."""
     step = V.squared_distance(F.col("vector"), F.col("previous"))
-    return with_previous(log).join(variances, ["id", "seq"]).withColumn("step", F.when(F.col("previous").isNotNull(), step)).withColumn("k_cin", 0.5 * F.col("step") * (1 + F.col("variance")))
+    return with_previous(log).withColumn("step", F.when(F.col("previous").isNotNull(), step)).withColumn("k_cin", 0.5 * F.col("step") * (1 + F.col("variance")))
 
 
-def ortho_distance(spectrum: DataFrame, norms: DataFrame, gram: DataFrame, keys: list[str]) -> DataFrame:
-    """|v - B'(Bv)|^2 from the Gram matrix, without vectors as wide as v."""
-    own = spectrum.groupBy(*keys).agg(F.sum(F.col("projection") * F.col("projection")).alias("pp"))
-    pair = spectrum.select(*keys, F.col("axis_id").alias("a"), F.col("projection").alias("p")).join(F.broadcast(gram), "a")
-    crossed = pair.join(spectrum.select(*keys, F.col("axis_id").alias("b"), F.col("projection").alias("q")), [*keys, "b"]).groupBy(*keys).agg(F.sum(F.col("p") * F.col("g") * F.col("q")).alias("pgp"))
-    return norms.join(own, keys).join(crossed, keys).withColumn("ortho", F.col("vv") - F.col("pp") + F.col("pgp"))
+def ortho_distance(spectra: DataFrame, keys: list[str]) -> DataFrame:
+    """pp = |Bv|^2 and ortho = |v - B'(Bv)|^2 of vectors with their spectrum and basis, row by row."""
+    parts = F.zip_with("basis", "spectrum", lambda a, s: F.transform(a["vector"], lambda x: x * s["projection"]))
+    inside = F.aggregate(parts, F.transform("vector", lambda x: F.lit(0.0)), lambda acc, part: F.zip_with(acc, part, lambda x, y: x + y))
+    pp = F.aggregate("spectrum", F.lit(0.0), lambda acc, s: acc + s["projection"] * s["projection"])
+    return spectra.select(*keys, pp.alias("pp"), V.squared_distance(F.col("vector"), inside).alias("ortho"))
 
 
 def discrimination_ratio(ortho, k_cin):

@@ -24,42 +24,46 @@ ZERO_TRUST, SAFETY_GATE, UNGROUNDED = "ABORTED_VIOLATES_ZERO_TRUST", "BLOCKED_BY
 SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
 
 
+DECODER = json.JSONDecoder()
+FENCE = re.compile(r"```(?:json)?[ \t]*\n(.*?)```", re.S)
+
+
 def recover(text: str) -> tuple[str | None, bool]:
-    """A JSON object from a fence, a balanced block, or after small repairs; and whether it was repaired."""
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
-    candidates = [fenced[1]] if fenced else []
-    start = text.find("{")
-    if start >= 0:
-        depth, quoted, skip = 0, False, False
-        for k in range(start, len(text)):
-            c = text[k]
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = quoted
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in "{}":
-                depth += 1 if c == "{" else -1
-                if not depth:
-                    candidates.append(text[start : k + 1])
-                    break
+    """The JSON text of a fence or of the first object in a text, and whether it had to be repaired.
+
+    The decoder finds an object's end.  Where it stops at a comma before a closing
+    bracket, the comma is dropped; where it stops at the end, a brace is added.
+    """
+    fenced = FENCE.search(text)
+    own = fenced[1] if fenced else text
+    start = own.find("{")
+    if start < 0:
+        return None, False
+    own, repaired = own[start:].rstrip(), False
+    # every repair takes away a comma or closes a brace
+    for _ in range(own.count(",") + own.count("{") + 1):
+        try:
+            _, end = DECODER.raw_decode(own)
+            return own[:end], repaired
+        except ValueError as fault:
+            at = fault.pos
+        before = own[: at + 1].rstrip()
+        comma = len(before) - 1 if before.endswith(",") else own[:at].rstrip().rfind(",")
+        if comma >= 0 and own[comma + 1 :].lstrip()[:1] in ("}", "]") and comma >= len(own[:at].rstrip()) - 1:
+            own = own[:comma] + own[comma + 1 :]
+        elif at >= len(own):
+            own = (own[:-1] if own.endswith(",") else own) + "}"
         else:
-            candidates.append(text[start:] + ('"' if quoted else "") + "}" * depth)
-    for k, one in enumerate(candidates):
-        for repaired, attempt in ((False, one), (True, re.sub(r",\s*([}\]])", r"\1", one))):
-            try:
-                if isinstance(json.loads(attempt), dict):
-                    whole = attempt in text
-                    return attempt, repaired or not whole
-            except ValueError:
-                continue
+            break
+        repaired = True
     return None, False
 
 
 def parse_proposals(raw: DataFrame) -> DataFrame:
     """Adds json, status and used_repair; only rows that native parsing fails on go through Python."""
-    parsed = raw.withColumn("direct", F.get_json_object("raw", "$").isNotNull() & F.col("raw").startswith("{"))
+    whole = F.trim(F.col("raw"))
+    # an array or a plain value is JSON too
+    parsed = raw.withColumn("direct", F.get_json_object("raw", "$").isNotNull() & F.when(whole.startswith("{"), whole.endswith("}")).when(whole.startswith("["), whole.endswith("]")).otherwise(whole.rlike(r'^(-?[0-9.eE+-]+|"[^"]*"|true|false|null)$')))
     good = parsed.where("direct").select(*raw.columns, F.col("raw").alias("json"), F.lit("DIRECT").alias("status"), F.lit(False).alias("used_repair"))
     names = raw.columns
 
@@ -81,16 +85,24 @@ def validate_proposals(raw: DataFrame) -> DataFrame:
 
 
 def screen_proposals(raw: DataFrame, files: DataFrame) -> DataFrame:
-    """One decision for each proposal, by precedence; files are (path, content)."""
-    p = raw.withColumn("p", F.from_json("raw", SCHEMA)).withColumn("is_json", F.json_object_keys("raw").isNotNull())
-    joined = p.join(files.select(F.col("path"), F.col("content")), F.col("p.Target_File") == F.col("path"), "left")
+    """One decision for each proposal, by precedence; files are (path, content).
+
+    Proposals are parsed leniently first, and the rules judge parsed values.  A
+    field that is missing counts as empty (``NONE`` for intent and abort); JSON that is
+    no object, or whose block is null, can't be grounded.
+    """
+    p = parse_proposals(raw).withColumn("m", F.from_json("json", "map<string,string>"))
+    value = lambda name: F.try_element_at("m", F.lit(name))
+    given = lambda name: F.map_contains_key("m", F.lit(name))
+    fields = {"__target": value("Target_File"), "__block": value("Implementation_Block"), "__quote": value("Topological_Grounding"), "__intent": value("Intent_Class"), "__abort": F.when(given("Safety_Abort"), F.coalesce(value("Safety_Abort"), F.lit("null"))).otherwise("NONE")}
+    joined = p.withColumns(fields).join(files.select(F.col("path").alias("__path"), F.col("content").alias("__content")), F.col("__target") == F.col("__path"), "left")
     denied = F.lit(False)
     for token in DENIED:
-        denied = denied | F.col("p.Implementation_Block").contains(token)
-    quote = F.col("p.Topological_Grounding")
-    grounded = F.coalesce((quote != "") & F.contains(F.col("content"), quote.cast("binary")), F.lit(False))
+        denied = denied | F.coalesce(F.col("__block").contains(token), F.lit(False))
+    grounded = F.coalesce((F.col("__quote") != "") & F.contains(F.col("__content"), F.col("__quote").cast("binary")), F.lit(False))
+    nul = F.exists(F.map_values("m"), lambda v: F.coalesce(v.contains("\0"), F.lit(False)))
     decision = (
-        F.when(F.contains("raw", F.lit("\0")), ZERO_TRUST).when(~F.col("is_json"), "INVALID_JSON").when(F.lower("raw").contains("\\u0000"), ZERO_TRUST).when(F.col("p.Safety_Abort") != "NONE", SAFETY_GATE)
-        .when(denied, ZERO_TRUST).when(F.col("p.Intent_Class").isin(*GROUNDED) & ~grounded, UNGROUNDED).otherwise("EXECUTE_SAFE")
+        F.when(F.col("raw").contains("\0"), ZERO_TRUST).when(F.col("json").isNull(), "INVALID_JSON").when(F.col("m").isNull(), UNGROUNDED).when(nul, ZERO_TRUST).when(F.col("__abort") != "NONE", SAFETY_GATE)
+        .when(denied, ZERO_TRUST).when(given("Implementation_Block") & F.col("__block").isNull(), UNGROUNDED).when(F.col("__intent").isin(*GROUNDED) & ~grounded, UNGROUNDED).otherwise("EXECUTE_SAFE")
     )
-    return joined.withColumn("decision", decision).drop("p", "path", "content", "is_json")
+    return joined.withColumn("decision", decision).select(*raw.columns, "decision")

@@ -8,11 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .revisions import assign_seq, kinetics, latest
 
+#: Fixed values of the format.
 DEFAULT_EPOCH = "EPOCH_V1"
 DEFAULT_WIDTH = 384
 SYMBOL_BASE = 0x25B2
@@ -30,6 +32,17 @@ def text_reject_code(content_type: Column, payload: Column) -> Column:
     return F.when(~content_type_ok(content_type), 415).when(F.contains(raw, F.lit(b"\0")), 400).when(~F.is_valid_utf8(raw.cast("string")), 400)
 
 
+def check_dimension(v: Column, width: int, mode: str = "vector") -> tuple[Column, Column]:
+    """The vector to go on with, and whether it is rejected.
+
+    In mode ``vector`` any other width is rejected; in mode ``text`` shorter vectors,
+    as an encoder may give them, are padded and only longer or missing ones rejected.
+    """
+    if mode == "text":
+        return V.padded(v, width), F.coalesce(F.size(v) > width, F.lit(True)) | v.isNull()
+    return v, v.isNull() | (F.size(v) != width) | (F.size(v) == 0)
+
+
 def vector_reject_code(v: Column, width: int) -> Column:
     """422 for a wrong or empty width, non-finite or missing elements, or a zero norm, in that order; else null."""
     return F.when(v.isNull() | (F.size(v) != width) | (F.size(v) == 0), 422).when(~V.is_finite(v), 422).when(V.norm(v) == 0, 422)
@@ -56,9 +69,21 @@ def to_error_log(dead: DataFrame) -> DataFrame:
 
 # --- projections ---------------------------------------------------------
 
+def with_spectrum(vecs: DataFrame, axes: DataFrame) -> DataFrame:
+    """Adds ``basis`` (the axes in order) and ``spectrum`` (their dot products with the vector), row by row; the axes are few."""
+    basis = axes.agg(F.array_sort(F.collect_list(F.struct("axis_id", "vector"))).alias("basis"))
+    spectrum = F.transform("basis", lambda a: F.struct(a["axis_id"].alias("axis_id"), V.dot(F.col("vector"), a["vector"]).alias("projection")))
+    return vecs.crossJoin(F.broadcast(basis)).withColumn("spectrum", spectrum)
+
+
+def projections() -> Column:
+    """The numbers of a spectrum in axis order."""
+    return F.transform("spectrum", lambda s: s["projection"])
+
+
 def project_spectrum(vecs: DataFrame, axes: DataFrame, keys: list[str]) -> DataFrame:
-    """Long form: a row for each vector and axis with their dot product; the axes are few."""
-    return vecs.crossJoin(F.broadcast(axes.select("axis_id", F.col("vector").alias("axis_vector")))).select(*keys, "axis_id", V.dot(F.col("vector"), F.col("axis_vector")).alias("projection"))
+    """Long form: a row for each vector and axis with their dot product."""
+    return with_spectrum(vecs, axes).select(*keys, F.inline("spectrum"))
 
 
 def project_batches(vecs: DataFrame, axes: DataFrame, key: str) -> DataFrame:
@@ -76,18 +101,23 @@ def project_batches(vecs: DataFrame, axes: DataFrame, key: str) -> DataFrame:
 
 
 def spectral_variance(spectrum: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the long form."""
     return spectrum.groupBy(*keys).agg(F.var_pop("projection").alias("variance"))
 
 
-def dominant_axis(spectrum: DataFrame, keys: list[str]) -> DataFrame:
-    """The axis of the largest signed projection; ties go to the first axis id."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("projection"), "axis_id")
-    return spectrum.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
+def vector_variances(vecs: DataFrame, axes: DataFrame, keys: list[str]) -> DataFrame:
+    """Variance of each vector's spectrum, without a shuffle."""
+    return with_spectrum(vecs, axes).select(*keys, projections().alias("p")).select(*keys, V.variance(F.col("p")).alias("variance"))
+
 
+def dominant_axis() -> Column:
+    """Of a spectrum: the axis of the largest signed projection; ties go to the first axis id."""
+    return F.array_sort(F.transform("spectrum", lambda s: F.struct((-s["projection"]).alias("low"), s["axis_id"].alias("axis_id"))))[0]["axis_id"]
 
-def spectrum_map(spectrum: DataFrame, keys: list[str]) -> DataFrame:
-    """Map form, in axis order; one entry for each axis."""
-    return spectrum.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis_id", "projection")))).alias("projections"))
+
+def spectrum_map() -> Column:
+    """Map form of a spectrum, in axis order."""
+    return F.map_from_entries("spectrum")
 
 
 def digest_id(vector: pd.Series) -> pd.Series:
@@ -174,13 +204,49 @@ def evaluate_gate(variances: DataFrame, threshold: DataFrame, ethical_key: Colum
     return joined.withColumn("state", F.when(F.col("passed") & ethical_key, "consolidated").otherwise("incubating"))
 
 
-def gate_law_violations(spectrum: DataFrame, keys: list[str], threshold: DataFrame, scales=(0.1, 0.5, 1.0, 2.0, 5.0, 10.0)) -> DataFrame:
-    """Breaches of the gate's three laws with each spectrum's deviations scaled around its mean."""
-    centre = spectrum.groupBy(*keys).agg(F.avg("projection").alias("centre"))
-    scaled = spectrum.join(centre, keys).withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales])))
-    v = scaled.groupBy(*keys, "scale").agg(F.var_pop(F.col("centre") + F.col("scale") * (F.col("projection") - F.col("centre"))).alias("variance")).crossJoin(F.broadcast(threshold))
-    above = F.col("variance") >= F.col("threshold")
-    with_key = F.when(above & F.lit(True), "consolidated").otherwise("incubating")
-    without = F.when(above & F.lit(False), "consolidated").otherwise("incubating")
+def consolidate(log: DataFrame, requests: DataFrame, axes: DataFrame, arrival: list[str]) -> DataFrame:
+    """New revisions for requests (id, vector of the given text, ethical_key) whose node is in the log; others are left out.
+
+    The potential is 1.0 for consolidated nodes, else the variance; the milestone is the key.
+    """
+    known = requests.join(log.select("id").distinct(), "id", "left_semi")
+    variance = vector_variances(known, axes, [c for c in known.columns if c != "vector"])
+    gated = evaluate_gate(variance, calibrate_threshold(axes), F.col("ethical_key"))
+    rows = gated.withColumn("potential", F.when(F.col("state") == "consolidated", 1.0).otherwise(F.col("variance"))).withColumn("milestone", F.col("ethical_key").cast("int"))
+    return assign_seq(rows, log, arrival)
+
+
+def ingest_vectors(vecs: DataFrame, axes: DataFrame, width: int, log: DataFrame | None = None) -> DataFrame:
+    """The whole path of (vec_id, label, vector) rows: checks, spectrum, gate without a key, next number, kinetics; and a dead letter for each rejected row.
+
+    With a log (id, seq, vector), numbers and previous vectors go on from it.
+    """
+    checked = vecs.withColumn("reason", vector_reject_reason(F.col("vector"), width))
+    good = checked.where("reason is null").select(node_id(F.col("label"), F.col("vector")).alias("id"), "vec_id", V.unit(F.col("vector")).alias("vector"))
+    if log is None:
+        log = good.select("id", F.lit(0).cast("long").alias("seq"), "vector").limit(0)
+    numbered = with_spectrum(assign_seq(good, log, ["vec_id"]), axes).select("id", "seq", "vec_id", "vector", projections().alias("p"), dominant_axis().alias("axis_id"))
+    own = numbered.withColumn("variance", V.variance(F.col("p"))).drop("p")
+    before = latest(log.select("id", "seq", "vector")).select("id", "seq", F.lit(None).cast("long").alias("vec_id"), "vector", F.lit(None).cast("string").alias("axis_id"), F.lit(None).cast("double").alias("variance"))
+    moved = kinetics(own.unionByName(before)).where("vec_id is not null")
+    gated = evaluate_gate(moved, calibrate_threshold(axes), F.lit(False))
+    dead = to_error_log(checked.where("reason is not null").withColumnRenamed("vec_id", "ingestion_id"))
+    errors = dead.select("id", F.lit(1).cast("long").alias("seq"), F.lit(0.0).alias("variance"), F.col("lifecycle_state").alias("state"), F.lit(None).cast("string").alias("axis_id"), F.lit(None).cast("double").alias("k_cin"))
+    return gated.select("id", "seq", "variance", "state", "axis_id", "k_cin").unionByName(errors)
+
+
+def gate_law_violations(spectra: DataFrame, threshold: DataFrame, scales=(0.1, 0.5, 1.0, 2.0, 5.0, 10.0)) -> DataFrame:
+    """Breaches of the gate's three laws with each spectrum's deviations scaled around its mean.
+
+    The gate judges the scaled spectra; that they are above the threshold follows
+    from the unscaled variance.
+    """
+    own = spectra.select("spectrum", projections().alias("p")).select("spectrum", V.mean(F.col("p")).alias("centre"), V.variance(F.col("p")).alias("variance"))
+    scaled = own.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).crossJoin(F.broadcast(threshold))
+    moved = F.map_from_entries(F.transform("spectrum", lambda s: F.struct(s["axis_id"], F.col("centre") + F.col("scale") * (s["projection"] - F.col("centre")))))
+    judged = scaled.withColumn("moved", moved).select(
+        (F.col("scale") * F.col("scale") * F.col("variance") >= F.col("threshold")).alias("above"),
+        *[V.gate_state(F.col("moved"), F.col("threshold"), F.lit(key)).alias(name) for key, name in ((True, "with_key"), (False, "without"))],
+    )
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return v.agg(F.count("*").alias("cases"), count(without == "consolidated").alias("no_key"), count(~above & (with_key == "consolidated")).alias("below"), count(above & (with_key != "consolidated")).alias("above"))
+    return judged.agg(F.count("*").alias("cases"), count(F.col("without") == "consolidated").alias("no_key"), count(~F.col("above") & (F.col("with_key") == "consolidated")).alias("below"), count(F.col("above") & (F.col("with_key") != "consolidated")).alias("above"))

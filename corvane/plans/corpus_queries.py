@@ -93,11 +93,13 @@ def _(spark, d):
     return sources.read_axes(spark, place, "EPOCH_V1").select("axis_id", F.size("vector").alias("width"))
 
 
-@query("s7_write_report")
+@query("s7_write_report", SHARES_SQL + "SELECT category, count(*) AS n, round(avg(variance), 9) AS mean, round(count(*) FILTER (variance >= 0.05) / count(*), 9) AS above FROM sparse GROUP BY 1")
 def _(spark, d):
     place = f"{T.folder(spark)}/report-{uuid.uuid4()}"
-    s = sparse(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.avg("variance").alias("mean"))
-    report = s.agg(F.struct(F.collect_list(F.struct("category", "n", "mean")).alias("categories")).alias("metrics"))
+    above = (F.col("variance") >= 0.05).cast("int")
+    # a row for each category
+    s = sparse(spark, d).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("variance"), 9).alias("mean"), F.round(F.avg(above), 9).alias("above"))
+    report = s.agg(F.struct(F.sum("n").alias("rows"), F.lit(0.05).alias("threshold")).alias("run"), F.struct(F.collect_list(F.struct("category", "n", "mean", "above")).alias("categories")).alias("metrics"))
     return sources.write_report(report, place).select(F.explode("metrics.categories").alias("c")).select("c.*")
 
 
@@ -273,42 +275,43 @@ def _(spark, d):
     return C.encode(I.corpus(spark, d), C.HashProvider(128, seed=7, normalise=False)).select("doc_id", F.size("vector").alias("width"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
 
-@query("i7_check_encoder_output")
+@query("i7_check_encoder_output", VECTORS_SQL + "SELECT vec_id, vec_id % 50 NOT IN (0, 1, 2, 3, 4, 5) AS ok FROM vecs")
 def _(spark, d):
-    v = encoded(spark, d)
-    return v.select("doc_id", O.vector_reject_code(F.col("vector"), 64).isNull().alias("ok"))
+    # what an encoder may give: of wrong width, not finite, or zero
+    return I.bad_vectors(spark, d).select("vec_id", O.vector_reject_code(F.col("vector"), 64).isNull().alias("ok"))
 
 
 @query("v9_ingest_texts")
 def _(spark, d):
-    s = O.project_spectrum(encoded(spark, d), I.axes(spark, d), ["doc_id"])
-    return O.spectral_variance(s, ["doc_id"]).select(F.concat(F.lit("NODE_"), F.col("doc_id").cast("string")).alias("id"), F.lit("pending_approval").alias("state"), F.round("variance", 9).alias("potential"))
+    padded, rejected = O.check_dimension(F.col("vector"), 64, "text")
+    fine = encoded(spark, d, C.HashProvider(48)).where(~rejected).withColumn("vector", V.unit(padded))
+    return O.vector_variances(fine, I.axes(spark, d), ["doc_id"]).select(F.concat(F.lit("NODE_"), F.col("doc_id").cast("string")).alias("id"), F.lit("pending_approval").alias("state"), F.round("variance", 9).alias("potential"))
 
 
 @query("b10_name_basis")
 def _(spark, d):
     names = I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("rank"), F.col("s_name").alias("name"))
-    v = C.encode(names, C.HashProvider(64), "name")
-    return O.label_axes(names).join(v.select(F.concat(F.lit("AXIS_"), (F.col("rank") + 1).cast("string")).alias("axis_id"), F.size("vector").alias("width")), "axis_id")
+    v = C.encode(names, C.HashProvider(64, normalise=False), "name").withColumn("vector", V.unit(V.as_double(F.col("vector"))))
+    return O.label_axes(names).join(v.select(F.concat(F.lit("AXIS_"), (F.col("rank") + 1).cast("string")).alias("axis_id"), F.size("vector").alias("width"), F.round(V.norm(F.col("vector")), 9).alias("norm"), "vector"), "axis_id")
 
 
 @query("g7_paragraph_gate")
 def _(spark, d):
     units = C.split_manifest(I.corpus(spark, d)).withColumn("unit_id", F.concat_ws("-", "doc_id", "line"))
     v = C.encode(units, C.HashProvider(64)).withColumn("vector", V.unit(V.as_double(F.col("vector"))))
-    gated = O.evaluate_gate(O.spectral_variance(O.project_spectrum(v, I.axes(spark, d), ["doc_id", "unit_id"]), ["doc_id", "unit_id"]), O.calibrate_threshold(I.axes(spark, d)), F.lit(True))
+    gated = O.evaluate_gate(O.vector_variances(v, I.axes(spark, d), ["doc_id", "unit_id"]), O.calibrate_threshold(I.axes(spark, d)), F.lit(True))
     c = F.sum((F.col("state") == "consolidated").cast("long"))
     return gated.groupBy("doc_id").agg(F.count("*").alias("n"), c.alias("consolidated"), (c / F.count("*")).alias("rate"), c.between(1, F.count("*") - 1).alias("ok"))
 
 
 # --- streams ---
 
-@query("t1_stream_ingest", VECTORS_SQL + "SELECT vec_id, CASE WHEN vec_id % 50 IN (0, 1, 2, 3, 4, 5) THEN 'telemetry_error' ELSE 'incubating' END AS state FROM vecs")
+@query("t1_stream_ingest", VECTORS_SQL + "SELECT vec_id, CASE WHEN vec_id % 50 IN (0, 1, 2, 3, 4, 5) THEN 'telemetry_error' ELSE state END AS state FROM gated")
 def _(spark, d):
     return T.ingest_vectors(spark, d)
 
 
-@query("t2_stream_dedupe", LOG_SQL + "SELECT count(*) AS keys FROM (SELECT DISTINCT idempotency_key FROM queue)")
+@query("t2_stream_dedupe", LOG_SQL + "SELECT ingestion_id, min(ingestion_id) OVER (PARTITION BY idempotency_key) AS first_id, ingestion_id > min(ingestion_id) OVER (PARTITION BY idempotency_key) AS duplicate FROM queue")
 def _(spark, d):
     return T.dedupe(spark, d)
 

@@ -11,7 +11,7 @@ from .inputs import VECTORS_SQL as W
 from .registry import query
 
 PAIRS = W + """, pts AS (SELECT 'NODE_' || lpad(vec_id::VARCHAR, 6, '0') AS id, u FROM unit),
-pairs AS (SELECT a.id AS source, b.id AS target, sqrt(list_sum(list_transform(list_zip(a.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist, list_inner_product(a.u, b.u) AS c FROM pts a JOIN pts b ON a.id < b.id)
+pairs AS MATERIALIZED (SELECT a.id AS source, b.id AS target, sqrt(list_sum(list_transform(list_zip(a.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist, list_inner_product(a.u, b.u) AS c FROM pts a JOIN pts b ON a.id < b.id)
 """
 LOGGED = PAIRS + """, e115 AS (SELECT 'auto-edge-' || source || '-' || target AS id, source, target FROM pairs WHERE dist <= 1.15),
 e120 AS (SELECT 'auto-edge-' || source || '-' || target AS id, source, target FROM pairs WHERE dist <= 1.2), e110 AS (SELECT 'auto-edge-' || source || '-' || target AS id, source, target FROM pairs WHERE dist <= 1.1)
@@ -144,11 +144,11 @@ def _(spark, d):
     return simplex.volumes(edges).select(F.col("simplex_id").alias("vec_id"), F.round("volume", 6).alias("volume"))
 
 
-@query("p2_barycentric", W + "SELECT vec_id, round(list_inner_product(list_transform(list_zip(x, w), lambda z: z[1] - z[2]), list_transform(list_zip(u, w), lambda z: z[1] - z[2])) / list_inner_product(list_transform(list_zip(u, w), lambda z: z[1] - z[2]), list_transform(list_zip(u, w), lambda z: z[1] - z[2])), 6) AS lambda FROM (SELECT prev.vec_id, prev.u, w, a.av AS x FROM prev, axes a WHERE w IS NOT NULL AND a.axis_id = 'AXIS_1' AND prev.vec_id > 7)")
+@query("p2_barycentric", W + "SELECT vec_id, round(list_inner_product(list_transform(list_zip(x, w), lambda z: z[1] - z[2]), list_transform(list_zip(u, w), lambda z: z[1] - z[2])) / list_inner_product(list_transform(list_zip(u, w), lambda z: z[1] - z[2]), list_transform(list_zip(u, w), lambda z: z[1] - z[2])), 6) AS lambda FROM (SELECT prev.vec_id, prev.u, w, a.av AS x FROM prev, axes a WHERE w IS NOT NULL AND a.axis_id = 'AXIS_1')")
 def _(spark, d):
     from ..operators import simplex
     from ..operators.revisions import with_previous
 
     axis = I.axes(spark, d).where("axis_id = 'AXIS_1'").select(F.col("vector").alias("point"))
-    edges = with_previous(I.vec_log(spark, d)).where("previous is not null and vec_id > 7").select(F.col("vec_id").alias("simplex_id"), F.array("previous", "vector").alias("vertices"))
+    edges = with_previous(I.vec_log(spark, d)).where("previous is not null").select(F.col("vec_id").alias("simplex_id"), F.array("previous", "vector").alias("vertices"))
     return simplex.barycentric(edges.crossJoin(F.broadcast(axis))).select(F.col("simplex_id").alias("vec_id"), F.round(F.col("lambdas")[1], 6).alias("lambda"))

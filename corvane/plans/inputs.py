@@ -77,7 +77,7 @@ theta AS (SELECT avg(v) AS threshold FROM (SELECT a, var_pop(g) AS v FROM gram W
 gated AS (SELECT vec_id, label, variance, threshold, variance >= threshold AS passed, CASE WHEN variance >= threshold AND vec_id % 3 <> 0 THEN 'consolidated' ELSE 'incubating' END AS state FROM vars, theta),
 vlog AS (SELECT 'VEC_' || label AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS seq, vec_id, u FROM unit),
 prev AS (SELECT id, seq, vec_id, u, lag(u) OVER (PARTITION BY id ORDER BY seq) AS w FROM vlog),
-orth AS (SELECT vec_id, list_inner_product(u, u) - pp + pgp AS ortho, pp FROM unit JOIN (SELECT vec_id, sum(p * p) AS pp FROM spec GROUP BY 1) USING (vec_id)
+orth AS (SELECT vec_id, list_inner_product(u, u) - 2 * pp + pgp AS ortho, pp FROM unit JOIN (SELECT vec_id, sum(p * p) AS pp FROM spec GROUP BY 1) USING (vec_id)
   JOIN (SELECT s.vec_id, sum(s.p * g * t.p) AS pgp FROM spec s JOIN gram ON s.axis_id = a JOIN spec t ON t.vec_id = s.vec_id AND t.axis_id = b GROUP BY 1) USING (vec_id)),
 kin AS (SELECT id, seq, prev.vec_id, list_sum(list_transform(list_zip(u, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS step, variance, sqrt(pp) AS pnorm, ortho
   FROM prev JOIN vars USING (vec_id) JOIN orth USING (vec_id)),

@@ -116,18 +116,31 @@ def _(spark, d):
     return I.queue(spark, d).agg(F.sum(F.when(F.col("ingestion_id") % 2 == 0, size).otherwise(0)).alias("before"), F.sum(size).alias("after"), F.round(F.avg(size), 6).alias("mean_insert"))
 
 
-@query("m7_governance_checks", W + "SELECT 'contiguous_seq' AS rule, true AS passed UNION ALL SELECT 'allowed_states', true UNION ALL SELECT 'no_repeats', true UNION ALL SELECT 'errors_hidden', true")
+@query("m7_governance_checks", W + """, runs AS (SELECT 'contiguous_seq' AS rule, count(*) = 0 AS passed FROM (SELECT id FROM nlog GROUP BY 1 HAVING min(seq) <> 1 OR max(seq) <> count(*) OR count(DISTINCT seq) <> count(*))
+ UNION ALL SELECT 'no_repeats', count(*) = 0 FROM (SELECT id, seq FROM nlog GROUP BY ALL HAVING count(*) > 1)
+ UNION ALL SELECT 'append_only', count(*) = 0 FROM (SELECT id, seq, state FROM nlog WHERE seq <= 3 EXCEPT ALL SELECT id, seq, state FROM nlog)
+ UNION ALL SELECT 'allowed_states', bool_and(state IN ('pending_approval', 'consolidated', 'incubating', 'telemetry_error')) FROM nlog
+ UNION ALL SELECT 'errors_hidden', count(*) = 0 FROM (SELECT state FROM last WHERE state <> 'telemetry_error') WHERE state = 'telemetry_error'
+ UNION ALL SELECT 'ingress_codes', bool_and((event_type = 'error') = (CASE WHEN event_type = 'error' THEN 415 END IS NOT NULL)) FROM events
+ UNION ALL SELECT 'rejects_are_logged', (SELECT count(*) FROM events WHERE event_type = 'error') = (SELECT count(*) FROM nlog WHERE state = 'telemetry_error')) SELECT * FROM runs""")
 def _(spark, d):
     log = I.node_log(spark, d)
+    states = log.select("id", "seq", "state")
     integrity = R.log_integrity(log)
-    rows = [
-        integrity.select(F.lit("contiguous_seq").alias("rule"), (F.col("broken") == 0).alias("passed")), integrity.select(F.lit("no_repeats").alias("rule"), (F.col("repeated") == 0).alias("passed")),
-        log.agg(F.every(F.col("state").isin(*R.STATES)).alias("passed")).select(F.lit("allowed_states").alias("rule"), "passed"),
-        R.current_nodes(log.select("id", "seq", "state")).agg(F.every(F.col("state") != "telemetry_error").alias("passed")).select(F.lit("errors_hidden").alias("rule"), "passed"),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    typed = F.when(F.col("event_type") == "error", "text/html").otherwise("text/plain")
+    coded = I.table(spark, d, "events").select(F.col("event_id").alias("ingestion_id"), (F.col("event_type") == "error").alias("wrong"), O.text_reject_code(typed, F.col("props")).alias("code"))
+    dead = O.to_error_log(coded.where("code is not null").withColumn("reason", F.col("code").cast("string"))).agg(F.count("*").alias("dead"))
+    hidden = states.where("state = 'telemetry_error'").agg(F.count("*").alias("logged"))
+    lost = states.where("seq <= 3").exceptAll(states).agg((F.count("*") == 0).alias("passed"))
+    rows = {
+        "contiguous_seq": integrity.select((F.col("broken") == 0).alias("passed")), "no_repeats": integrity.select((F.col("repeated") == 0).alias("passed")), "append_only": lost,
+        "allowed_states": log.agg(F.every(F.col("state").isin(*R.STATES)).alias("passed")), "errors_hidden": R.current_nodes(states).agg(F.every(F.col("state") != "telemetry_error").alias("passed")),
+        "ingress_codes": coded.agg(F.every(F.col("wrong") == F.col("code").isNotNull()).alias("passed")), "rejects_are_logged": dead.crossJoin(F.broadcast(hidden)).select((F.col("dead") == F.col("logged")).alias("passed")),
+    }
+    out = None
+    for rule, passed in rows.items():
+        one = passed.select(F.lit(rule).alias("rule"), "passed")
+        out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -143,25 +156,30 @@ made AS (SELECT case_id, k, CASE WHEN k = 0 THEN 'INVALID_JSON' WHEN k = 1 THEN
 def proposals(spark, d):
     """JSON texts made from conversations, with a fixed share for each decision."""
     k = F.col("turn") % 7
-    item = F.pmod(F.col("conv_id"), F.lit(40))
-    quotes = I.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    items = I.table(spark, d, "benchmark")
+    item = F.pmod(F.col("conv_id"), F.col("n"))
+    quotes = items.select("item_id", F.col("text").alias("quote"))
     body = F.to_json(F.struct(
-        F.when(k == 5, "EXPLAIN").otherwise("REFACTOR").alias("Intent_Class"), F.when(k == 3, "missing.txt").otherwise(F.concat(F.lit("item_"), item.cast("string"))).alias("Target_File"),
+        F.when(k == 5, "EXPLAIN").otherwise("REFACTOR").alias("Intent_Class"), F.when(k == 3, "missing.txt").otherwise(F.concat(F.lit("item_"), F.col("item").cast("string"))).alias("Target_File"),
         F.coalesce("quote", F.lit("")).alias("Topological_Grounding"), F.when(k == 2, F.concat("text", F.lit(" os.system('x')"))).when(k == 4, F.lit("a\0b")).otherwise(F.col("text")).alias("Implementation_Block"), F.when(k == 1, "SYNTAX_ERROR").otherwise("NONE").alias("Safety_Abort"),
     ))
-    rows = I.table(spark, d, "conversations").join(F.broadcast(quotes), item == F.col("item_id"), "left")
+    numbered = I.table(spark, d, "conversations").crossJoin(F.broadcast(items.agg((F.max("item_id") + 1).alias("n")))).withColumn("item", item)
+    rows = numbered.join(quotes, F.col("item") == F.col("item_id"), "left")
     return rows.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("case_id"), k.alias("k"), F.when(k == 0, F.substring(body, 2, 20)).otherwise(body).alias("raw"))
 
 
+def damaged(spark, d):
+    """The proposals, some in a fence and some without their last brace."""
+    return proposals(spark, d).withColumn("raw", F.when(F.col("k") == 5, F.concat(F.lit("Here:\n```json\n"), "raw", F.lit("\n```"))).when(F.col("k") == 6, F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw")))
+
+
 def files(spark, d):
-    return I.table(spark, d, "benchmark").select(F.concat(F.lit("item_"), F.pmod(F.col("item_id"), F.lit(40)).cast("string")).alias("path"), F.col("text").cast("binary").alias("content")).where("path is not null").dropDuplicates(["path"])
+    return I.table(spark, d, "benchmark").select(F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"))
 
 
-@query("q1_parse_proposals")
+@query("q1_parse_proposals", PROPOSALS + "SELECT case_id, CASE k WHEN 0 THEN 'FAILED' WHEN 5 THEN 'EXTRACTED' WHEN 6 THEN 'REPAIRED' ELSE 'DIRECT' END AS status, k = 6 AS used_repair FROM made")
 def _(spark, d):
-    raw = proposals(spark, d)
-    damaged = raw.withColumn("raw", F.when(F.col("k") == 5, F.concat(F.lit("Here:\n```json\n"), "raw", F.lit("\n```"))).when(F.col("k") == 6, F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw")))
-    return S.parse_proposals(damaged).select("case_id", "status", "used_repair")
+    return S.parse_proposals(damaged(spark, d)).select("case_id", "status", "used_repair")
 
 
 @query("q2_validate_proposals", PROPOSALS + "SELECT case_id, k <> 0 AND k <> 5 AS valid FROM made")
@@ -171,15 +189,15 @@ def _(spark, d):
 
 @query("q3_screen_proposals", PROPOSALS + "SELECT case_id, decision FROM made")
 def _(spark, d):
-    return S.screen_proposals(proposals(spark, d), files(spark, d)).select("case_id", "decision")
+    return S.screen_proposals(damaged(spark, d), files(spark, d)).select("case_id", "decision")
 
 
 @query("q4_audit_append", PROPOSALS + "SELECT case_id, decision FROM made WHERE k <> 6")
 def _(spark, d):
-    decided = S.screen_proposals(proposals(spark, d), files(spark, d)).select("case_id", "k", "decision")
+    decided = S.screen_proposals(damaged(spark, d), files(spark, d)).select("case_id", "k", "decision")
     return O.insert_or_ignore(decided, decided.where("k = 6"), ["case_id"]).select("case_id", "decision")
 
 
 @query("q5_decision_counts", PROPOSALS + "SELECT decision, count(*) AS n FROM made GROUP BY 1")
 def _(spark, d):
-    return S.screen_proposals(proposals(spark, d), files(spark, d)).groupBy("decision").agg(F.count("*").alias("n"))
+    return S.screen_proposals(damaged(spark, d), files(spark, d)).groupBy("decision").agg(F.count("*").alias("n"))

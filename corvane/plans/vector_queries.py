@@ -20,38 +20,31 @@ checked AS (SELECT vec_id, CASE WHEN len(v) <> 64 OR len(v) = 0 THEN 'dimension'
 """
 
 
-def spectrum(spark, d):
-    return O.project_spectrum(I.unit_vectors(spark, d), I.axes(spark, d), ["vec_id", "label"])
+def spectra(spark, d):
+    return O.with_spectrum(I.unit_vectors(spark, d), I.axes(spark, d))
 
 
 def variances(spark, d):
-    return O.spectral_variance(spectrum(spark, d), ["vec_id", "label"])
+    return O.vector_variances(I.unit_vectors(spark, d), I.axes(spark, d), ["vec_id", "label"])
 
 
 def gated(spark, d):
     return O.evaluate_gate(variances(spark, d), O.calibrate_threshold(I.axes(spark, d)), F.col("vec_id") % 3 != 0)
 
 
-def log_variances(spark, d):
-    return I.vec_log(spark, d).select("id", "seq", "vec_id").join(variances(spark, d).select("vec_id", "variance"), "vec_id")
-
-
 def kinetics(spark, d):
-    return R.kinetics(I.vec_log(spark, d), log_variances(spark, d).drop("vec_id"))
-
-
-def full_gram(spark, d):
-    return O.gram(I.axes(spark, d)).unionByName(I.axes(spark, d).select(F.col("axis_id").alias("a"), F.col("axis_id").alias("b"), V.dot(F.col("vector"), F.col("vector")).alias("g")))
+    """Steps of the trajectories with the row's variance, spectrum parts and dominant axis."""
+    log = O.with_spectrum(I.vec_log(spark, d), I.axes(spark, d))
+    parts = R.ortho_distance(log.withColumn("p", O.projections()), ["id", "seq", "vec_id", "vector", "p", O.dominant_axis().alias("axis_id")])
+    return R.kinetics(parts.withColumn("variance", V.variance(F.col("p"))).drop("p"))
 
 
 def ortho(spark, d):
-    norms = I.unit_vectors(spark, d).select("vec_id", V.dot(F.col("vector"), F.col("vector")).alias("vv"))
-    return R.ortho_distance(spectrum(spark, d).drop("label"), norms, full_gram(spark, d), ["vec_id"])
+    return R.ortho_distance(spectra(spark, d), ["vec_id"])
 
 
 def ratios(spark, d):
-    k = kinetics(spark, d).where("k_cin is not null").join(ortho(spark, d).select("vec_id", "ortho", "pp"), "vec_id")
-    return k.withColumn("ratio", R.discrimination_ratio(F.col("ortho"), F.col("k_cin")))
+    return kinetics(spark, d).where("k_cin is not null").withColumn("ratio", R.discrimination_ratio(F.col("ortho"), F.col("k_cin")))
 
 
 # --- ingress ---
@@ -104,7 +97,7 @@ def _(spark, d):
 
 @query("v3_project_spectrum", W + "SELECT vec_id, axis_id, round(p, 9) AS projection FROM spec")
 def _(spark, d):
-    return spectrum(spark, d).select("vec_id", "axis_id", F.round("projection", 9).alias("projection"))
+    return O.project_spectrum(I.unit_vectors(spark, d), I.axes(spark, d), ["vec_id"]).select("vec_id", "axis_id", F.round("projection", 9).alias("projection"))
 
 
 @query("v3_project_batches", W + "SELECT vec_id, i::INT AS axis, round(p, 9) AS projection FROM (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY axis_id) - 1 AS i, p FROM spec)")
@@ -120,7 +113,7 @@ def _(spark, d):
 
 @query("v5_dominant_axis", W + "SELECT vec_id, axis_id FROM spec QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, axis_id) = 1")
 def _(spark, d):
-    return O.dominant_axis(spectrum(spark, d), ["vec_id"]).select("vec_id", "axis_id")
+    return spectra(spark, d).select("vec_id", O.dominant_axis().alias("axis_id"))
 
 
 @query("v6_node_id", W + "SELECT vec_id, 'VEC_' || label AS id FROM vecs")
@@ -135,13 +128,18 @@ def _(spark, d):
 
 @query("v7_spectrum_json")
 def _(spark, d):
-    return O.spectrum_map(spectrum(spark, d), ["vec_id"]).select("vec_id", F.to_json("projections").alias("projections"))
+    return spectra(spark, d).select("vec_id", F.to_json(O.spectrum_map()).alias("projections"))
 
 
-@query("v8_ingest_vectors", W + "SELECT id, seq, round(variance, 9) AS variance, 'incubating' AS state, axis_id, round(k_cin, 6) AS k_cin FROM kc JOIN (SELECT vec_id, axis_id FROM spec QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, axis_id) = 1) USING (vec_id)")
+@query("v8_ingest_vectors", W + """, fine AS (SELECT 'VEC_' || label AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS seq, vec_id, u FROM unit WHERE vec_id % 50 > 5),
+ steps AS (SELECT id, seq, vec_id, u, lag(u) OVER (PARTITION BY id ORDER BY seq) AS w FROM fine),
+ dead AS (SELECT 'LOG_' || vec_id AS id FROM vecs WHERE vec_id % 50 <= 5)
+ SELECT id, seq, round(variance, 9) AS variance, CASE WHEN variance >= threshold AND false THEN 'consolidated' ELSE 'incubating' END AS state, axis_id,
+ round(CASE WHEN w IS NOT NULL THEN 0.5 * list_sum(list_transform(list_zip(u, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * (1 + variance) END, 6) AS k_cin
+ FROM steps JOIN vars USING (vec_id) JOIN (SELECT vec_id, axis_id FROM spec QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, axis_id) = 1) USING (vec_id), theta
+ UNION ALL SELECT id, 1, 0.0, 'telemetry_error', NULL, NULL FROM dead""")
 def _(spark, d):
-    top = O.dominant_axis(spectrum(spark, d), ["vec_id"]).select("vec_id", "axis_id")
-    return kinetics(spark, d).join(top, "vec_id").select("id", "seq", F.round("variance", 9).alias("variance"), F.lit("incubating").alias("state"), "axis_id", F.round("k_cin", 6).alias("k_cin"))
+    return O.ingest_vectors(I.bad_vectors(spark, d), I.axes(spark, d), 64).select("id", "seq", F.round("variance", 9).alias("variance"), "state", "axis_id", F.round("k_cin", 6).alias("k_cin"))
 
 
 @query("v10_float_drift", """SELECT l_linenumber, count(*) AS n, count(*) FILTER (drift > 1e-6) AS drifting, round(max(drift), 9) AS worst FROM
@@ -182,15 +180,15 @@ def _(spark, d):
     return O.label_axes(I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("rank"), F.col("s_name").alias("name")))
 
 
-@query("b3_anchor_axes", W + "SELECT 'AXIS_' || (vec_id + 1) AS axis_id FROM unit WHERE vec_id BETWEEN 8 AND 15")
+@query("b3_anchor_axes", W + "SELECT 'AXIS_' || (vec_id + 1) AS axis_id FROM unit WHERE vec_id >= 8")
 def _(spark, d):
-    new = I.unit_vectors(spark, d).where("vec_id < 16").select(F.concat(F.lit("AXIS_"), (F.col("vec_id") + 1).cast("string")).alias("axis_id"), F.lit("EPOCH_V1").alias("epoch"))
+    new = I.unit_vectors(spark, d).select(F.concat(F.lit("AXIS_"), (F.col("vec_id") + 1).cast("string")).alias("axis_id"), F.lit("EPOCH_V1").alias("epoch"))
     return O.insert_or_ignore(new, I.axes(spark, d), ["axis_id", "epoch"]).select("axis_id")
 
 
-@query("b4_active_epoch", "SELECT 'EPOCH_V' || max(label + 1) AS epoch FROM embeddings WHERE vec_id < 200")
+@query("b4_active_epoch", "SELECT 'EPOCH_V' || max(label + 1) AS epoch FROM embeddings")
 def _(spark, d):
-    log = I.raw_vectors(spark, d).where("vec_id < 200").select(F.concat(F.lit("EPOCH_V"), (F.col("label") + 1).cast("string")).alias("epoch"), F.col("label").alias("created_at"))
+    log = I.raw_vectors(spark, d).select(F.concat(F.lit("EPOCH_V"), (F.col("label") + 1).cast("string")).alias("epoch"), F.col("label").alias("created_at"))
     return O.active_epoch(log)
 
 
@@ -236,16 +234,17 @@ def _(spark, d):
 
 @query("u4_gate_sql", W + "SELECT vec_id, state FROM gated")
 def _(spark, d):
-    maps = O.spectrum_map(spectrum(spark, d), ["vec_id"]).crossJoin(F.broadcast(O.calibrate_threshold(I.axes(spark, d))))
-    return maps.select("vec_id", V.gate_state(F.col("projections"), F.col("threshold"), F.col("vec_id") % 3 != 0).alias("state"))
+    maps = spectra(spark, d).crossJoin(F.broadcast(O.calibrate_threshold(I.axes(spark, d))))
+    return maps.select("vec_id", V.gate_state(O.spectrum_map(), F.col("threshold"), F.col("vec_id") % 3 != 0).alias("state"))
 
 
-@query("g2_consolidate", W + "SELECT id, (seq + top)::BIGINT AS seq, state, round(CASE WHEN state = 'consolidated' THEN 1.0 ELSE variance END, 9) AS potential FROM (SELECT 'VEC_' || label AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS seq, state, variance FROM gated WHERE vec_id >= 100 AND label < 5) JOIN (SELECT 'VEC_' || label AS id, count(*) AS top FROM vecs WHERE vec_id < 100 GROUP BY 1) USING (id)")
+@query("g2_consolidate", W + "SELECT id, (seq + top)::BIGINT AS seq, state, round(CASE WHEN state = 'consolidated' THEN 1.0 ELSE variance END, 9) AS potential, milestone FROM (SELECT 'VEC_' || label AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS seq, state, variance, (vec_id % 3 <> 0)::INT AS milestone FROM gated WHERE vec_id % 11 <> 0) JOIN (SELECT 'VEC_' || label AS id, count(*) AS top FROM vecs GROUP BY 1) USING (id)")
 def _(spark, d):
-    named = lambda df: df.withColumn("id", F.concat(F.lit("VEC_"), F.col("label").cast("string")))
-    log = I.vec_log(spark, d).where("vec_id < 100")
-    asked = named(gated(spark, d).where("vec_id >= 100 and label < 5")).join(log.select("id").distinct(), "id", "left_semi")
-    return R.assign_seq(asked, log, ["vec_id"]).select("id", "seq", "state", F.round(F.when(F.col("state") == "consolidated", 1.0).otherwise(F.col("variance")), 9).alias("potential"))
+    # every vector asks for a new revision of its label's node; some ask for a node that isn't there
+    named = F.when(F.col("vec_id") % 11 == 0, "VEC_MISSING").otherwise(F.concat(F.lit("VEC_"), F.col("label").cast("string")))
+    asked = I.unit_vectors(spark, d).select(named.alias("id"), "vec_id", "vector", (F.col("vec_id") % 3 != 0).alias("ethical_key"))
+    found = O.consolidate(I.vec_log(spark, d), asked, I.axes(spark, d), ["vec_id"])
+    return found.select("id", "seq", "state", F.round("potential", 9).alias("potential"), "milestone")
 
 
 @query("g3_gate_rate", W + "SELECT coalesce(label::VARCHAR, 'all') AS category, count(*) FILTER (state = 'consolidated') AS consolidated, round(count(*) FILTER (state = 'consolidated') / count(*), 9) AS rate FROM gated GROUP BY ROLLUP (label)")
@@ -259,9 +258,11 @@ def _(spark, d):
     return gated(spark, d).agg(F.sum((F.col("state") == "consolidated").cast("long")).alias("c"), F.count("*").alias("n")).select(F.col("c").between(1, F.col("n") - 1).alias("ok"))
 
 
-@query("g5_gate_law_violations", W + "SELECT 6 * count(*) AS cases, 0::BIGINT AS no_key, 0::BIGINT AS below, 0::BIGINT AS above FROM vecs")
+@query("g5_gate_law_violations", W + """, moved AS (SELECT vec_id, k, var_pop(m + k * (p - m)) AS v, any_value(k * k * variance) AS law FROM spec JOIN vars USING (vec_id) JOIN (SELECT vec_id, avg(p) AS m FROM spec GROUP BY 1) USING (vec_id), (VALUES (0.1::DOUBLE), (0.5), (1.0), (2.0), (5.0), (10.0)) s(k) GROUP BY ALL),
+ judged AS (SELECT law >= threshold AS above, CASE WHEN v >= threshold AND true THEN 'consolidated' ELSE 'incubating' END AS with_key, CASE WHEN v >= threshold AND false THEN 'consolidated' ELSE 'incubating' END AS without FROM moved, theta)
+ SELECT count(*) AS cases, count(*) FILTER (without = 'consolidated') AS no_key, count(*) FILTER (NOT above AND with_key = 'consolidated') AS below, count(*) FILTER (above AND with_key <> 'consolidated') AS above FROM judged""")
 def _(spark, d):
-    return O.gate_law_violations(spectrum(spark, d), ["vec_id"], O.calibrate_threshold(I.axes(spark, d)))
+    return O.gate_law_violations(spectra(spark, d), O.calibrate_threshold(I.axes(spark, d)))
 
 
 @query("g6_variance_profile", W + "SELECT round(min(variance), 9) AS low, round(avg(variance), 9) AS mean, round(max(variance), 9) AS high, round(quantile_cont(variance, 0.5), 9) AS p50, round(quantile_cont(variance, 0.6), 9) AS p60, round(quantile_cont(variance, 0.9), 9) AS p90, round(avg(passed::INT), 9) AS share FROM gated")
@@ -343,7 +344,7 @@ def _(spark, d):
  (SELECT var_pop(pnorm) AS b, var_pop(sqrt(list_inner_product(u, u) + coalesce(k_cin, 0) * coalesce(k_cin, 0))) AS a, avg(step) AS lb, avg(step + (coalesce(k_cin, 0) - kp) * (coalesce(k_cin, 0) - kp)) AS la
  FROM (SELECT *, lag(coalesce(k_cin, 0)) OVER (PARTITION BY id ORDER BY seq) AS kp FROM kc JOIN unit USING (vec_id)))""")
 def _(spark, d):
-    full = kinetics(spark, d).join(ortho(spark, d).select("vec_id", "pp"), "vec_id").withColumn("k", F.coalesce("k_cin", F.lit(0.0)))
+    full = kinetics(spark, d).withColumn("k", F.coalesce("k_cin", F.lit(0.0)))
     full = full.withColumn("kp", F.lag("k").over(R.by_seq()))
     after = F.sqrt(V.dot(F.col("vector"), F.col("vector")) + F.col("k") * F.col("k"))
     m = full.agg(F.var_pop(F.sqrt("pp")).alias("b"), F.var_pop(after).alias("a"), F.avg("step").alias("lb"), F.avg(F.col("step") + (F.col("k") - F.col("kp")) * (F.col("k") - F.col("kp"))).alias("la"))
@@ -352,7 +353,7 @@ def _(spark, d):
 
 @query("k13_novelty_verdict", W + f", r AS (SELECT {REGION} AS region, avg(coalesce(k_cin, 0)) AS k, avg(pnorm) AS p FROM kc GROUP BY 1) SELECT round(abs(max(k) - min(k)), 6) AS k_gap, round(abs(max(p) - min(p)), 6) AS p_gap, abs(max(k) - min(k)) > 0.01 OR abs(max(p) - min(p)) > 0.01 AS supported FROM r")
 def _(spark, d):
-    full = kinetics(spark, d).join(ortho(spark, d).select("vec_id", "pp"), "vec_id").withColumn("region", F.expr(REGION))
+    full = kinetics(spark, d).withColumn("region", F.expr(REGION))
     r = full.groupBy("region").agg(F.avg(F.coalesce("k_cin", F.lit(0.0))).alias("k"), F.avg(F.sqrt("pp")).alias("p"))
     g = r.agg((F.max("k") - F.min("k")).alias("k"), (F.max("p") - F.min("p")).alias("p"))
     return g.select(F.round("k", 6).alias("k_gap"), F.round("p", 6).alias("p_gap"), ((F.col("k") > 0.01) | (F.col("p") > 0.01)).alias("supported"))
@@ -360,10 +361,8 @@ def _(spark, d):
 
 @query("k14_phase_profile", W + "SELECT vec_id // 100 AS phase, round(min(k_cin), 6) AS k_min, round(max(k_cin), 6) AS k_max, round(min(ratio), 6) AS r_min, round(max(ratio), 6) AS r_max, round(avg(ratio), 6) AS r_mean, max(k_cin) > 0.05 AS moving, avg(ratio) < 1 AS noisy FROM ratio GROUP BY 1")
 def _(spark, d):
-    rows = ratios(spark, d)
-    phases = I.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("phase")).distinct().select("phase", (F.col("phase") * 100).alias("first"), (F.col("phase") * 100 + 99).alias("last"))
-    joined = rows.join(F.broadcast(phases), (F.col("vec_id") >= F.col("first")) & (F.col("vec_id") <= F.col("last")))
-    return joined.groupBy("phase").agg(F.round(F.min("k_cin"), 6).alias("k_min"), F.round(F.max("k_cin"), 6).alias("k_max"), F.round(F.min("ratio"), 6).alias("r_min"), F.round(F.max("ratio"), 6).alias("r_max"), F.round(F.avg("ratio"), 6).alias("r_mean"), (F.max("k_cin") > 0.05).alias("moving"), (F.avg("ratio") < 1).alias("noisy"))
+    # phases of equal length: a row's phase follows from its place
+    return ratios(spark, d).withColumn("phase", F.floor(F.col("vec_id") / 100)).groupBy("phase").agg(F.round(F.min("k_cin"), 6).alias("k_min"), F.round(F.max("k_cin"), 6).alias("k_max"), F.round(F.min("ratio"), 6).alias("r_min"), F.round(F.max("ratio"), 6).alias("r_max"), F.round(F.avg("ratio"), 6).alias("r_mean"), (F.max("k_cin") > 0.05).alias("moving"), (F.avg("ratio") < 1).alias("noisy"))
 
 
 @query("k15_trend_check", W + ", o AS (SELECT id, k_cin, row_number() OVER (PARTITION BY id ORDER BY seq) AS a, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS z FROM ratio) SELECT id, round(avg(k_cin) FILTER (a <= 10), 6) AS early, round(avg(k_cin) FILTER (z <= 10), 6) AS late, avg((k_cin > 0)::INT) >= 0.8 AND avg(k_cin) FILTER (z <= 10) >= 0.8 * avg(k_cin) FILTER (a <= 10) AS ok FROM o GROUP BY 1")

@@ -47,25 +47,41 @@ def source(spark: SparkSession, d: str, name: str, view: DataFrame | None = None
 def ingest_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Validate, project and gate a stream of vectors; rejected ones become error rows."""
     stream = source(spark, d, "vectors", I.bad_vectors(spark, d).select("vec_id", "vector"))
-    basis = I.axes(spark, d).orderBy("axis_id").collect()  # a basis is a handful of rows
-    unit = V.unit(F.col("vector"))
-    spectrum = F.array(*[V.dot(unit, F.array(*[F.lit(float(x)) for x in a["vector"]])) for a in basis])
-    reason = O.vector_reject_reason(F.col("vector"), 64)
-    rows = stream.select("vec_id", reason.alias("reason"), F.when(reason.isNull(), V.variance(spectrum)).alias("variance"))
-    state = F.when(F.col("reason").isNotNull(), "telemetry_error").otherwise("incubating")
-    return spark.read.parquet(run(rows.withColumn("state", state), "ingest")).select("vec_id", "state")
+    axes = I.axes(spark, d)
+    checked = stream.withColumn("reason", O.vector_reject_reason(F.col("vector"), 64))
+    good = O.vector_variances(checked.where("reason is null").withColumn("vector", V.unit(F.col("vector"))), axes, ["vec_id"])
+    gated = O.evaluate_gate(good, O.calibrate_threshold(axes), F.col("vec_id") % 3 != 0).select("vec_id", "state")
+    dead = checked.where("reason is not null").select("vec_id", F.lit("telemetry_error").alias("state"))
+    return spark.read.parquet(run(gated.unionByName(dead), "ingest"))
 
 
-def dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each idempotency key, kept for ever."""
-    stream = source(spark, d, "queue", I.queue(spark, d)).dropDuplicates(["idempotency_key"])
-    return spark.read.parquet(run(stream, "dedupe")).agg(F.count("*").alias("keys"))
+def dedupe(spark: SparkSession, d: str, within: str | None = None) -> DataFrame:
+    """Each row with the first id of its key and whether that key was seen before, for ever.
+
+    With ``within``, an interval such as ``1 day``, state is bounded instead: keys are
+    forgotten after it, and only first rows come out.
+    """
+    view = I.queue(spark, d)
+    if within is not None:
+        times = I.table(spark, d, "events").select(F.col("event_id").alias("ingestion_id"), "ts")
+        stream = source(spark, d, "queue", view.join(times, "ingestion_id")).withWatermark("ts", within).dropDuplicatesWithinWatermark(["idempotency_key"])
+        return spark.read.parquet(run(stream, "dedupe"))
+
+    def first(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        ids = np.sort(np.concatenate([b["ingestion_id"].to_numpy() for b in batches]))
+        known = state.get[0] if state.exists else int(ids[0])
+        state.update((known,))
+        yield pd.DataFrame({"ingestion_id": ids, "first_id": known, "duplicate": ids != known})
+
+    stream = source(spark, d, "queue", view.select("idempotency_key", "ingestion_id"))
+    marked = stream.groupBy("idempotency_key").applyInPandasWithState(first, "ingestion_id long, first_id long, duplicate boolean", "first_id long", "append", "NoTimeout")
+    return spark.read.parquet(run(marked, "dedupe"))
 
 
 def kinetics(spark: SparkSession, d: str) -> DataFrame:
-    """Each id keeps its last number and vector; late events get the next number."""
-    variances = O.spectral_variance(O.project_spectrum(I.unit_vectors(spark, d), I.axes(spark, d), ["vec_id"]), ["vec_id"])
-    stream = source(spark, d, "trajectories", I.vec_log(spark, d).join(variances, "vec_id").select("id", "vec_id", "vector", "variance"))
+    """Vectors are projected as they come; each id keeps its last number and vector, and late events get the next number."""
+    stream = source(spark, d, "trajectories", I.vec_log(spark, d).select("id", "vec_id", "vector"))
+    projected = O.vector_variances(stream.withColumn("v", F.col("vector")), I.axes(spark, d), ["id", "vec_id", "v"]).withColumnRenamed("v", "vector")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seq, last = state.get if state.exists else (0, None)
@@ -79,7 +95,7 @@ def kinetics(spark: SparkSession, d: str) -> DataFrame:
         state.update((seq, [float(x) for x in last]))
         yield pd.DataFrame(out, columns=["id", "seq", "k_cin"]).astype({"k_cin": "float64"})
 
-    moved = stream.groupBy("id").applyInPandasWithState(step, "id string, seq long, k_cin double", "seq long, vector array<double>", "append", "NoTimeout")
+    moved = projected.groupBy("id").applyInPandasWithState(step, "id string, seq long, k_cin double", "seq long, vector array<double>", "append", "NoTimeout")
     return spark.read.parquet(run(moved, "kinetics")).select("id", "seq", F.round("k_cin", 6).alias("k_cin"))
 
 

@@ -25,11 +25,22 @@ def test_orthonormal_threshold_is_zero(spark):
 def test_kinetic_resistance_by_hand(spark):
     unit = lambda i: [1.0 if j == i else 0.0 for j in range(384)]
     log = spark.createDataFrame([("a", 1, unit(1)), ("a", 2, unit(0))], "id string, seq long, vector array<double>")
-    v = O.spectral_variance(O.project_spectrum(log, basis(spark), ["id", "seq"]), ["id", "seq"])
-    got = {r["seq"]: r["k_cin"] for r in R.kinetics(log, v).collect()}
+    v = O.vector_variances(log.withColumn("own", F.col("vector")), basis(spark), ["id", "seq", "own"]).withColumnRenamed("own", "vector")
+    got = {r["seq"]: r["k_cin"] for r in R.kinetics(v).collect()}
     assert got[1] is None and got[2] == pytest.approx(1.109375)
 
 
+def test_ortho_distance_of_a_skew_basis(spark):
+    rng = np.random.default_rng(8)
+    b, x = rng.normal(size=(3, 6)), rng.normal(size=(20, 6))
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    axes = spark.createDataFrame([(f"AXIS_{i}", [float(v) for v in r]) for i, r in enumerate(b)], "axis_id string, vector array<double>")
+    vecs = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k int, vector array<double>")
+    got = {r["k"]: (r["ortho"], r["pp"]) for r in R.ortho_distance(O.with_spectrum(vecs, axes), ["k"]).collect()}
+    for i, v in enumerate(x):
+        assert got[i] == (pytest.approx(np.linalg.norm(v - b.T @ (b @ v)) ** 2), pytest.approx(np.linalg.norm(b @ v) ** 2))
+
+
 def test_epoch_append(spark):
     after = O.append_epoch(basis(spark)).collect()
     assert len(after) == 9 and {len(r["vector"]) for r in after} == {385}
@@ -83,6 +94,28 @@ def test_recovery_of_json():
     assert S.recover('{"a": 1,}') == ('{"a": 1}', True)
     assert S.recover('x {"a": {"b": "}"}} y') == ('{"a": {"b": "}"}}', False)
     assert S.recover('{"a": 1')[1] and S.recover("nothing") == (None, False)
+    assert S.recover('Here:\n```json\n{"a": [1, 2,], "b": {"c": 3,}\n```') == ('{"a": [1, 2], "b": {"c": 3}}', True)
+    assert S.recover("{not valid json") == (None, False) and S.recover('{"a": "open') == (None, False)
+    assert S.recover('{"a": "x, }"}') == ('{"a": "x, }"}', False)
+
+
+def test_screening_decisions(spark):
+    import json
+
+    good = {"Intent_Class": "FIX", "Target_File": "a.txt", "Topological_Grounding": "known words", "Implementation_Block": "update", "Safety_Abort": "NONE"}
+    text = lambda **k: json.dumps(good | k)
+    cases = [
+        (text(), "EXECUTE_SAFE"), (f"Sure:\n```json\n{text()}\n```\nDone.", "EXECUTE_SAFE"), (text()[:-1], "EXECUTE_SAFE"), (text()[:-1] + ",}", "EXECUTE_SAFE"), (f"see {text()} there", "EXECUTE_SAFE"),
+        ("{not valid json", "INVALID_JSON"), ("plain", "INVALID_JSON"), (text(Safety_Abort="RISK_HIGH"), "BLOCKED_BY_SAFETY_GATE"), (text(Safety_Abort=None), "BLOCKED_BY_SAFETY_GATE"),
+        (text(Implementation_Block="use curl here"), "ABORTED_VIOLATES_ZERO_TRUST"), (text(Topological_Grounding="other"), "ABORTED_GROUNDING_FAILED"), (text(Topological_Grounding=""), "ABORTED_GROUNDING_FAILED"),
+        (text(Target_File="b.txt"), "ABORTED_GROUNDING_FAILED"), (text(Target_File="b.txt", Intent_Class="DOC"), "EXECUTE_SAFE"), (text(Implementation_Block="a\0b"), "ABORTED_VIOLATES_ZERO_TRUST"),
+        (text(Implementation_Block="the escape \\u0000 itself"), "EXECUTE_SAFE"), (text() + "\0", "ABORTED_VIOLATES_ZERO_TRUST"), (text(Other="a\0b"), "ABORTED_VIOLATES_ZERO_TRUST"), ("[1, 2]", "ABORTED_GROUNDING_FAILED"),
+        ('{"Intent_Class": "AUDIT"}', "ABORTED_GROUNDING_FAILED"), ("{}", "EXECUTE_SAFE"), (text(Implementation_Block=None), "ABORTED_GROUNDING_FAILED"),
+    ]
+    raw = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k long, raw string")
+    files = spark.createDataFrame([("a.txt", b"some known words here")], "path string, content binary")
+    got = {r["k"]: r["decision"] for r in S.screen_proposals(raw, files).collect()}
+    assert got == {k: c[1] for k, c in enumerate(cases)}
 
 
 def test_append_numbers(spark):
@@ -132,3 +165,54 @@ def test_rank_test_without_a_side(spark):
     df = spark.createDataFrame([("A", 1.0), ("A", 2.0)], "category string, x double")
     r = C.mann_whitney(df, "x", F.col("category") == "A", F.col("category") == "B").first()
     assert (r["auc"], r["p"]) == (0.5, 1.0)
+
+
+def test_rank_test_of_many_values(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0.2, 1, 120_000), np.concatenate((rng.normal(0, 1, 100_000), np.full(500, 0.25)))
+    df = spark.createDataFrame([(True, float(x)) for x in a] + [(False, float(x)) for x in b], "first boolean, x double").repartition(7)
+    got = C.mann_whitney(df, "x", F.col("first"), ~F.col("first")).first()
+    order = np.sort(b)
+    auc = (np.searchsorted(order, a, "left") + np.searchsorted(order, a, "right")).sum() / 2 / (len(a) * len(b))
+    assert got["auc"] == pytest.approx(auc, abs=1e-12)
+
+
+def test_calibration_normalises_and_drops_zero_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 5)) * rng.uniform(0.1, 50, size=(40, 1))
+    rows = [(f"n{i}", [float(v) for v in r]) for i, r in enumerate(x)] + [("zero", [0.0] * 5)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    distances = np.sort([np.linalg.norm(unit[i] - unit[j]) for i in range(40) for j in range(i)])
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    assert E.calibrate_epsilon(df, 0.3, blocks=3) == pytest.approx(distances[int(0.3 * len(distances))])
+    assert E.calibrate_epsilon(df.where("id = 'zero'")) == 0.0
+
+
+def test_dimension_by_mode(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0]), (2, [1.0] * 4), (3, None)], "k int, v array<double>")
+    out = {}
+    for mode in ("vector", "text"):
+        v, bad = O.check_dimension(F.col("v"), 3, mode)
+        out[mode] = {r["k"]: (r["bad"], r["v"]) for r in df.select("k", bad.alias("bad"), v.alias("v")).collect()}
+    assert [out["vector"][k][0] for k in range(4)] == [True, False, True, True]
+    assert [out["text"][k][0] for k in range(4)] == [False, False, True, True] and out["text"][0][1] == [1.0, 2.0, 0.0]
+
+
+def test_ingest_goes_on_from_a_log(spark):
+    v = [1.0 if j == 0 else 0.0 for j in range(384)]
+    w = [2.0 if j == 1 else 0.0 for j in range(384)]
+    log = spark.createDataFrame([("VEC_5", 3, v)], "id string, seq long, vector array<double>")
+    new = spark.createDataFrame([(10, 5, w), (11, 6, v), (12, 6, [1.0])], "vec_id long, label int, vector array<double>")
+    got = {r["id"]: r for r in O.ingest_vectors(new, basis(spark), 384, log).collect()}
+    assert (got["VEC_5"]["seq"], got["VEC_5"]["axis_id"], got["VEC_5"]["k_cin"]) == (4, "AXIS_2", pytest.approx(1.109375))
+    assert got["VEC_6"]["seq"] == 1 and got["VEC_6"]["k_cin"] is None and got["LOG_12"]["state"] == "telemetry_error"
+
+
+def test_halves_of_categories(spark):
+    import hashlib
+
+    docs = spark.createDataFrame([(i, "AB"[i % 3 == 0]) for i in range(3000)], "doc_id long, category string").repartition(5)
+    got = {r["doc_id"]: r["reference"] for r in C.split_reference(docs).collect()}
+    for c in "AB":
+        own = sorted((hashlib.md5(f"seed{i}".encode()).hexdigest(), i) for i in range(3000) if "AB"[i % 3 == 0] == c)
+        assert [got[i] for _, i in own] == [k < len(own) // 2 for k in range(len(own))]
