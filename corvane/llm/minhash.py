@@ -18,8 +18,11 @@ with a chance of 8e-6, and one of similarity 0.1 shares one with a chance of 6e-
 
 Defined results: null and empty texts have an empty set, link with nothing and
 stay; repeated rows of one id, which have one text, count once and are each
-returned; rows without an id take no part and are not returned; other columns
-are not carried.
+returned; rows without an id take no part, have no component and stay; an empty
+table gives no rows; other columns are not carried, whatever their names.  A task
+holds one whole text and some 60 bytes for each of its bytes at a time, whatever the
+text's length; comparisons across components hold two blocks of at most ``CLUSTER_BLOCK``
+texts and about ``BLOCK_SHINGLES`` shingles, or one longer text.
 """
 
 from __future__ import annotations
@@ -44,6 +47,7 @@ SIMILAR_PERCENT = 80
 TOGETHER = 1 << 13
 #: Documents of a block, and different shingles of a stripe, in comparisons by matrix products.
 CLUSTER_BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
 STRIPE = 1 << 14
 
 SETS = tx.arrow_schema(doc_id=pa.int64(), n_shingles=pa.int64(), set_a=pa.int64(), set_b=pa.int64(), bands=pa.list_(pa.int64()))
@@ -67,10 +71,10 @@ def shingle_sets(block: tx.Block, size: int) -> Iterator[np.ndarray]:
         if n >= size:
             yield np.unique(runs[first[i] : last[i] - size + 1])
         elif n:
-            short = tx.U64(n)
-            for x in h[first[i] : last[i]]:
-                short = tx.mix(np.array([short * tx.U64(0xD6E8FEB86659FD93) + x]))[0]
-            yield np.array([short])
+            short = np.array([n], dtype=np.uint64)
+            for k in range(first[i], last[i]):
+                short = tx.mix(short * tx.U64(0xD6E8FEB86659FD93) + h[k : k + 1])
+            yield short
         else:
             yield np.zeros(0, dtype=np.uint64)
 
@@ -83,7 +87,7 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     signature = np.full(n * slots, _EMPTY, dtype=np.uint64)
     order, rows = None, None
     for step in range(slots):
-        draw = tx.mix(items + tx.U64(step + 1) * _STEP)
+        draw = tx.mix(items + tx.U64((step + 1) * int(_STEP) % (1 << 64)))
         pick = step + ((draw & _LOW) * tx.U64(slots - step) >> tx.U64(32)).astype(np.int64)
         if step == 0:
             slot = pick
@@ -187,9 +191,10 @@ def links_across(able: DataFrame, documents: DataFrame, size: int, percent: int)
     """
     low = able.groupBy("key").agg(F.min("doc_id").alias("low"))
     clusters = components(able.join(low, "key").select("doc_id", "low"), "doc_id", "low").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CLUSTER_BLOCK).cast("int").alias("blocks"))
-    named = able.groupBy("doc_id").agg(F.first("component").alias("component"))
-    placed = keep(named.join(clusters, "doc_id").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    named = able.groupBy("doc_id").agg(F.first("component").alias("component"), F.max("n_shingles").alias("n_shingles"))
+    blocks = F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = named.join(clusters, "doc_id").groupBy("cluster").agg(blocks.alias("blocks"))
+    placed = keep(named.drop("n_shingles").join(clusters, "doc_id").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     texts = with_ids(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), placed.select("doc_id"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = placed.join(texts, "doc_id").select("doc_id", "component", "cluster", "block", "text", other)
@@ -215,12 +220,12 @@ def links_across(able: DataFrame, documents: DataFrame, size: int, percent: int)
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document with an id."""
+    """doc_id, n_shingles, component_id and kept for every row."""
     small_batches(documents.sparkSession)
     known = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    sets = keep(signed_sets(known, size))
-    classes = keep(sets.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
-    signed = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("bands").alias("key"))
+    sets = keep(signed_sets(documents, size))
+    classes = keep(sets.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")))
+    signed = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     shared = signed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = keep(signed.join(shared, "key"))
     degree = members.groupBy("doc_id").agg(F.sum("size").alias("meets"))
@@ -230,7 +235,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = SIMILAR_
     links = keep(linked(first, known, size, percent))
     group = components(links, "a", "b")
 
-    labelled = members.where("size > 2").join(group, members["doc_id"] == group["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = members.where("size > 2").join(group, members["doc_id"] == group["node"], "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     apart = keep(labelled.join(mixed, "key"))
     if not apart.isEmpty():
@@ -240,8 +245,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = SIMILAR_
 
     named = classes.join(group, classes["rep"] == group["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     placed = sets.join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,11 @@ rows kept out of the fit, and applied to Arrow batches against a fixed threshold
 Defined results: a null text has no words and fails the base rules; without
 labels of both classes the model gives every text the one class that there is
 (label 1 without any label).  Repeated rows are
-judged alike; other columns of the input pass through untouched.
+judged alike, a probability equal to the threshold keeps a text, and an empty table
+gives no rows; rows without an id are judged as others.  ``score_quality_rules``
+carries no other columns; ``good_documents`` passes all through, whatever their
+names.  A task holds one whole text and some 100 bytes for each of its bytes at a
+time, whatever the text's length.
 """
 
 from __future__ import annotations
@@ -25,14 +29,14 @@ from . import text as tx
 from .labelled import sample_labelled
 from .tables import read
 
-BUCKET_BITS = 11
+BUCKET_BITS = 12
 WORD_BUCKETS = CHAR_BUCKETS = 1 << BUCKET_BITS
 CHAR_ORDERS = (3, 4)
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 KEEP_FROM = 0.5
 #: Bound on the labelled rows of each class that the fit uses.
-ROWS_PER_CLASS = 500
+ROWS_PER_CLASS = 800
 
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -126,13 +130,13 @@ class RulesModel:
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Full-batch Adam on features scaled by their root mean square; weights are for the raw features."""
     scale = (1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-4)).astype(np.float32)
-    x = x * scale
     w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
     m = v = np.zeros(x.shape[1] + 1)
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    # scaled weights stand for scaled features: the matrix is not copied
     for t in range(1, steps + 1):
-        g = (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y) * share
-        grad = np.concatenate((g @ x + decay * w, [g.sum()]))
+        g = ((1 / (1 + np.exp(-np.clip(x @ (w * scale) + b, -40, 40))) - y) * share).astype(np.float32)
+        grad = np.concatenate(((g @ x) * scale + decay * w, [g.sum()]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
@@ -153,7 +157,7 @@ def fit_platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return float(p[0]), float(p[1])
 
 
-FEATURE_ROWS = tx.arrow_schema(doc_id=pa.int64(), label=pa.int32(), weight=pa.float64(), features=pa.binary())
+FEATURE_ROWS = tx.arrow_schema(doc_id=pa.int64(), label=pa.int32(), weight=pa.float64(), buckets=pa.binary(), shares=pa.binary())
 
 
 def train(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> RulesModel:
@@ -161,14 +165,17 @@ def train(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PE
         for one in batches:
             for block, x in dense(one["text"]):
                 part = one.slice(int(block.index[0]), len(block.index))
-                yield tx.batch({"doc_id": part["doc_id"], "label": part["label"], "weight": part["weight"], "features": [row.tobytes() for row in x]}, FEATURE_ROWS)
+                used = [np.flatnonzero(row) for row in x]
+                yield tx.batch({"doc_id": part["doc_id"], "label": part["label"], "weight": part["weight"], "buckets": [u.astype(np.uint16).tobytes() for u in used], "shares": [row[u].tobytes() for row, u in zip(x, used, strict=True)]}, FEATURE_ROWS)
 
     sample = sample_labelled(documents, labels, "quality", rows_per_class)
     got = sample.mapInArrow(extract, tx.spark_schema(FEATURE_ROWS)).toPandas().sort_values("doc_id", ignore_index=True)
     y = got["label"].to_numpy(dtype=np.float64)
     if len(got) == 0 or y.min() == y.max():
         return RulesModel(np.zeros(N_FEATURES), 0.0, 0.0, -40.0 if len(got) and y[0] == 0 else 40.0)
-    x = np.stack([np.frombuffer(b, dtype=np.float32) for b in got["features"]])
+    x = np.zeros((len(got), N_FEATURES), dtype=np.float32)
+    for row, buckets, shares in zip(x, got["buckets"], got["shares"], strict=True):
+        row[np.frombuffer(buckets, dtype=np.uint16)] = np.frombuffer(shares, dtype=np.float32)
     aside = np.random.default_rng(11).permutation(len(y)) % 4 == 0
     if any(len(np.unique(y[part])) < 2 for part in (aside, ~aside)):
         aside = np.ones(len(y), dtype=bool)

@@ -7,7 +7,9 @@ path decide the rest.  The model is trained from a small table of labelled urls.
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule, and is judged by the model's bias alone.  Repeated rows are judged
 alike, an empty table gives an empty one, and other columns pass through unless
-their name is one of the five that are added, which then replaces it.
+their name is one of the five that are added, which then replaces it.  Rules of
+equal length that fit (there are none by default) tie in favour of the later one.
+Very long urls are judged whole; a batch's n-grams take some 100 bytes a character.
 """
 
 from __future__ import annotations
@@ -85,22 +87,33 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return chain
 
 
-def gram_indices(text: str, salt: int) -> np.ndarray:
-    """Bucket of every character n-gram of a text, with its ends marked."""
-    codes = np.fromiter(map(ord, f"^{text}$"), dtype=np.uint64)
-    out = []
+def grams(texts: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of every character n-gram of many texts, with their ends marked."""
+    marked = [f"^{t}$" for t in texts]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    of = np.repeat(np.arange(len(marked)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))  # characters to the text's end
+    rows, buckets = [], []
     for n in ORDERS:
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, salt * 31 + n, dtype=np.uint64)
-            for k in range(n):
-                h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x100000001B3)
-                h ^= h >> np.uint64(29)
-            out.append(h % np.uint64(BUCKETS))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, dtype=np.int64)
-
-
-def features(host: str, path: str) -> np.ndarray:
-    return np.unique(np.concatenate((gram_indices(host, 1), gram_indices(path, 2)))) if host or path else np.zeros(0, dtype=np.int64)
+        m = max(0, len(codes) - n + 1)
+        h = np.full(m, salt * 31 + n, dtype=np.uint64)
+        for k in range(n):
+            h = (h ^ codes[k : k + m]) * np.uint64(0x100000001B3)
+            h ^= h >> np.uint64(29)
+        inside = left[:m] >= n
+        rows.append(of[:m][inside])
+        buckets.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(buckets)
+
+
+def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Url number and bucket of the different n-grams of each url, in order; none for a url without host and path."""
+    (a, x), (b, y) = grams(hosts, 1), grams(paths, 2)
+    both = np.unique(np.concatenate((a, b)) * BUCKETS + np.concatenate((x, y)))
+    some = np.fromiter((bool(h or p) for h, p in zip(hosts, paths, strict=True)), dtype=bool, count=len(hosts))
+    both = both[some[both // BUCKETS]] if len(both) else both
+    return both // BUCKETS, both % BUCKETS
 
 
 @dataclass
@@ -110,23 +123,29 @@ class UrlModel:
     weights: np.ndarray
     bias: float
 
-    def unwanted(self, host: str, path: str) -> float:
-        f = features(host, path)
-        z = self.bias + (self.weights[f].sum() / np.sqrt(len(f)) if len(f) else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    def unwanted(self, hosts: list[str], paths: list[str]) -> np.ndarray:
+        """Probabilities of many urls at once."""
+        of, f = features(hosts, paths)
+        n = np.bincount(of, minlength=len(hosts))
+        z = self.bias + np.bincount(of, weights=self.weights[f], minlength=len(hosts)) / np.sqrt(np.maximum(1, n))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def train(labelled: pd.DataFrame, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> UrlModel:
     """Fit by stochastic gradient descent in a fixed order, so that results repeat."""
     model = UrlModel(np.zeros(BUCKETS), 0.0)
-    rows = []
-    for url, label in zip(labelled["url"], labelled["label"], strict=True):
+    hosts, paths = [], []
+    for url in labelled["url"]:
         rest = url.partition("://")[2]
         cut = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
         host = rest[:cut].translate({c: c + 32 for c in range(65, 91)})
         path = rest[cut:]
         path = path[: min([i for i in (path.find(c) for c in "?#") if i >= 0], default=len(path))]
-        rows.append((features(host, path), float(label)))
+        hosts.append(host)
+        paths.append(path)
+    of, found = features(hosts, paths)
+    edges = np.searchsorted(of, np.arange(len(hosts) + 1))
+    rows = [(found[a:z], float(y)) for a, z, y in zip(edges[:-1], edges[1:], labelled["label"], strict=True)]
     order = np.random.default_rng(7)
     for epoch in range(epochs):
         step = rate / WANTED_WEIGHT / (1 + epoch / 5)
@@ -150,7 +169,7 @@ def judge_urls(pages: DataFrame, rules=RULES, labelled: pd.DataFrame | None = No
     @F.pandas_udf("double")
     def p_unwanted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for hosts, paths in parts:
-            yield pd.Series([model.unwanted(h, p) for h, p in zip(hosts, paths, strict=True)], dtype="float64")
+            yield pd.Series(model.unwanted(list(hosts), list(paths)), dtype="float64")
 
     split = pages.withColumns({"host": host, "path": path})
     ruled = split.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("p_unwanted", p_unwanted("host", "path"))

@@ -8,12 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from corvane.llm import fingerprints, minhash, packing, pieces, quality_classifier, quality_rules, substring, suffix_tree, suffixes, url_filter  # noqa: E402
+from corvane.llm import text as tx  # noqa: E402
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,14 +83,14 @@ def test_urls(spark):
 
 def test_url_model_generalises():
     model = url_filter.train(url_filter.labelled_urls())
-    bad = [model.unwanted(h, "/en/5") for h in ("m.casino-royal.example.com", "best-pills.example.net", "www.pornhost.example.com")]
-    good = [model.unwanted(h, "/en/5") for h in ("thernd.example.com", "garden-notes.example.net", "www.history.example.com")]
+    bad = model.unwanted(["m.casino-royal.example.com", "best-pills.example.net", "www.pornhost.example.com"], ["/en/5"] * 3)
+    good = model.unwanted(["thernd.example.com", "garden-notes.example.net", "www.history.example.com"], ["/en/5"] * 3)
     assert min(bad) > max(good)
 
 
 def test_url_model_reads_paths_and_unseen_hosts():
     model = url_filter.train(url_filter.labelled_urls())
-    share = lambda hosts, paths: np.mean([model.unwanted(h, p) >= url_filter.BLOCK_FROM for h in hosts for p in paths])
+    share = lambda hosts, paths: np.mean(model.unwanted([h for h in hosts for _ in paths], list(paths) * len(hosts)) >= url_filter.BLOCK_FROM)
     hosts = ["oakfield.info", "elmgrove.co.jp", "brightwater.se", "www.kestrel.museum.nz", "harbour-view.ca"]
     marked = ["/casino", "/poker/slots.html", "/cheap-pills/casino", "/2021/viagra-online/", "/tags/porn", "/deals/payday-loans/apply", "/video/xxx/12", "/en/betting-tips.aspx", "/shop/replica-watches"]
     unmarked = ["/museum/garden", "/about-us", "/2021/school-lunch/", "/tags/rivers", "/video/concert/12", "/en/gardening-tips.aspx", "/contact.html", "/docs/install", "/shop/wooden-chairs", ""]
@@ -98,6 +100,27 @@ def test_url_model_reads_paths_and_unseen_hosts():
     assert share(unwanted_hosts, unmarked) >= 0.75 and share(wanted_hosts, unmarked) <= 0.05
 
 
+def test_url_features_by_definition():
+    model = url_filter.UrlModel(np.random.default_rng(1).normal(size=url_filter.BUCKETS), 0.3)
+    hosts, paths = ["a.com", "", "x", "日本.jp", "a.com"], ["/b/c", "", "", "/é", "/b/c"]
+
+    def buckets(text, salt):
+        out = set()
+        for n in url_filter.ORDERS:
+            for k in range(len(text) + 2 - n + 1):
+                h = salt * 31 + n
+                for c in f"^{text}$"[k : k + n]:
+                    h = (h ^ ord(c)) * 0x100000001B3 % (1 << 64)
+                    h ^= h >> 29
+                out.add(h % url_filter.BUCKETS)
+        return out
+
+    for p, host, path in zip(model.unwanted(hosts, paths), hosts, paths):
+        own = buckets(host, 1) | buckets(path, 2) if host or path else set()
+        z = model.bias + (sum(model.weights[f] for f in own) / math.sqrt(len(own)) if own else 0)
+        assert p == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 # --- 2 ---
 
 def brute_units(text):
@@ -329,10 +352,31 @@ def test_quality_rules(spark, docs, rows, empty):
         failed = len(words) < 50 or 100 * brute_repeats(words) > 50 * len(words)
         assert r["base_failed"] == failed and (not failed or not r["kept"]) and 0 <= r["p_quality"] <= 1
     assert {r["doc_id"] for r in quality_rules.good_documents(docs, model).collect()} == {i for i, r in got.items() if r["kept"]}
+    p = {i: r["p_quality"] for i, r in got.items()}
+    for i, t in rows[11:20]:  # one by one, from counts of n-grams
+        raw = (t or "").encode()
+        z = model.bias
+        block = next(tx.blocks(pa.array([raw])))
+        codes, edges = quality_rules.block_words(block)
+        for offset, items, a, b in quality_rules.hashed(block, codes, edges):
+            own = collections.Counter(items[a[0] : b[0]].tolist())
+            z += sum(n * model.weights[offset + k] for k, n in own.items()) / max(1, sum(own.values()))
+        assert p[i] == pytest.approx(1 / (1 + math.exp(-(model.slope * z + model.intercept))))
+        assert got[i]["kept"] == (not got[i]["base_failed"] and p[i] >= quality_rules.KEEP_FROM)
     alone = quality_rules.train(empty, labels.limit(0))
     assert quality_rules.score_quality_rules(empty, alone).count() == 0
 
 
+def test_quality_rules_on_unseen_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    seen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    model = quality_rules.train(docs, labels.where(seen))
+    unseen = quality_rules.score_quality_rules(docs, model).join(labels.where(~seen), "doc_id").toPandas()
+    good = unseen["p_quality"] >= quality_rules.KEEP_FROM
+    assert len(unseen) > 500 and (good == (unseen["quality"] == 1)).mean() > 0.93
+
+
 # --- 6 ---
 
 def brute_components(rows, size, percent=80):
@@ -535,8 +579,8 @@ def test_next_with_skewed_repeated_and_missing_ids(spark):
 def test_near_duplicates_with_repeats_and_missing_ids(spark):
     text = "one two three four five six seven eight"
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
-    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
-    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
+    got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(-1, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
 
 
 def test_large_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
