@@ -12,7 +12,10 @@ characters that occur in no longer piece.  Encodings of short words are kept in
 two-generation cache of fixed size in each Python worker.
 
 Defined results: a null or empty text is the end id alone and decodes to the
-empty text; repeated rows are encoded alike; an empty table gives no rows.
+empty text; repeated rows are encoded alike, and rows without an id as others; an empty
+table gives no rows; other columns are not carried, whatever their names.  Of equal
+scores the leftmost pair merges first.  A task holds one whole text and its ids at a
+time, whatever the text's length.
 """
 
 from __future__ import annotations
@@ -43,6 +46,9 @@ class PieceModel:
 
         # the library reads the vocabulary; it does not encode or decode
         vocabulary = sentencepiece.SentencePieceProcessor(model_file=path)
+        odd = "Ａ ﬁ  é²\u00a0x\u3000y"  # changed by any other normalisation than none
+        if vocabulary.decode(vocabulary.encode(odd)) != odd or vocabulary.encode("a", out_type=str)[:1] not in (["▁a"], ["▁"]):
+            raise ValueError("only models without normalisation and with a space put before the text are known")
         n = vocabulary.get_piece_size()
         self.end_id = vocabulary.eos_id()
         names = [vocabulary.id_to_piece(i) for i in range(n)]

@@ -12,7 +12,11 @@ probabilities are calibrated by a temperature on rows kept out of the fit.
 
 Defined results: a null or empty text has a zero vector and gets the network's
 score for it; without labels of both classes every score is the one class there
-is (1.0 without any label).  Repeated rows are scored alike.
+is (1.0 without any label).  Repeated rows are scored alike, rows without an id as
+others (they are not held out), and a score equal to the threshold predicts 1.  An
+empty table gives no rows.  ``score_quality`` carries no other columns;
+``good_documents`` passes all through, whatever their names.  A task holds one whole
+text and some 100 bytes for each of its bytes at a time, whatever the text's length.
 """
 
 from __future__ import annotations
@@ -199,7 +203,7 @@ def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
 
 def held_out():
     """Rows whose labels may not be learnt."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,12 +35,12 @@ BLOCK_FROM = 0.55
 WANTED_WEIGHT = 3.0
 
 #: Words that mark hosts or paths of the labelled examples: 1 is unwanted, 0 is wanted.
-UNWANTED = "casino betting bets poker slots jackpot pills cheap-pills pharma viagra cheap-meds adult xxx porn escort spam link-farm farm-links ads adserver tracker track clickbait payday-loans replica warez".split()
-WANTED = "news library museum science weather garden history cooking school travel music river mountain theatre reading thinking writing stone hand-tools letters archive journal forum recipes maps atlas radio paper wood roads beads adventure essays".split()
+UNWANTED = "casino betting bets poker slots jackpot pills pharma viagra adult xxx porn escort spam ads adserver tracker track clickbait payday-loans replica warez".split()
+WANTED = "news library museum science weather garden history cooking school travel music river mountain theatre reading letters stone tools poetry archive journal forum recipes maps atlas radio paper wood roads beads adventure essays".split()
 
 SHAPES = ("{w}", "{w}", "{w}-{a}", "{a}-{w}", "{w}{a}", "{a}{w}", "best-{w}", "my{w}", "{w}s", "{w}{n}")
 HOSTS = ("{m}.{top}", "www.{m}.{top}", "m.{m}.{top}", "blog.{m}.{top}", "shop.{m}.{top}", "{m}.{a}.{top}", "www.{m}.{a}.{top}", "en.{a}.{m}.{top}")
-TOPS = ("com", "net", "org", "info", "co.uk", "de", "fr", "io", "biz", "eu", "example.com", "example.net", "example.org")
+TOPS = ("com", "net", "org", "info", "co.uk", "de", "fr", "io", "biz", "eu")
 PATHS = ("/{m}", "/{m}/", "/{m}/{n}", "/{n}/{m}.html", "/{a}/{m}", "/{a}/{m}/{n}", "/{m}/{a}.php", "/2019/{n}/{m}-{a}/", "/category/{m}/page/{n}", "/{b}/{a}/{m}")
 PLAIN = ("", "/", "/{n}", "/en/{n}", "/fr/{n}.html", "/{a}", "/{a}/{n}/", "/{a}/{b}.html", "/index.php", "/2019/{n}/{a}-{b}/", "/page/{n}", "/{a}{n}.htm")
 #: Urls of an unwanted and a wanted word for each place of its mark: host, path or both.

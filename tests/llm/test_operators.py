@@ -329,6 +329,67 @@ def test_tree_is_a_distribution(docs):
         assert p.sum() == pytest.approx(1) and (p > 0).all()
 
 
+def brute_tree(texts):
+    """The chance of a symbol after a context, by the tree's definition, from plain counts."""
+    depth, end = suffix_tree.DEPTH, suffix_tree.END
+    runs = [b" ".join(words_of((t or "").translate(LOWER))) + bytes([end]) for t in texts]
+    counts = [collections.Counter() for _ in range(depth + 2)]
+    for r in runs:
+        padded = bytes([end]) * depth + r
+        for at in range(depth, len(padded)):
+            for k in range(depth + 1):
+                counts[k + 1][padded[at - k : at + 1]] += 1
+    total = sum(counts[1].values())
+    least = max(1.0, suffix_tree.P_MIN * total)
+    sizes = [collections.Counter() for _ in range(depth + 1)]
+    for k in range(depth + 1):
+        for run, n in counts[k + 1].items():
+            sizes[k][run[:-1]] += n
+    after = lambda c: [(run[-1:], n) for run, n in following[c]]
+    following = collections.defaultdict(list)
+    for k in range(depth + 1):
+        for run, n in counts[k + 1].items():
+            following[run[:-1]].append((run, n))
+    keep = set()
+    for k in range(depth, 0, -1):
+        for c, size in sizes[k].items():
+            if size >= least:
+                gain = sum(n * math.log(n / size / (counts[k][c[1:] + s] / sizes[k - 1][c[1:]])) for s, n in after(c))
+                if gain >= suffix_tree.DIVERGENCE:
+                    keep |= {c[j:] for j in range(k)}
+
+    d = suffix_tree.DISCOUNT
+
+    def chance(context, symbol):
+        while context and context not in keep:
+            context = context[1:]
+        if not context:
+            return (counts[1][symbol] + d) / (total + 256 * d)
+        size, known = sizes[len(context)][context], dict(after(context))
+        backoff = 1 - sum(n - d for n in known.values()) / size
+        return (max(0, known.get(symbol, 0) - d)) / size + backoff * chance(context[1:], symbol)
+
+    def score(text):
+        run = bytes([end]) * depth + b" ".join(words_of((text or "").translate(LOWER))) + bytes([end])
+        return sum(math.log10(chance(run[at - depth : at], run[at : at + 1])) for at in range(depth, len(run)))
+
+    return score, keep
+
+
+def test_tree_scores_by_definition(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 5))) for _ in range(25)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for i in range(60)] + [(60, None), (None, "abc d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    score, keep = brute_tree([t for _, t in rows])
+    assert {len(c) for c in keep} >= {1, 2, 3}
+    got = suffix_tree.score_documents(df, df).collect()
+    want = {i: score(t) for i, t in rows}
+    assert len(got) == len(rows)
+    for g in got:
+        assert g["score"] == pytest.approx(want[g["doc_id"]])
+
+
 # --- 5 ---
 
 def brute_repeats(words):
@@ -402,6 +463,24 @@ def test_near_duplicates(docs, rows, empty, size):
     assert minhash.near_duplicates(empty, size).count() == 0
 
 
+def test_recall_against_all_rows(spark):
+    """Links of every document whose id is divisible by 100, against all documents of the table."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    name = {i: r["component_id"] for i, r in by_id(minhash.near_duplicates(docs, 2)).items()}
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = words_of((r["text"] or "").translate(LOWER))
+        sets[r["doc_id"]] = set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+    links = found = 0
+    for i in (i for i in sets if i % 100 == 0 and sets[i]):
+        for j, other in sets.items():
+            if i != j and other and 4 * len(sets[i]) <= 5 * len(other) and 4 * len(other) <= 5 * len(sets[i]):
+                both = len(sets[i] & other)
+                if 100 * both >= 80 * (len(sets[i]) + len(other) - both):
+                    links, found = links + 1, found + (name[i] == name[j])
+    assert links > 50 and found == links
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     a = r.integers(0, 2**63, 600).astype(np.uint64)
@@ -435,6 +514,46 @@ def test_quality_classifier(spark, docs, rows, empty, data):
     assert quality_classifier.score_quality(empty, model).count() == 0
 
 
+def test_quality_scores_by_definition(spark, docs, rows, data):
+    real, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = quality_classifier.train(real, labels)
+    got = by_id(quality_classifier.score_quality(docs, model))
+    for i, t in rows[:40]:
+        vectors = []
+        for w in words_of(t):
+            block = next(tx.blocks(pa.array([w])))
+            vectors.append(model.vectors[int(quality_classifier.word_rows(block)[0][0] % np.uint64(quality_classifier.WORD_ROWS))].astype(float))
+        width = quality_classifier.WIDTH
+        x = np.concatenate((np.mean(vectors, axis=0), np.std(vectors, axis=0))) if vectors else np.zeros(2 * width)
+        hidden = [math.tanh(sum((x[k] - model.mean[k]) / model.scale[k] * model.w1[k, j] for k in range(2 * width)) + model.b1[j]) for j in range(quality_classifier.HIDDEN)]
+        z = sum(h * w for h, w in zip(hidden, model.w2, strict=True)) + model.b2
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z / model.temperature)), abs=1e-5)
+
+
+def test_word_vectors_by_definition(spark):
+    texts = ["a b c d a", "c a", "", None, "b"]
+    got = quality_classifier.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    rows, width = quality_classifier.WORD_ROWS, quality_classifier.WIDTH
+    hashes = {w: int(quality_classifier.word_rows(next(tx.blocks(pa.array([w.encode()]))))[0][0]) for w in "abcd"}
+
+    def index_vector(h):
+        v = np.zeros(width)
+        for k in range(quality_classifier.NONZERO):
+            bits = h >> (20 + 12 * k)
+            v[bits % width] += 1 - 2 * (bits >> 8 & 1)
+        return v
+
+    table = np.zeros((rows, width))
+    for t in texts:
+        words = (t or "").split()
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality_classifier.REACH), min(len(words), i + quality_classifier.REACH + 1)):
+                if i != j:
+                    table[hashes[w] % rows] += index_vector(hashes[words[j]])
+    table -= table.sum(axis=0) * (np.abs(table).sum(axis=1, keepdims=True) / np.abs(table).sum())
+    assert np.allclose(got, table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9), atol=1e-5)
+
+
 # --- 8 ---
 
 def brute_strings(rows, n=50):
@@ -489,6 +608,23 @@ def test_pieces(docs, rows, empty):
     assert pieces.encode_documents(empty, PIECES).count() == 0
 
 
+def test_repeats_missing_ids_and_long_texts_are_judged_as_others(spark, data):
+    real, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    long = "Some words, and others. " * 40_000
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, long), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {
+        "p_quality": quality_rules.score_quality_rules(df, quality_rules.train(real, labels)), "score": quality_classifier.score_quality(df, quality_classifier.train(real, labels)),
+        "ids_sha256": pieces.encode_documents(df, PIECES), "fingerprint": fingerprints.fingerprint_documents(df),
+    }
+    for column, out in made.items():
+        got = collections.defaultdict(list)
+        for r in out.collect():
+            got[r["doc_id"]].append(r[column])
+        assert {i: len(x) for i, x in got.items()} == {1: 2, None: 2, 2: 1}, column
+        assert got[1][0] == got[1][1] and got[1][0] in got[None], column
+
+
 def test_pieces_on_odd_texts():
     import sentencepiece
 
