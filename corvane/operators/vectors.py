@@ -160,6 +160,7 @@ def label_axes(ranked: DataFrame) -> DataFrame:
     """Rank r becomes AXIS_{r+1} with its symbol and a cleaned tag."""
     return ranked.select(
         F.concat(F.lit("AXIS_"), (F.col("rank") + 1).cast("string")).alias("axis_id"), (F.col("rank") + SYMBOL_BASE).cast("long").alias("symbol_code"),
+        F.decode(F.unhex(F.hex(F.col("rank") + SYMBOL_BASE)), "UTF-16BE").alias("symbol"),
         F.upper(F.replace(F.replace(F.col("name"), F.lit(" "), F.lit("_")), F.lit("'"), F.lit(""))).alias("tag"),
     )
 

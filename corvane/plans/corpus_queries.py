@@ -86,11 +86,13 @@ def _(spark, d):
     return C.split_manifest(I.corpus(spark, d))
 
 
-@query("s6_read_axes", VECTORS_SQL + "SELECT axis_id, len(av)::INT AS width FROM axes")
+@query("s6_read_axes", VECTORS_SQL + "SELECT axis_id, len(av)::INT AS width, chr(9649 + replace(axis_id, 'AXIS_', '')::INT) AS symbol, 'PRIME_' || replace(axis_id, 'AXIS_', '') AS tag FROM axes")
 def _(spark, d):
     place = f"{T.folder(spark)}/axes-{uuid.uuid4()}"
-    sources.write_axes(I.axes(spark, d), place)
-    return sources.read_axes(spark, place, "EPOCH_V1").select("axis_id", F.size("vector").alias("width"))
+    axes = I.axes(spark, d)
+    named = axes.select((F.regexp_extract("axis_id", r"(\d+)$", 1).cast("int") - 1).alias("rank")).withColumn("name", F.concat(F.lit("prime "), (F.col("rank") + 1).cast("string")))
+    sources.write_axes(axes.join(O.label_axes(named), "axis_id"), place)
+    return sources.read_axes(spark, place, "EPOCH_V1").select("axis_id", F.size("vector").alias("width"), "symbol", "tag")
 
 
 @query("s7_write_report", SHARES_SQL + "SELECT category, count(*) AS n, round(avg(variance), 9) AS mean, round(count(*) FILTER (variance >= 0.05) / count(*), 9) AS above FROM sparse GROUP BY 1")

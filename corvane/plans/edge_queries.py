@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import edges as E
+from ..streaming import jobs as T
 from . import inputs as I
 from .inputs import VECTORS_SQL as W
 from .registry import query
@@ -144,6 +145,25 @@ def _(spark, d):
     return simplex.volumes(edges).select(F.col("simplex_id").alias("vec_id"), F.round("volume", 6).alias("volume"))
 
 
+@query("p1_triangle_areas", PAIRS + """, near AS MATERIALIZED (SELECT source, target FROM pairs WHERE dist <= 1.15),
+ tri AS (SELECT a.source AS x, a.target AS y, b.target AS z FROM near a JOIN near b ON a.target = b.source JOIN near c ON c.source = a.source AND c.target = b.target),
+ sides AS (SELECT x, y, z, list_transform(list_zip(q.u, p.u), lambda s: s[1] - s[2]) AS e, list_transform(list_zip(r.u, p.u), lambda s: s[1] - s[2]) AS f FROM tri JOIN pts p ON p.id = x JOIN pts q ON q.id = y JOIN pts r ON r.id = z)
+ SELECT x, y, z, round(sqrt(list_inner_product(e, e) * list_inner_product(f, f) - list_inner_product(e, f) * list_inner_product(e, f)) / 2, 6) AS area FROM sides""")
+def _(spark, d):
+    from ..operators import simplex
+
+    # each pair of a node's higher neighbours that are linked themselves
+    T.folder(spark)
+    near = graph(spark, d, 1.15).select("source", "target").checkpoint()
+    two = near.select(F.col("source").alias("x"), F.col("target").alias("y")).join(near.select(F.col("source").alias("y"), F.col("target").alias("z")), "y")
+    closed = two.join(near.select(F.col("source").alias("x"), F.col("target").alias("z")), ["x", "z"])
+    for c in "xyz":
+        closed = closed.join(I.points(spark, d).select(F.col("id").alias(c), F.col("vector").alias(f"v{c}")), c)
+    areas = simplex.volumes(closed.select(F.concat_ws("|", "x", "y", "z").alias("simplex_id"), F.array("vx", "vy", "vz").alias("vertices")))
+    ids = F.split("simplex_id", r"\|")
+    return areas.select(*[ids[i].alias(c) for i, c in enumerate("xyz")], F.round("volume", 6).alias("area"))
+
+
 @query("p2_barycentric", W + "SELECT vec_id, round(list_inner_product(list_transform(list_zip(x, w), lambda z: z[1] - z[2]), list_transform(list_zip(u, w), lambda z: z[1] - z[2])) / list_inner_product(list_transform(list_zip(u, w), lambda z: z[1] - z[2]), list_transform(list_zip(u, w), lambda z: z[1] - z[2])), 6) AS lambda FROM (SELECT prev.vec_id, prev.u, w, a.av AS x FROM prev, axes a WHERE w IS NOT NULL AND a.axis_id = 'AXIS_1')")
 def _(spark, d):
     from ..operators import simplex

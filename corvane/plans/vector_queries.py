@@ -175,9 +175,9 @@ def _(spark, d):
     return spark.createDataFrame(list(enumerate(chosen)), "rank int, vec_id long")
 
 
-@query("b2_label_axes", "SELECT 'AXIS_' || (s_suppkey + 1) AS axis_id, (9650 + s_suppkey)::BIGINT AS symbol_code, upper(replace(replace(s_name, ' ', '_'), '''', '')) AS tag FROM supplier")
+@query("b2_label_axes", "SELECT 'AXIS_' || (s_suppkey + 1) AS axis_id, (9650 + s_suppkey)::BIGINT AS symbol_code, chr((9650 + s_suppkey)::INT) AS symbol, upper(replace(replace(s_name, ' ', '_'), '''', '')) AS tag FROM supplier")
 def _(spark, d):
-    return O.label_axes(I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("rank"), F.col("s_name").alias("name")))
+    return O.label_axes(I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("rank"), F.col("s_name").alias("name"))).select("axis_id", "symbol_code", "symbol", "tag")
 
 
 @query("b3_anchor_axes", W + "SELECT 'AXIS_' || (vec_id + 1) AS axis_id FROM unit WHERE vec_id >= 8")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double
 
-AXES = "axis_id string, vector array<double>, epoch string"
+AXES = "axis_id string, symbol string, tag string, vector array<double>, epoch string"
 
 
 def read_vectors(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -25,7 +25,9 @@ def read_texts(spark: SparkSession, path: str, categories: dict[str, str], other
 
 
 def write_axes(axes: DataFrame, path: str) -> None:
-    axes.select("axis_id", "vector", "epoch").write.json(path)
+    """JSON rows of id, symbol, tag, vector and epoch; columns that are missing are null."""
+    given = [F.col(c) if c in axes.columns else F.lit(None).cast("string").alias(c) for c in ("axis_id", "symbol", "tag", "vector", "epoch")]
+    axes.select(*given).write.json(path)
 
 
 def read_axes(spark: SparkSession, path: str, epoch: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,11 @@ from ..plans import inputs as I
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a temporary one where none is named."""
+    """The folder that the session names for checkpoints; a temporary one where none is named and all runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
