@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -47,6 +47,13 @@ def queue_status(queue: DataFrame, log: DataFrame) -> DataFrame:
     return queue.withColumn("node", node).join(known.withColumn("there", F.lit(True)), "node", "left").select("ingestion_id", F.when(F.col("there"), "PROCESSED").otherwise("PENDING").alias("status"))
 
 
+def log_growth(log: DataFrame, before: Column) -> DataFrame:
+    """Bytes of ids, payloads and vectors (8 for each element) before and after, the growth, and the mean of an insert."""
+    size = (F.octet_length("id") + F.octet_length("payload") + 8 * F.size("vector")).cast("long")
+    sums = log.agg(F.sum(F.when(before, size).otherwise(0)).alias("before"), F.sum(size).alias("after"), F.avg(F.when(~before, size)).alias("mean_insert"))
+    return sums.select("before", "after", (F.col("after") - F.col("before")).alias("growth"), "mean_insert")
+
+
 # --- trajectories --------------------------------------------------------
 
 def by_seq():

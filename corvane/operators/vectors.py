@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .edges import density
 from .revisions import assign_seq, kinetics, latest
 
 #: Fixed values of the format.
@@ -251,3 +252,19 @@ def gate_law_violations(spectra: DataFrame, threshold: DataFrame, scales=(0.1, 0
     )
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     return judged.agg(F.count("*").alias("cases"), count(F.col("without") == "consolidated").alias("no_key"), count(~F.col("above") & (F.col("with_key") == "consolidated")).alias("below"), count(F.col("above") & (F.col("with_key") != "consolidated")).alias("above"))
+
+
+def sigma_by_provider(variances: DataFrame) -> DataFrame:
+    """Mean and variance of the spectral variance for each provider and label."""
+    return variances.groupBy("provider", "label").agg(F.avg("variance").alias("mean"), F.var_pop("variance").alias("var"))
+
+
+def coupling_report(gated: DataFrame, edges: DataFrame) -> DataFrame:
+    """Share that passes and mean variance for each provider, over all (category ``all``) and for each label; its edges and their density; and the spread of the shares over all."""
+    grouped = gated.groupingSets([["provider"], ["provider", "label"]], "provider", "label").agg(F.avg(F.col("passed").cast("int")).alias("kappa"), F.avg("variance").alias("sigma"), F.count("*").alias("n"), F.grouping("label").alias("whole"))
+    named = grouped.withColumn("category", F.when(F.col("whole") == 1, "all").otherwise(F.col("label").cast("string")))
+    # a row for each provider
+    whole = named.where("whole = 1").select("provider", "n", "kappa").join(edges.groupBy("provider").agg(F.count("*").alias("edges")), "provider", "left")
+    spread = whole.agg((F.max("kappa") - F.min("kappa")).alias("coupling"))
+    per = whole.select("provider", F.coalesce("edges", F.lit(0)).alias("edges"), density(F.coalesce("edges", F.lit(0)), F.col("n")).alias("density"))
+    return named.join(F.broadcast(per), "provider").crossJoin(F.broadcast(spread)).select("provider", "category", "kappa", "sigma", "edges", "density", "coupling")

@@ -249,10 +249,13 @@ def _(spark, d):
     return spark.createDataFrame([(k, float(-2 * like + (3 * k - 1) * math.log(n))) for k, like in ((1, one), (2, two))], "components int, bic double")
 
 
-@query("m4_measurement_rows", SHARES_SQL + "SELECT doc_id, category, substr(text, 1, 80) AS text, round(variance, 9) AS variance, variance >= 0.05 AS above FROM sparse JOIN documents USING (doc_id)")
+@query("m4_measurement_rows", SHARES_SQL + "SELECT s.doc_id, category, substr(text, 1, 80) AS text, round(variance, 9) AS variance, CASE WHEN variance >= 0.05 AND s.doc_id % 3 <> 0 THEN 'consolidated' ELSE 'incubating' END AS state, round(value, 6) AS latency, variance >= 0.05 AS above FROM sparse s JOIN documents USING (doc_id) LEFT JOIN events ON event_id = s.doc_id")
 def _(spark, d):
-    joined = sparse(spark, d).join(I.corpus(spark, d).select("doc_id", "text"), "doc_id")
-    return joined.select("doc_id", "category", F.substring("text", 1, 80).alias("text"), F.round("variance", 9).alias("variance"), (F.col("variance") >= 0.05).alias("above"))
+    limit = spark.range(1).select(F.lit(0.05).alias("threshold"))
+    gated = O.evaluate_gate(sparse(spark, d), limit, F.col("doc_id") % 3 != 0)
+    times = I.table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("value").alias("latency"))
+    joined = gated.join(I.corpus(spark, d).select("doc_id", "text"), "doc_id").join(times, "doc_id", "left")
+    return joined.select("doc_id", "category", F.substring("text", 1, 80).alias("text"), F.round("variance", 9).alias("variance"), "state", F.round("latency", 6).alias("latency"), F.col("passed").alias("above"))
 
 
 # --- encoders ---

@@ -9,6 +9,7 @@ from ..operators import screening as S
 from ..operators import vectors as O
 from . import inputs as I
 from .inputs import LOG_SQL as W
+from .inputs import VECTORS_SQL
 from .registry import query
 
 
@@ -110,10 +111,10 @@ def _(spark, d):
     return a.select("event_type", F.round("mean", 6).alias("mean"), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], F.round("high", 6).alias("high"))
 
 
-@query("m5_log_growth", W + "SELECT sum(CASE WHEN event_id % 2 = 0 THEN octet_length(payload::BLOB) ELSE 0 END)::BIGINT AS before, sum(octet_length(payload::BLOB))::BIGINT AS after, round(avg(octet_length(payload::BLOB)), 6) AS mean_insert FROM queue JOIN events ON event_id = ingestion_id")
+@query("m5_log_growth", VECTORS_SQL + ", sized AS (SELECT seq, strlen(id) + strlen('vector ' || vec_id) + 8 * len(u) AS size FROM vlog) SELECT sum(CASE WHEN seq % 2 = 1 THEN size ELSE 0 END)::BIGINT AS before, sum(size)::BIGINT AS after, (sum(size) - sum(CASE WHEN seq % 2 = 1 THEN size ELSE 0 END))::BIGINT AS growth, round(avg(size) FILTER (seq % 2 = 0), 6) AS mean_insert FROM sized")
 def _(spark, d):
-    size = F.octet_length("payload").cast("long")
-    return I.queue(spark, d).agg(F.sum(F.when(F.col("ingestion_id") % 2 == 0, size).otherwise(0)).alias("before"), F.sum(size).alias("after"), F.round(F.avg(size), 6).alias("mean_insert"))
+    log = I.vec_log(spark, d).withColumn("payload", F.concat(F.lit("vector "), F.col("vec_id").cast("string")))
+    return R.log_growth(log, F.col("seq") % 2 == 1).withColumn("mean_insert", F.round("mean_insert", 6))
 
 
 @query("m7_governance_checks", W + """, runs AS (SELECT 'contiguous_seq' AS rule, count(*) = 0 AS passed FROM (SELECT id FROM nlog GROUP BY 1 HAVING min(seq) <> 1 OR max(seq) <> count(*) OR count(DISTINCT seq) <> count(*))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import edges as E
 from ..operators import revisions as R
 from ..operators import vectors as O
 from . import inputs as I
@@ -380,13 +381,37 @@ def _(spark, d):
     return gated(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("variance"), 9).alias("mean"), F.round(F.stddev_pop("variance"), 9).alias("std"), F.sum(F.col("passed").cast("long")).alias("above"), F.sum((~F.col("passed")).cast("long")).alias("below"))
 
 
-@query("m8_sigma_by_provider", W + "SELECT vec_id % 3 AS provider, label, round(avg(variance), 9) AS mean, round(var_pop(variance), 12) AS var FROM gated GROUP BY ALL")
+RUNS = W + """, given AS (SELECT 'full' AS provider, vec_id, label, v FROM vecs UNION ALL SELECT 'half', vec_id, label, list_concat(v[1:32], list_transform(range(32), lambda x: 0.0::DOUBLE)) FROM vecs
+ UNION ALL SELECT 'coarse', vec_id, label, list_transform(v, lambda x: floor(x * 8) / 8) FROM vecs),
+ run AS (SELECT provider, vec_id, label, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM given),
+ rvar AS (SELECT provider, vec_id, label, var_pop(list_inner_product(u, av)) AS variance FROM run, axes GROUP BY ALL),
+ rgate AS (SELECT *, variance >= threshold AS passed FROM rvar, theta)
+"""
+
+
+def runs(spark, d):
+    """The vectors as three providers give them: whole, the first half padded, and in steps of an eighth."""
+    v = F.col("vector")
+    made = F.array(*[F.struct(F.lit(name).alias("provider"), x.alias("vector")) for name, x in (("full", v), ("half", V.padded(F.slice(v, 1, 32), 64)), ("coarse", F.transform(v, lambda x: F.floor(x * 8) / 8)))])
+    return I.raw_vectors(spark, d).select("vec_id", "label", F.explode(made).alias("m")).select("m.provider", "vec_id", "label", V.unit(F.col("m.vector")).alias("vector"))
+
+
+@query("m8_sigma_by_provider", RUNS + "SELECT provider, label, round(avg(variance), 9) AS mean, round(var_pop(variance), 12) AS var FROM rvar GROUP BY ALL")
 def _(spark, d):
-    return gated(spark, d).groupBy((F.col("vec_id") % 3).alias("provider"), "label").agg(F.round(F.avg("variance"), 9).alias("mean"), F.round(F.var_pop("variance"), 12).alias("var"))
+    return O.sigma_by_provider(O.vector_variances(runs(spark, d), I.axes(spark, d), ["provider", "vec_id", "label"])).select("provider", "label", F.round("mean", 9).alias("mean"), F.round("var", 12).alias("var"))
 
 
-@query("m6_coupling_report", W + ", k AS (SELECT vec_id % 3 AS provider, count(*) FILTER (passed) / count(*) AS kappa, avg(variance) AS s FROM gated GROUP BY 1) SELECT provider, round(kappa, 6) AS kappa, round(s, 6) AS sigma, round((SELECT max(kappa) - min(kappa) FROM k), 6) AS coupling FROM k")
+@query("m6_coupling_report", RUNS + """, k AS (SELECT provider, coalesce(label::VARCHAR, 'all') AS category, avg(passed::INT) AS kappa, avg(variance) AS sigma, count(*) AS n FROM rgate GROUP BY GROUPING SETS ((provider), (provider, label))),
+ e AS (SELECT a.provider, count(*) AS edges FROM run a JOIN run b ON a.provider = b.provider AND a.vec_id < b.vec_id WHERE sqrt(list_sum(list_transform(list_zip(a.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) <= 1.2 GROUP BY 1)
+ SELECT provider, category, round(kappa, 6) AS kappa, round(sigma, 6) AS sigma, coalesce(edges, 0) AS edges, round(coalesce(edges, 0) / ((SELECT count(*) FROM vecs) * ((SELECT count(*) FROM vecs) - 1) / 2), 4) AS density,
+ round((SELECT max(kappa) - min(kappa) FROM k WHERE category = 'all'), 6) AS coupling FROM k LEFT JOIN e USING (provider)""")
 def _(spark, d):
-    k = gated(spark, d).groupBy((F.col("vec_id") % 3).alias("provider")).agg(F.avg(F.col("passed").cast("int")).alias("kappa"), F.avg("variance").alias("s"))
-    spread = k.agg((F.max("kappa") - F.min("kappa")).alias("coupling"))
-    return k.crossJoin(F.broadcast(spread)).select("provider", F.round("kappa", 6).alias("kappa"), F.round("s", 6).alias("sigma"), F.round("coupling", 6).alias("coupling"))
+    vecs = runs(spark, d)
+    gated = O.evaluate_gate(O.vector_variances(vecs, I.axes(spark, d), ["provider", "vec_id", "label"]), O.calibrate_threshold(I.axes(spark, d)), F.lit(True))
+    edges = None
+    for name in ("full", "half", "coarse"):
+        own = vecs.where(F.col("provider") == name).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), "vector")
+        one = E.epsilon_edges(own, 1.2).select(F.lit(name).alias("provider"))
+        edges = one if edges is None else edges.unionByName(one)
+    found = O.coupling_report(gated, edges)
+    return found.select("provider", "category", F.round("kappa", 6).alias("kappa"), F.round("sigma", 6).alias("sigma"), "edges", F.round("density", 4).alias("density"), F.round("coupling", 6).alias("coupling"))
