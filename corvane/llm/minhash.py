@@ -43,6 +43,8 @@ BANDS = 64
 ROWS = 8
 SLOTS = BANDS * ROWS
 SIMILAR_PERCENT = 80
+#: Members of a hub that a task compares with it.
+MEMBERS = 1000
 #: Shingles whose permutations are drawn together.
 TOGETHER = 1 << 13
 #: Documents of a block, and different shingles of a stripe, in comparisons by matrix products.
@@ -143,28 +145,34 @@ def signed_sets(documents: DataFrame, size: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+    """The pairs (a, b) whose full shingle sets are similar enough.
+
+    A hub's members are dealt to parts of about ``MEMBERS``, and every text is a row of
+    its own: each part streams its hub's text once and then its members'.
+    """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, None
+        hub_set = np.zeros(0, dtype=np.uint64)
         for one in batches:
-            good = []
-            for block in tx.blocks(one["text_b"], lower=True):
+            is_hub, good = one["b"].is_null().to_numpy(zero_copy_only=False), []
+            for block in tx.blocks(one["text"], lower=True):
                 for i, own in zip(block.index, shingle_sets(block, size), strict=True):
-                    if one["a"][i].as_py() != hub:
-                        hub = one["a"][i].as_py()
-                        hub_set = next(shingle_sets(next(tx.blocks(one["text_a"].slice(int(i), 1), lower=True)), size))
+                    if is_hub[i]:
+                        hub_set = own
+                        continue
                     both = len(np.intersect1d(hub_set, own, assume_unique=True))
                     if 100 * both >= percent * (len(hub_set) + len(own) - both) and both:
                         good.append(int(i))
             yield tx.batch({"a": one["a"].take(pa.array(good, pa.int64())), "b": one["b"].take(pa.array(good, pa.int64()))}, PAIRS)
 
-    # the member's text travels to its hub: the hub's text is not sent with every pair
     ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = with_ids(documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")), ids, "id")
-    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_both.select("a", "text_a", "b", "text_b").mapInArrow(confirm, tx.spark_schema(PAIRS))
+    parts = keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")))
+    placed = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    members = placed.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
+    hubs = parts.join(texts.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    dealt = hubs.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.select("a", "b", "text").mapInArrow(confirm, tx.spark_schema(PAIRS))
 
 
 def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:

@@ -608,6 +608,14 @@ def test_pieces(docs, rows, empty):
     assert pieces.encode_documents(empty, PIECES).count() == 0
 
 
+def test_shuffled_ids_filter_alike(spark, docs, monkeypatch):
+    from corvane.llm import tables
+
+    few = {i: r["component_id"] for i, r in by_id(minhash.near_duplicates(docs, 2)).items()}
+    monkeypatch.setattr(tables, "BROADCAST_IDS", 0)
+    assert {i: r["component_id"] for i, r in by_id(minhash.near_duplicates(docs, 2)).items()} == few
+
+
 def test_repeats_missing_ids_and_long_texts_are_judged_as_others(spark, data):
     real, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     long = "Some words, and others. " * 40_000
@@ -721,6 +729,7 @@ def test_near_duplicates_with_repeats_and_missing_ids(spark):
 
 def test_large_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 5)
+    monkeypatch.setattr(minhash, "MEMBERS", 3)
     r, base = random.Random(9), [f"w{k}" for k in range(80)]
     rows = []
     for i in range(40):
