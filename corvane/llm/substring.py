@@ -33,7 +33,7 @@ from . import text as tx
 from .tables import keep_table, read, small_batches
 
 #: Repeated stretches of fewer words stay.
-MIN_WORDS = 20
+MIN_WORDS = 15
 #: Sentences of fewer words are no units of their own.
 SHORT = 5
 
