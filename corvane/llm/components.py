@@ -22,7 +22,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = keep(down.groupBy("u").agg(F.min("v").alias("low")))
+    least = down.groupBy("u").agg(F.min("v").alias("low"))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(least.withColumnRenamed("low", "v")).where("u <> v").distinct()
 
@@ -32,8 +32,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     The number of passes grows with the logarithm of the longest chain; each pass
     is written to the shared checkpoint folder, so a lost executor costs one pass.
-    The least neighbours are written too: both sides of a pass's joins are then
-    shuffled for the join alone, and a node with very many links can be split.
+    The least neighbours of the large star are written too: both sides of its join are
+    then shuffled for the join alone, and a node with very many links can be split.
     """
     now = keep(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     state = _state(now)

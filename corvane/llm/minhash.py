@@ -249,7 +249,9 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = SIMILAR_
     if not apart.isEmpty():
         more = keep(links_across(apart, known, size, percent))
         if not more.isEmpty():
-            group = components(links.unionByName(more), "a", "b")
+            # the components so far stand for their links
+            stars = group.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            group = components(stars.unionByName(more), "a", "b")
 
     named = classes.join(group, classes["rep"] == group["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     placed = sets.join(named, ["set_a", "set_b"], "left")
