@@ -173,16 +173,17 @@ def train(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PE
     y = got["label"].to_numpy(dtype=np.float64)
     if len(got) == 0 or y.min() == y.max():
         return RulesModel(np.zeros(N_FEATURES), 0.0, 0.0, -40.0 if len(got) and y[0] == 0 else 40.0)
+    aside = np.random.default_rng(11).permutation(len(y)) % 4 == 0
+    if any(len(np.unique(y[part])) < 2 for part in (aside, ~aside)):
+        fit = held = slice(None)
+    else:  # rows kept out of the fit last, so that both parts are views
+        order, n = np.argsort(aside, kind="stable"), int((~aside).sum())
+        got, y, fit, held = got.iloc[order], y[order], slice(0, n), slice(n, None)
     x = np.zeros((len(got), N_FEATURES), dtype=np.float32)
     for row, buckets, shares in zip(x, got["buckets"], got["shares"], strict=True):
         row[np.frombuffer(buckets, dtype=np.uint16)] = np.frombuffer(shares, dtype=np.float32)
-    aside = np.random.default_rng(11).permutation(len(y)) % 4 == 0
-    if any(len(np.unique(y[part])) < 2 for part in (aside, ~aside)):
-        aside = np.ones(len(y), dtype=bool)
-        w, b = fit_logistic(x, y)
-    else:
-        w, b = fit_logistic(x[~aside], y[~aside])
-    slope, intercept = fit_platt(x[aside] @ w + b, y[aside], got["weight"].to_numpy()[aside])
+    w, b = fit_logistic(x[fit], y[fit])
+    slope, intercept = fit_platt(x[held] @ w + b, y[held], got["weight"].to_numpy()[held])
     return RulesModel(w, b, slope, intercept)
 
 
