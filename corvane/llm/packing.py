@@ -90,18 +90,19 @@ class Encoder:
     Where merging by rank is the same (see ``merge_ranks``), ``tiktoken`` does it, in
     a third of the time; texts with a special token's string or with very long white
     space, on which its pattern runs out of stack, and all texts of other files go
-    through ``tokenizers``.
+    through ``tokenizers``.  ``plain``: strings of special tokens in a text are text.
     """
 
     BLANK = re.compile(r"\s{10000}")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = sorted(t["content"] for t in spec.get("added_tokens", ()))
+        self.special = [] if plain else sorted(t["content"] for t in spec.get("added_tokens", ()))
         self.whole, self.by_rank = Tokenizer.from_file(path), None
+        self.whole.encode_special_tokens = plain
         ranks = merge_ranks(spec)
         if ranks is not None:
             import tiktoken
@@ -115,14 +116,14 @@ class Encoder:
         return ids.tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One encoder for each Python worker, file and kind."""
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
 @dataclass
