@@ -10,111 +10,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import pairs as P
 from .revisions import assign_seq, latest
 
-#: Vectors of a block; a task holds two blocks.
-BLOCK_ROWS = 1000
 
+def near_edges(vecs: DataFrame, radii: list[float], blocks: int | None = None, by: str | None = None, pivots: int = P.PIVOTS, rows: int = P.BLOCK_ROWS) -> DataFrame:
+    """key, source < target, length (unrounded) and radius of all pairs within the largest radius, in one pass over the pairs.
 
-def block_pairs(vecs: DataFrame, blocks: int) -> DataFrame:
-    """Rows dealt to all pairs of blocks that hold theirs: ``blocks`` copies of each row.
-
-    A task sees the rows of one pair only, and finds each pair of vectors once.
+    ``radius`` is the smallest that holds the pair, so the edges of each are a filter.
+    Pairs are formed within each value of the column ``by`` (a few values), given as ``key``.
+    Vectors are dealt to blocks by their nearest pivot and the ring around it; blocks
+    whose distances from some pivot differ by more than the radius don't meet, and a
+    vector goes only to blocks where it may have a neighbour.  With ``blocks``, all
+    pairs of that many blocks meet instead.  Vectors are not null and of one width; an
+    empty table gives no edges.
     """
-    own = vecs.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    return own.select("id", "vector", "block", other).select("id", "vector", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-
-def blocks_for(vecs: DataFrame) -> int:
-    return max(1, -(-vecs.count() // BLOCK_ROWS))
-
-
-def _products(one: pd.DataFrame, i: int, j: int):
-    a, b = one[one["block"] == i], one[one["block"] == j]
-    x, y = (np.stack(p["vector"].to_numpy()) if len(p) else np.zeros((0, 1)) for p in (a, b))
-    return a["id"].to_numpy(), b["id"].to_numpy(), x, y
-
-
-def pair_distances(ids_a, ids_b, x, y, same: bool, limit: float):
-    """Pairs within the limit, each distance computed from differences of the candidates alone."""
-    if not len(x) or not len(y):
-        return [], [], []
-    square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-    p, q = np.nonzero(square <= limit * limit + 1e-6)
-    if same:
-        p, q = p[p < q], q[p < q]
-    exact = np.sqrt(((x[p] - y[q]) ** 2).sum(1))
-    good = exact <= limit
-    return ids_a[p[good]], ids_b[q[good]], exact[good]
+    radii = sorted(radii)
+    keyed = vecs.select(F.lit("").alias("key") if by is None else F.col(by).cast("string").alias("key"), "id", "vector")
+    names = np.array([""] * (blocks or 1), dtype=object)
+    if blocks is not None:
+        if by is not None:
+            raise ValueError("a fixed number of blocks is for vectors of one kind")
+        dealt = P.block_pairs(keyed, blocks)
+    elif len(chosen := P.draw_pivots(keyed, pivots)):
+        plan = P.plan_blocks(keyed, radii[-1], chosen, rows)
+        names = np.repeat(np.array(plan.keys, dtype=object)[plan.of_key], plan.parts)
+        dealt = P.pruned_pairs(keyed, radii[-1], plan)
+    else:
+        dealt = P.block_pairs(keyed, 1)
 
+    def near(key: tuple, one: pd.DataFrame) -> pd.DataFrame:
+        ids_a, ids_b, x, y = P.two_blocks(one, *key)
+        if not len(x) or not len(y):
+            return pd.DataFrame({"key": [], "source": [], "target": [], "length": [], "radius": []}, dtype=object)
+        p, q, length = P.near_pairs(x, y, key[0] == key[1], radii[-1])
+        a, b = ids_a[p], ids_b[q]
+        return pd.DataFrame({"key": names[key[0]], "source": np.where(a < b, a, b), "target": np.where(a < b, b, a), "length": length, "radius": np.array(radii)[np.searchsorted(radii, length)]})
 
-def epsilon_edges(vecs: DataFrame, eps: float, blocks: int | None = None) -> DataFrame:
-    """All pairs source < target with distance of at most eps (unrounded), the distance rounded to 6."""
+    return dealt.groupBy("i", "j").applyInPandas(near, "key string, source string, target string, length double, radius double")
 
-    def near(key: tuple, one: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        a, b, distance = pair_distances(*_products(one, i, j), i == j, eps)
-        low = pd.Series([min(s, t) for s, t in zip(a, b, strict=True)], dtype=object)
-        high = pd.Series([max(s, t) for s, t in zip(a, b, strict=True)], dtype=object)
-        return pd.DataFrame({"source": low, "target": high, "distance": pd.Series(distance, dtype="float64")})
 
-    found = block_pairs(vecs, blocks or blocks_for(vecs)).groupBy("i", "j").applyInPandas(near, "source string, target string, distance double")
-    return found.withColumn("distance", F.round("distance", 6))
+def epsilon_edges(vecs: DataFrame, eps: float, blocks: int | None = None, **options) -> DataFrame:
+    """All pairs source < target with distance of at most eps (unrounded), the distance rounded to 6; options as for ``near_edges``."""
+    return near_edges(vecs, [eps], blocks, **options).select("source", "target", F.round("length", 6).alias("distance"))
 
 
 def cosine_stats(vecs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Extremes, mean and deviation of the cosines of all pairs, exact zeros left out."""
 
     def part(key: tuple, one: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        _, _, x, y = _products(one, i, j)
-        if not len(x) or not len(y):
-            return pd.DataFrame({"n": [0], "s": [0.0], "q": [0.0], "low": [np.inf], "high": [-np.inf], "nearest": [np.inf]})
-        c = x @ y.T
-        c = c[np.triu_indices(len(x), 1)] if i == j else c.ravel()
-        c = c[c != 0]
-        return pd.DataFrame({"n": [len(c)], "s": [c.sum()], "q": [(c * c).sum()], "low": [c.min(initial=np.inf)], "high": [c.max(initial=-np.inf)], "nearest": [np.abs(c).min(initial=np.inf)]})
-
-    parts = block_pairs(vecs, blocks or blocks_for(vecs)).groupBy("i", "j").applyInPandas(part, "n long, s double, q double, low double, high double, nearest double")
+        _, _, x, y = P.two_blocks(one, *key)
+        n, s, q, low, high, nearest = 0, 0.0, 0.0, np.inf, -np.inf, np.inf
+        for k in range(0, len(x), P.TILE) if len(y) else ():
+            c = x[k : k + P.TILE] @ y.T
+            c = c[np.arange(len(y))[None, :] > np.arange(k, min(k + P.TILE, len(x)))[:, None]] if key[0] == key[1] else c.ravel()
+            c = c[c != 0]
+            n, s, q = n + len(c), s + c.sum(), q + (c * c).sum()
+            low, high, nearest = min(low, c.min(initial=np.inf)), max(high, c.max(initial=-np.inf)), min(nearest, np.abs(c).min(initial=np.inf))
+        return pd.DataFrame({"n": [n], "s": [s], "q": [q], "low": [low], "high": [high], "nearest": [nearest]})
+
+    dealt = P.block_pairs(vecs, blocks or P.blocks_for(vecs.count()))
+    parts = dealt.groupBy("i", "j").applyInPandas(part, "n long, s double, q double, low double, high double, nearest double")
     mean = F.sum("s") / F.sum("n")
     return parts.agg(F.min("low").alias("low"), F.max("high").alias("high"), mean.alias("mean"), F.sqrt(F.sum("q") / F.sum("n") - mean * mean).alias("std"), (F.max("high") / F.min("nearest")).alias("concentration"))
 
 
-def calibrate_epsilon(vecs: DataFrame, density: float = 0.05, bins: int = 4096, blocks: int | None = None) -> float:
+def calibrate_epsilon(vecs: DataFrame, density: float = 0.05, blocks: int | None = None, **options) -> float:
     """The distance of unit vectors at rank min(max(1, int(density * pairs)), pairs - 1), 0-based; 0.0 without pairs.
 
-    Vectors are normalised, zero vectors left out.  One pass counts distances in
-    fixed bins, a second sorts those of one bin.
+    Vectors are normalised, zero vectors left out.
     """
-    vecs = vecs.where(V.norm(F.col("vector")) > 0).withColumn("vector", V.unit(F.col("vector")))
+    vecs = vecs.where(V.norm(F.col("vector")) > 0).select("id", V.unit(F.col("vector")).alias("vector"))
     n = vecs.count()
     pairs = n * (n - 1) // 2
-    if not pairs:
-        return 0.0
-    rank, width = min(max(1, int(density * pairs)), pairs - 1), 2.0 / bins
-    dealt = block_pairs(vecs, blocks or max(1, -(-n // BLOCK_ROWS)))
-
-    def within(low: float, high: float, count: bool):
-        def part(key: tuple, one: pd.DataFrame) -> pd.DataFrame:
-            i, j = key
-            _, _, distance = pair_distances(*_products(one, i, j), i == j, 2.0 + 1e-6)
-            b = np.minimum((np.asarray(distance) / width).astype(int), bins)
-            if count:
-                found, times = np.unique(b, return_counts=True)
-                return pd.DataFrame({"bin": found, "n": times})
-            return pd.DataFrame({"distance": np.asarray(distance)[b == low]})
-
-        return part
-
-    counted = dealt.groupBy("i", "j").applyInPandas(within(0, 0, True), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # bins + 1 rows
-    before = 0
-    for row in counted:
-        if before + row["n"] > rank:
-            break
-        before += row["n"]
-    inside = dealt.groupBy("i", "j").applyInPandas(within(row["bin"], 0, False), "distance double").orderBy("distance").offset(rank - before).limit(1)
-    return float(inside.first()["distance"])
+    return P.pair_distance_at(vecs, min(max(1, int(density * pairs)), pairs - 1), blocks or P.blocks_for(n), **options) if pairs else 0.0
 
 
 def reconcile(edge_log: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -142,15 +111,23 @@ def density(edges: Column, nodes: Column) -> Column:
     return F.when(nodes <= 1, 0.0).otherwise(edges / (nodes * (nodes - 1) / 2))
 
 
-def jaccard(edges: DataFrame) -> DataFrame:
-    """Similarity of the edge sets of all pairs of scenarios; 1.0 when both are empty."""
-    sizes = edges.groupBy("scenario").agg(F.count("*").alias("n"))
-    a, b = edges.alias("a"), edges.alias("b")
-    both = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.scenario") < F.col("b.scenario"))).groupBy(F.col("a.scenario").alias("x"), F.col("b.scenario").alias("y")).agg(F.count("*").alias("both"))
-    x, y = sizes.select(F.col("scenario").alias("x"), F.col("n").alias("nx")), sizes.select(F.col("scenario").alias("y"), F.col("n").alias("ny"))
-    pairs = x.join(F.broadcast(y), F.col("x") < F.col("y")).join(both, ["x", "y"], "left")
-    shared = F.coalesce("both", F.lit(0))
-    return pairs.select("x", "y", F.when(F.col("nx") + F.col("ny") == 0, 1.0).otherwise(shared / (F.col("nx") + F.col("ny") - shared)).alias("jaccard"))
+def jaccard(edges: DataFrame, scenarios: list[str]) -> DataFrame:
+    """x < y and the similarity of the edge sets (scenario, id) of all pairs of the named scenarios; 1.0 when both are empty.
+
+    One pass over the edges: each edge adds one to every pair of its scenarios, itself included.
+    """
+    names = sorted(scenarios)
+    held = edges.groupBy("id").agg(F.array_sort(F.collect_set("scenario")).alias("sets"))
+    pairs = F.flatten(F.transform("sets", lambda x: F.transform(F.filter("sets", lambda y: y >= x), lambda y: F.concat(x, F.lit("\0"), y))))
+    counts = held.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    one = counts.agg(F.map_from_entries(F.collect_list(F.struct("pair", "n"))).alias("n"))  # a pair of scenarios each
+    n = lambda a, b: F.coalesce(F.col("n")[f"{a}\0{b}"], F.lit(0))
+    rows = []
+    for k, x in enumerate(names):
+        for y in names[k + 1 :]:
+            union = n(x, x) + n(y, y) - n(x, y)
+            rows.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.when(union == 0, 1.0).otherwise(n(x, y) / union).alias("jaccard")))
+    return one.select(F.inline(F.array(*rows)))
 
 
 # --- reduction -----------------------------------------------------------

@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import edges as E
-from ..streaming import jobs as T
 from . import inputs as I
 from .inputs import VECTORS_SQL as W
 from .registry import query
 
-PAIRS = W + """, pts AS (SELECT 'NODE_' || lpad(vec_id::VARCHAR, 6, '0') AS id, u FROM unit),
+PAIRS = W + """, pts AS (SELECT printf('NODE_%06d', vec_id) AS id, u FROM unit),
 pairs AS MATERIALIZED (SELECT a.id AS source, b.id AS target, sqrt(list_sum(list_transform(list_zip(a.u, b.u), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist, list_inner_product(a.u, b.u) AS c FROM pts a JOIN pts b ON a.id < b.id)
 """
 LOGGED = PAIRS + """, e115 AS (SELECT 'auto-edge-' || source || '-' || target AS id, source, target FROM pairs WHERE dist <= 1.15),
@@ -29,11 +28,11 @@ def logged(spark, d):
 
 
 def requests(spark, d):
-    n = lambda k: F.concat(F.lit("NODE_"), F.lpad((F.col("vec_id") + k).cast("string"), 6, "0"))
+    n = lambda k: F.format_string("NODE_%06d", F.col("vec_id") + k)
     return I.raw_vectors(spark, d).select(n(1).alias("source"), F.when(F.col("vec_id") % 10 == 0, "NODE_MISSING").otherwise(n(0)).alias("target"))
 
 
-REQUESTS = ", req AS (SELECT 'NODE_' || lpad((vec_id + 1)::VARCHAR, 6, '0') AS source, CASE WHEN vec_id % 10 = 0 THEN 'NODE_MISSING' ELSE 'NODE_' || lpad(vec_id::VARCHAR, 6, '0') END AS target FROM vecs), forged AS (SELECT 'edge-' || least(source, target) || '-' || greatest(source, target) AS id, source, target FROM req WHERE source IN (SELECT id FROM pts) AND target IN (SELECT id FROM pts))"
+REQUESTS = ", req AS (SELECT printf('NODE_%06d', vec_id + 1) AS source, CASE WHEN vec_id % 10 = 0 THEN 'NODE_MISSING' ELSE printf('NODE_%06d', vec_id) END AS target FROM vecs), forged AS (SELECT 'edge-' || least(source, target) || '-' || greatest(source, target) AS id, source, target FROM req WHERE source IN (SELECT id FROM pts) AND target IN (SELECT id FROM pts))"
 
 
 @query("e1_epsilon_edges", PAIRS + "SELECT source, target, round(dist, 6) AS distance FROM pairs WHERE dist <= 1.2")
@@ -46,7 +45,7 @@ def _(spark, d):
     return E.reconcile(logged(spark, d), graph(spark, d, 1.2)).select("id", "seq", "state")
 
 
-@query("e2_prune_edges", LOGGED + "SELECT id, 2::BIGINT AS seq, 'removed' AS state FROM e115 WHERE id NOT IN (SELECT id FROM e110)")
+@query("e2_prune_edges", PAIRS + "SELECT 'auto-edge-' || source || '-' || target AS id, 2::BIGINT AS seq, 'removed' AS state FROM pairs WHERE dist > 1.1 AND dist <= 1.15")
 def _(spark, d):
     return E.reconcile(logged(spark, d), graph(spark, d, 1.1)).select("id", "seq", "state")
 
@@ -82,11 +81,11 @@ def _(spark, d):
 
 @query("e8_edge_jaccard", LOGGED + "SELECT x, y, round(shared / (nx + ny - shared), 9) AS jaccard FROM (SELECT 'e110' AS x, 'e115' AS y, (SELECT count(*) FROM e110) AS nx, (SELECT count(*) FROM e115) AS ny, (SELECT count(*) FROM e110 JOIN e115 USING (id)) AS shared UNION ALL SELECT 'e110', 'e120', (SELECT count(*) FROM e110), (SELECT count(*) FROM e120), (SELECT count(*) FROM e110 JOIN e120 USING (id)) UNION ALL SELECT 'e115', 'e120', (SELECT count(*) FROM e115), (SELECT count(*) FROM e120), (SELECT count(*) FROM e115 JOIN e120 USING (id)))")
 def _(spark, d):
-    sets = None
-    for name, eps in (("e110", 1.1), ("e115", 1.15), ("e120", 1.2)):
-        one = graph(spark, d, eps).select(F.lit(name).alias("scenario"), F.concat("source", F.lit("-"), "target").alias("id"))
-        sets = one if sets is None else sets.unionByName(one)
-    return E.jaccard(sets).select("x", "y", F.round("jaccard", 9).alias("jaccard"))
+    # one pass over the pairs; every set is a filter on the edge's smallest radius
+    radii = {"e110": 1.1, "e115": 1.15, "e120": 1.2}
+    near = E.near_edges(I.points(spark, d), list(radii.values())).select(F.concat("source", F.lit("-"), "target").alias("id"), "radius")
+    within = F.filter(F.array(*[F.when(F.col("radius") <= r, name) for name, r in radii.items()]), lambda x: x.isNotNull())
+    return E.jaccard(near.select("id", F.explode(within).alias("scenario")), list(radii)).select("x", "y", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("e9_edges_consistent", LOGGED + "SELECT count(*) > 0 AS consistent FROM e115")
@@ -145,23 +144,15 @@ def _(spark, d):
     return simplex.volumes(edges).select(F.col("simplex_id").alias("vec_id"), F.round("volume", 6).alias("volume"))
 
 
-@query("p1_triangle_areas", PAIRS + """, near AS MATERIALIZED (SELECT source, target FROM pairs WHERE dist <= 1.15),
- tri AS (SELECT a.source AS x, a.target AS y, b.target AS z FROM near a JOIN near b ON a.target = b.source JOIN near c ON c.source = a.source AND c.target = b.target),
- sides AS (SELECT x, y, z, list_transform(list_zip(q.u, p.u), lambda s: s[1] - s[2]) AS e, list_transform(list_zip(r.u, p.u), lambda s: s[1] - s[2]) AS f FROM tri JOIN pts p ON p.id = x JOIN pts q ON q.id = y JOIN pts r ON r.id = z)
- SELECT x, y, z, round(sqrt(list_inner_product(e, e) * list_inner_product(f, f) - list_inner_product(e, f) * list_inner_product(e, f)) / 2, 6) AS area FROM sides""")
+@query("p1_triangle_areas", PAIRS + """, near AS MATERIALIZED (SELECT source, target, dist FROM pairs WHERE dist <= 1.15),
+ two AS MATERIALIZED (SELECT a.source AS x, a.target AS y, b.target AS z, a.dist AS c, b.dist AS a FROM near a JOIN near b ON a.target = b.source),
+ tri AS MATERIALIZED (SELECT x, y, z, a, n.dist AS b, c, (a + n.dist + c) / 2 AS s FROM two JOIN near n ON n.source = x AND n.target = z)
+ SELECT x, y, z, round(sqrt(greatest(0, s * (s - a) * (s - b) * (s - c))), 6) AS area FROM tri""")
 def _(spark, d):
     from ..operators import simplex
 
-    # each pair of a node's higher neighbours that are linked themselves
-    T.folder(spark)
-    near = graph(spark, d, 1.15).select("source", "target").checkpoint()
-    two = near.select(F.col("source").alias("x"), F.col("target").alias("y")).join(near.select(F.col("source").alias("y"), F.col("target").alias("z")), "y")
-    closed = two.join(near.select(F.col("source").alias("x"), F.col("target").alias("z")), ["x", "z"])
-    for c in "xyz":
-        closed = closed.join(I.points(spark, d).select(F.col("id").alias(c), F.col("vector").alias(f"v{c}")), c)
-    areas = simplex.volumes(closed.select(F.concat_ws("|", "x", "y", "z").alias("simplex_id"), F.array("vx", "vy", "vz").alias("vertices")))
-    ids = F.split("simplex_id", r"\|")
-    return areas.select(*[ids[i].alias(c) for i, c in enumerate("xyz")], F.round("volume", 6).alias("area"))
+    near = E.near_edges(I.points(spark, d), [1.15]).select("source", "target", "length")
+    return simplex.triangle_areas(simplex.triangles(near)).select("x", "y", "z", F.round("area", 6).alias("area"))
 
 
 @query("p2_barycentric", W + "SELECT vec_id, round(list_inner_product(list_transform(list_zip(x, w), lambda z: z[1] - z[2]), list_transform(list_zip(u, w), lambda z: z[1] - z[2])) / list_inner_product(list_transform(list_zip(u, w), lambda z: z[1] - z[2]), list_transform(list_zip(u, w), lambda z: z[1] - z[2])), 6) AS lambda FROM (SELECT prev.vec_id, prev.u, w, a.av AS x FROM prev, axes a WHERE w IS NOT NULL AND a.axis_id = 'AXIS_1')")

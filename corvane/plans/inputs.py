@@ -35,8 +35,8 @@ def vec_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """One node for each vector."""
-    return unit_vectors(spark, d).select(F.concat(F.lit("NODE_"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("id"), "vec_id", "vector")
+    """One node for each vector; ids have six digits, or more where the number has."""
+    return unit_vectors(spark, d).select(F.format_string("NODE_%06d", "vec_id").alias("id"), "vec_id", "vector")
 
 
 def node_log(spark: SparkSession, d: str) -> DataFrame:

@@ -408,10 +408,7 @@ def _(spark, d):
 def _(spark, d):
     vecs = runs(spark, d)
     gated = O.evaluate_gate(O.vector_variances(vecs, I.axes(spark, d), ["provider", "vec_id", "label"]), O.calibrate_threshold(I.axes(spark, d)), F.lit(True))
-    edges = None
-    for name in ("full", "half", "coarse"):
-        own = vecs.where(F.col("provider") == name).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), "vector")
-        one = E.epsilon_edges(own, 1.2).select(F.lit(name).alias("provider"))
-        edges = one if edges is None else edges.unionByName(one)
+    # pairs of one provider only, all providers in one pass
+    edges = E.near_edges(vecs.select("provider", F.format_string("%019d", "vec_id").alias("id"), "vector"), [1.2], by="provider").select(F.col("key").alias("provider"))
     found = O.coupling_report(gated, edges)
     return found.select("provider", "category", F.round("kappa", 6).alias("kappa"), F.round("sigma", 6).alias("sigma"), "edges", F.round("density", 4).alias("density"), F.round("coupling", 6).alias("coupling"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,22 @@ from ..functions.vectors import as_double
 AXES = "axis_id string, symbol string, tag string, vector array<double>, epoch string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one where none is named and all runs on one machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def read_vectors(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """(vec_id, label, vector) with float32 elements made double."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema) if stream else spark.read
