@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .ranks import SPAN, number_rows, with_last
 
 STATES = ("pending_approval", "consolidated", "incubating", "telemetry_error")
 
 
 def assign_seq(new: DataFrame, log: DataFrame, arrival: list[str]) -> DataFrame:
-    """Contiguous numbers after the log's highest, in arrival order."""
+    """Contiguous numbers after the log's highest, in arrival order; a hot id is numbered by ranges of it."""
     top = log.groupBy("id").agg(F.max("seq").alias("top"))
-    w = Window.partitionBy("id").orderBy(*arrival)
-    return new.withColumn("n", F.row_number().over(w)).join(top, "id", "left").withColumn("seq", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("long")).drop("n", "top")
+    if dict(new.dtypes)[arrival[0]] == "string":  # one row an id
+        numbered = new.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(*arrival)))
+    else:
+        numbered = number_rows(new, ["id"], arrival)
+    return numbered.join(top, "id", "left").withColumn("seq", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("long")).drop("n", "top")
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -56,12 +60,9 @@ def log_growth(log: DataFrame, before: Column) -> DataFrame:
 
 # --- trajectories --------------------------------------------------------
 
-def by_seq():
-    return Window.partitionBy("id").orderBy("seq")
-
-
-def with_previous(log: DataFrame) -> DataFrame:
-    return log.withColumn("previous", F.lag("vector").over(by_seq()))
+def with_previous(log: DataFrame, span: int = SPAN) -> DataFrame:
+    """Adds the vector of the revision before; ranges of a hot id are scanned apart."""
+    return with_last(log, "vector", "previous", span)
 
 
 def finite_difference(log: DataFrame) -> DataFrame:

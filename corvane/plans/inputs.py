@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators.ranks import number_rows
 from ..sources import tables as sources
 
 N_AXES = 8
@@ -30,8 +31,8 @@ def axes(spark: SparkSession, d: str) -> DataFrame:
 
 def vec_log(spark: SparkSession, d: str) -> DataFrame:
     """Trajectories: the vectors of each label in the order of their ids."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    return unit_vectors(spark, d).select(F.concat(F.lit("VEC_"), F.col("label").cast("string")).alias("id"), F.row_number().over(w).cast("long").alias("seq"), "vec_id", "vector")
+    numbered = number_rows(unit_vectors(spark, d), ["label"], ["vec_id"], "seq")
+    return numbered.select(F.concat(F.lit("VEC_"), F.col("label").cast("string")).alias("id"), "seq", "vec_id", "vector")
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -41,9 +42,9 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 def node_log(spark: SparkSession, d: str) -> DataFrame:
     """Revisions of a node for each user, from their events."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     state = F.when(F.col("event_type") == "signup", "pending_approval").when(F.col("event_type").isin("view", "click"), "incubating").when(F.col("event_type") == "purchase", "consolidated").otherwise("telemetry_error")
-    return table(spark, d, "events").select(F.concat(F.lit("NODE_"), F.col("user_id").cast("string")).alias("id"), F.row_number().over(w).cast("long").alias("seq"), state.alias("state"), "ts", "event_id", "value")
+    numbered = number_rows(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "seq")
+    return numbered.select(F.concat(F.lit("NODE_"), F.col("user_id").cast("string")).alias("id"), "seq", state.alias("state"), "ts", "event_id", "value")
 
 
 def queue(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import revisions as R
 from ..operators import screening as S
 from ..operators import vectors as O
+from ..operators.ranks import exact_quantiles
 from . import inputs as I
 from .inputs import LOG_SQL as W
 from .inputs import VECTORS_SQL
@@ -106,9 +107,8 @@ def _(spark, d):
 
 @query("m3_latency_profile", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS high FROM events GROUP BY 1")
 def _(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    a = I.table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), p.alias("p"), F.max("value").alias("high"))
-    return a.select("event_type", F.round("mean", 6).alias("mean"), *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], F.round("high", 6).alias("high"))
+    found = exact_quantiles(I.table(spark, d, "events"), "value", [0.5, 0.95, 0.99], "event_type")
+    return found.select(F.col("key").alias("event_type"), F.round("mean", 6).alias("mean"), *[F.round(F.col("quantiles")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], F.round("high", 6).alias("high"))
 
 
 @query("m5_log_growth", VECTORS_SQL + ", sized AS (SELECT seq, strlen(id) + strlen('vector ' || vec_id) + 8 * len(u) AS size FROM vlog) SELECT sum(CASE WHEN seq % 2 = 1 THEN size ELSE 0 END)::BIGINT AS before, sum(size)::BIGINT AS after, (sum(size) - sum(CASE WHEN seq % 2 = 1 THEN size ELSE 0 END))::BIGINT AS growth, round(avg(size) FILTER (seq % 2 = 0), 6) AS mean_insert FROM sized")

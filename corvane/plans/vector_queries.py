@@ -8,6 +8,7 @@ from ..functions import vectors as V
 from ..operators import edges as E
 from ..operators import revisions as R
 from ..operators import vectors as O
+from ..operators.ranks import exact_quantiles, with_last
 from . import inputs as I
 from .inputs import VECTORS_SQL as W
 from .registry import query
@@ -268,9 +269,10 @@ def _(spark, d):
 
 @query("g6_variance_profile", W + "SELECT round(min(variance), 9) AS low, round(avg(variance), 9) AS mean, round(max(variance), 9) AS high, round(quantile_cont(variance, 0.5), 9) AS p50, round(quantile_cont(variance, 0.6), 9) AS p60, round(quantile_cont(variance, 0.9), 9) AS p90, round(avg(passed::INT), 9) AS share FROM gated")
 def _(spark, d):
-    p = F.percentile("variance", F.array(F.lit(0.5), F.lit(0.6), F.lit(0.9)))
-    found = gated(spark, d).agg(F.min("variance").alias("low"), F.avg("variance").alias("mean"), F.max("variance").alias("high"), p.alias("p"), F.avg(F.col("passed").cast("int")).alias("share"))
-    return found.select(*[F.round(c, 9).alias(c) for c in ("low", "mean", "high")], *[F.round(F.col("p")[i], 9).alias(n) for i, n in enumerate(("p50", "p60", "p90"))], F.round("share", 9).alias("share"))
+    judged = gated(spark, d)
+    found = exact_quantiles(judged, "variance", [0.5, 0.6, 0.9])
+    share = judged.agg(F.round(F.avg(F.col("passed").cast("int")), 9).alias("share"))
+    return found.select(*[F.round(c, 9).alias(c) for c in ("low", "mean", "high")], *[F.round(F.col("quantiles")[i], 9).alias(n) for i, n in enumerate(("p50", "p60", "p90"))]).crossJoin(F.broadcast(share))
 
 
 # --- trajectories ---
@@ -346,7 +348,7 @@ def _(spark, d):
  FROM (SELECT *, lag(coalesce(k_cin, 0)) OVER (PARTITION BY id ORDER BY seq) AS kp FROM kc JOIN unit USING (vec_id)))""")
 def _(spark, d):
     full = kinetics(spark, d).withColumn("k", F.coalesce("k_cin", F.lit(0.0)))
-    full = full.withColumn("kp", F.lag("k").over(R.by_seq()))
+    full = with_last(full, "k", "kp")
     after = F.sqrt(V.dot(F.col("vector"), F.col("vector")) + F.col("k") * F.col("k"))
     m = full.agg(F.var_pop(F.sqrt("pp")).alias("b"), F.var_pop(after).alias("a"), F.avg("step").alias("lb"), F.avg(F.col("step") + (F.col("k") - F.col("kp")) * (F.col("k") - F.col("kp"))).alias("la"))
     return m.select(F.round("b", 6).alias("loss_before"), F.round("a", 6).alias("loss_after"), F.round("lb", 6).alias("laminarity_before"), F.round("la", 6).alias("laminarity_after"), ((F.col("b") - F.col("a") > 0.001) | (F.col("la") - F.col("lb") > 0.001)).alias("valid"))
@@ -368,10 +370,9 @@ def _(spark, d):
 
 @query("k15_trend_check", W + ", o AS (SELECT id, k_cin, row_number() OVER (PARTITION BY id ORDER BY seq) AS a, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS z FROM ratio) SELECT id, round(avg(k_cin) FILTER (a <= 10), 6) AS early, round(avg(k_cin) FILTER (z <= 10), 6) AS late, avg((k_cin > 0)::INT) >= 0.8 AND avg(k_cin) FILTER (z <= 10) >= 0.8 * avg(k_cin) FILTER (a <= 10) AS ok FROM o GROUP BY 1")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    k = kinetics(spark, d).where("k_cin is not null")
-    o = k.withColumn("a", F.row_number().over(R.by_seq())).withColumn("z", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq"))))
+    # k_cin is null on first revisions alone: numbers from 2 to an id's highest are its values
+    k = kinetics(spark, d).select("id", "seq", "k_cin").where("k_cin is not null")
+    o = k.join(k.groupBy("id").agg(F.max("seq").alias("top")), "id").withColumn("a", F.col("seq") - 1).withColumn("z", F.col("top") - F.col("seq") + 1)
     early, late = F.avg(F.when(F.col("a") <= 10, F.col("k_cin"))), F.avg(F.when(F.col("z") <= 10, F.col("k_cin")))
     return o.groupBy("id").agg(F.round(early, 6).alias("early"), F.round(late, 6).alias("late"), ((F.avg((F.col("k_cin") > 0).cast("int")) >= 0.8) & (late >= 0.8 * early)).alias("ok"))
 
