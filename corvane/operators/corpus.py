@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import vectors as V
+from ..sources.tables import kept
+
 #: Fixed values that results must share.
 TOKEN = r"[a-z0-9]+(?:-[a-z0-9]+)*"
 CODECS: dict[str, Callable[[bytes], int]] = {"zlib": lambda b: len(zlib.compress(b, 9)), "bz2": lambda b: len(bz2.compress(b, 9)), "lzma": lambda b: len(lzma.compress(b, preset=6))}
@@ -44,24 +47,60 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("token"))
 
 
+#: Forms of a lexicon up to which a document's hits are counted inside its row.
+ROW_FORMS = 256
+
+
+def lexicon_hits(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Adds ``hits``, an array of (group, hits) in the order of the groups, counted inside each row: no shuffle.
+
+    The lexicon (form, group, rank) has at most ``ROW_FORMS`` forms; one listed twice
+    belongs to the last group.  A null text has no hits.
+    """
+    owner = lexicon.groupBy("form").agg(F.max_by("group", "rank").alias("group")).agg(F.map_from_entries(F.collect_list(F.struct("form", "group"))).alias("__owner"))
+    groups = lexicon.agg(F.array_sort(F.collect_set("group")).alias("__groups"))
+    forms = [r["form"] for r in lexicon.select("form").distinct().limit(ROW_FORMS + 1).collect()]
+    if len(forms) > ROW_FORMS:
+        raise ValueError(f"a lexicon of more than {ROW_FORMS} forms is joined to the tokens")
+    # a set of literals is looked up by hash, a map entry by entry
+    hit = F.filter(F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")), lambda t: t.isin(*forms) if forms else F.lit(False))
+    found = F.transform(hit, lambda t: F.element_at("__owner", t))
+    given = docs.crossJoin(F.broadcast(owner.crossJoin(groups)))  # one row of ROW_FORMS forms
+    # an array of one, so that the tokens are found once for all groups
+    hits = F.transform(F.array(found), lambda f: F.transform("__groups", lambda g: F.struct(g.alias("group"), F.size(F.filter(f, lambda x: x == g)).cast("long").alias("hits"))))[0]
+    return given.withColumn("hits", hits).drop("__owner", "__groups")
+
+
 def project_sparse(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Share of each group among a document's lexicon hits; every group appears, 0 without hits.
 
-    The lexicon (form, group, rank) is small; a form listed twice belongs to the last group.
+    The lexicon is (form, group, rank); a form listed twice belongs to the last group.
+    A large lexicon is joined to the tokens instead of counted inside the rows.
     """
-    owner = lexicon.groupBy("form").agg(F.max_by("group", "rank").alias("group"))
-    groups = lexicon.select("group").distinct()
-    hits = tokens(docs).join(owner, F.col("token") == F.col("form")).groupBy("doc_id", "group").agg(F.count("*").alias("hits"))
-    every = docs.select("doc_id").crossJoin(F.broadcast(groups)).join(hits, ["doc_id", "group"], "left")
-    filled = every.withColumn("hits", F.coalesce("hits", F.lit(0)))
-    total = filled.groupBy("doc_id").agg(F.sum("hits").alias("total"))
-    return filled.join(total, "doc_id").select("doc_id", "group", "hits", "total", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(0.0).alias("share"))
+    if lexicon.limit(ROW_FORMS + 1).count() <= ROW_FORMS:
+        counted = lexicon_hits(docs, lexicon).select("doc_id", "hits", F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["hits"]).alias("total"))
+        filled = counted.select("doc_id", "total", F.inline("hits"))
+    else:
+        owner = lexicon.groupBy("form").agg(F.max_by("group", "rank").alias("group"))
+        hits = tokens(docs).join(owner, F.col("token") == F.col("form")).groupBy("doc_id", "group").agg(F.count("*").alias("hits"))
+        every = docs.select("doc_id").crossJoin(lexicon.select("group").distinct()).join(hits, ["doc_id", "group"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+        filled = every.join(every.groupBy("doc_id").agg(F.sum("hits").alias("total")), "doc_id")
+    return filled.select("doc_id", "group", "hits", "total", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(0.0).alias("share"))
 
 
 def sparse_variance(shares: DataFrame) -> DataFrame:
+    """Of the long form."""
     return shares.groupBy("doc_id").agg(F.sum(F.abs("share")).alias("charge"), F.var_pop("share").alias("variance"))
 
 
+def sparse_scores(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Adds charge and variance of the shares to each document, inside its row; for lexicons of at most ``ROW_FORMS`` forms."""
+    total = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["hits"])
+    counted = lexicon_hits(docs, lexicon).withColumn("__total", total)
+    shares = counted.withColumn("__shares", F.transform("hits", lambda h: F.when(F.col("__total") > 0, h["hits"] / F.col("__total")).otherwise(0.0)))
+    return shares.withColumns({"charge": V.total(F.col("__shares")), "variance": V.variance(F.col("__shares"))}).drop("hits", "__total", "__shares")
+
+
 def weighted_axes(lexicon: DataFrame) -> DataFrame:
     """(group, term, weight) with unit rows, kept sparse."""
     size = lexicon.groupBy("group").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
@@ -213,7 +252,10 @@ def bigram_transitions(docs: DataFrame, n: int = 2) -> DataFrame:
 
 
 def spectral_gap(docs: DataFrame, n: int = 2) -> DataFrame:
-    """Gap of the two largest eigenvalue moduli, the second, the number of states and the moduli's entropy."""
+    """Gap of the two largest eigenvalue moduli, the second, the number of states and the moduli's entropy.
+
+    A text that is null or has no two n-grams has zeros.
+    """
 
     def solve(key: tuple, one: pd.DataFrame) -> pd.DataFrame:
         states = sorted(set(one["a"]) | set(one["b"]))
@@ -228,7 +270,9 @@ def spectral_gap(docs: DataFrame, n: int = 2) -> DataFrame:
             entropy = float(-(share * np.log(share)).sum())
         return pd.DataFrame({"doc_id": [key[0]], "gap": [moduli[0] - moduli[1]], "second": [moduli[1]], "states": [len(states)], "entropy": [entropy]})
 
-    return bigram_transitions(docs, n).groupBy("doc_id").applyInPandas(solve, "doc_id long, gap double, second double, states long, entropy double")
+    zeros = [F.lit(0).cast(t).alias(c) for c, t in (("gap", "double"), ("second", "double"), ("states", "long"), ("entropy", "double"))]
+    short = docs.where(F.col("text").isNull() | (F.length("text") <= n)).select("doc_id", *zeros)
+    return bigram_transitions(docs, n).groupBy("doc_id").applyInPandas(solve, "doc_id long, gap double, second double, states long, entropy double").unionByName(short)
 
 
 #: Ranges of values that are ranked apart.
@@ -242,7 +286,8 @@ def mann_whitney(df: DataFrame, value: str, first: Column, second: Column) -> Da
     ranges: no window spans the table.  The quantiles are drawn once, so that a value
     lies in one range whenever a range is computed.
     """
-    counts = df.where(first | second).groupBy(F.col(value).alias("v")).agg(F.sum(first.cast("long")).alias("n1"), F.sum(second.cast("long")).alias("n2"))
+    # written once: the bounds, the ranges' sizes and the ranks all read it
+    counts = kept(df.where(first | second).groupBy(F.col(value).alias("v")).agg(F.sum(first.cast("long")).alias("n1"), F.sum(second.cast("long")).alias("n2")))
     bounds = counts.agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 50 * RANGES)).first()[0]
     kind = counts.schema["v"].dataType
     part = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in sorted(set(bounds or ()))]).cast(T.ArrayType(kind)), lambda b: b < F.col("v")))

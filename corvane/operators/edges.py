@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,50 +133,68 @@ def jaccard(edges: DataFrame, scenarios: list[str]) -> DataFrame:
 
 # --- reduction -----------------------------------------------------------
 
-def moments(vecs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and centred Gram matrix of the vectors: d x d numbers whatever their number.
+#: Local factors that come to the driver at last.
+FACTORS = 16
 
-    Each task adds up its own matrix; the matrices' rows are dealt by their number
-    and added one at a time, and d sums come to the driver.
+
+def combined(a: tuple, b: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and triangular factor of two sets of centred rows together."""
+    (n, mean, r), (m, other, s) = a, b
+    gap = other - mean
+    return n + m, mean + gap * (m / (n + m)), np.linalg.qr(np.vstack([r, s, np.sqrt(n * m / (n + m)) * gap[None, :]]), mode="r")
+
+
+def centred_factor(vecs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and the triangular R of a QR factorisation of the centred vectors.
+
+    Each task keeps a factor of its rows, d x d numbers whatever their count; factors
+    are combined in ``FACTORS`` tasks, one at a time, and these on the driver.  The vectors' squares are
+    never formed, so small singular values keep their digits.
     """
-    schema = "i long, n long, total double, row array<double>"
+    schema = "node int, n long, mean array<double>, r array<double>"
+
+    def row(node: int, f: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"node": [node], "n": [f[0]], "mean": [f[1]], "r": [f[2].ravel()]})
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total, square = 0, 0.0, 0.0
+        held = None
         for one in batches:
             if len(one):
                 x = np.stack(one["vector"].to_numpy())
-                n, total, square = n + len(x), total + x.sum(0), square + x.T @ x
-        if n:
-            yield pd.DataFrame({"i": np.arange(len(total)), "n": n, "total": total, "row": list(square)})
+                mean = x.mean(0)
+                new = len(x), mean, np.linalg.qr(x - mean, mode="r")
+                held = new if held is None else combined(held, new)
+        if held is not None:
+            yield row(TaskContext.get().partitionId() % FACTORS, held)
 
-    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
+    def factors(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for one in batches:
-            for i, n, total, row in zip(one["i"], one["n"], one["total"], one["row"], strict=True):
-                have = sums.get(i, (0, 0.0, 0.0))
-                sums[i] = (have[0] + n, have[1] + total, have[2] + row)
-        if sums:
-            yield pd.DataFrame([(i, *x) for i, x in sums.items()], columns=["i", "n", "total", "row"])
+            for n, mean, r in zip(one["n"], one["mean"], one["r"], strict=True):
+                yield n, np.asarray(mean), np.asarray(r).reshape(-1, len(mean))
 
-    rows = vecs.select("vector").mapInPandas(own, schema).repartition("i").mapInPandas(added, schema).collect()
-    if not rows:
-        return 0, np.zeros(0), np.zeros((0, 0))
-    rows = sorted(rows, key=lambda r: r["i"])
-    n, total = rows[0]["n"], np.array([r["total"] for r in rows])
-    return n, total / n, np.array([r["row"] for r in rows]) - np.outer(total, total) / n
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in factors(batches):
+            held = f if held is None else combined(held, f)
+        if held is not None:
+            yield row(0, held)
+
+    rows = vecs.select("vector").mapInPandas(own, schema).repartition(FACTORS, "node").mapInPandas(added, schema).toPandas()
+    held = None
+    for f in factors([rows]):
+        held = f if held is None else combined(held, f)
+    return held or (0, np.zeros(0), np.zeros((0, 0)))
 
 
 def svd_reduce(vecs: DataFrame, k: int = 2) -> DataFrame:
     """id, coords (top k scaled directions) and residual (the next three, unscaled)."""
-    n, mean, square = moments(vecs)
+    n, mean, r = centred_factor(vecs)
     if len(mean) < k:
         raise ValueError(f"vectors have {len(mean)} columns; {k} are needed")
-    values, directions = np.linalg.eigh(square)
-    values, directions = np.maximum(values[::-1], 0), directions[:, ::-1]
-    directions = directions * np.sign(directions[np.abs(directions).argmax(axis=0), np.arange(len(values))])
+    _, sigma, directions = np.linalg.svd(np.vstack([r, np.zeros((max(0, len(mean) - len(r)), len(mean)))]))
+    directions = directions.T
+    directions = directions * np.sign(directions[np.abs(directions).argmax(axis=0), np.arange(len(sigma))])
     more = min(len(mean) - k, 3)
-    sigma = np.sqrt(values)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for one in batches:
@@ -202,9 +221,29 @@ def project_to_5d(vecs: DataFrame) -> DataFrame:
     return sigmoid_scale(reduced.crossJoin(F.broadcast(top)).withColumns({c: F.col(c) / scale for c in "xy"}).drop("top"), ["r", "g", "b"])
 
 
+#: Border colours of a node by its state, and that of any other state: fixed values of the view.
+STATE_COLOURS = {"pending_approval": "#F59E0B", "incubating": "#3B82F6", "consolidated": "#10B981", "telemetry_error": "#EF4444"}
+OTHER_COLOUR = "#475569"
+
+
+def node_view(nodes: DataFrame, scale: int = 400) -> DataFrame:
+    """id, left and top, fill colours and border of nodes (id, state, spectrum as a map): the spectrum in the order of its keys, reduced to five columns."""
+    numbers = F.transform(F.array_sort(F.map_entries("spectrum")), lambda e: e["value"])
+    view = project_to_5d(nodes.select("id", numbers.alias("vector")))
+    border = F.lit(OTHER_COLOUR)
+    for state, colour in STATE_COLOURS.items():
+        border = F.when(F.col("state") == state, colour).otherwise(border)
+    placed = view.select("id", (scale * F.col("x")).alias("left"), (scale * F.col("y")).alias("top"), *[F.round(255 * F.col(c)).cast("int").alias(c) for c in "rgb"])
+    return placed.join(nodes.select("id", border.alias("border")), "id")
+
+
 def participation_ratio(vecs: DataFrame) -> float:
     """(sum l)^2 / sum l^2 over the positive eigenvalues of the cosine matrix without its diagonal."""
-    n, mean, square = moments(vecs)
-    values = np.linalg.eigvalsh(square + n * np.outer(mean, mean)) - 1
-    values = values[values > 1e-10]
+    n, mean, r = centred_factor(vecs)
+    if not n:
+        return 0.0
+    values = np.zeros(len(mean))
+    sigma = np.linalg.svd(np.vstack([r, np.sqrt(n) * mean[None, :]]), compute_uv=False)
+    values[: len(sigma)] = sigma**2
+    values = values[values - 1 > 1e-10] - 1
     return float(values.sum() ** 2 / (values**2).sum()) if len(values) else 0.0

@@ -44,6 +44,30 @@ def log_integrity(log: DataFrame) -> DataFrame:
     return repeated.crossJoin(gaps)
 
 
+#: Hash buckets of a snapshot whose digests are compared.
+BUCKETS = 4096
+
+
+def lost_rows(before: DataFrame, after: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``before`` that ``after`` lacks, each as many times as it lacks it; columns are alike.
+
+    Digests of buckets are compared first, sums over the rows' hashes that don't depend
+    on their order and are added up before any shuffle; only rows of buckets that
+    differ are compared themselves.
+    """
+    columns = before.columns
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int").alias("__bucket")
+
+    def digests(df: DataFrame, name: str) -> DataFrame:
+        h = F.xxhash64(F.lit("digest"), *columns)
+        return df.groupBy(bucket).agg(F.struct(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(h, F.lit(1)))).alias(name))
+
+    both = digests(before, "a").join(digests(after.select(*columns), "b"), "__bucket", "left")
+    differ = F.broadcast(both.where(~F.col("a").eqNullSafe(F.col("b"))).select("__bucket"))  # ``buckets`` numbers at most
+    pick = lambda df: df.select("*", bucket).join(differ, "__bucket", "left_semi").select(*columns)
+    return pick(before).exceptAll(pick(after.select(*columns)))
+
+
 def queue_status(queue: DataFrame, log: DataFrame) -> DataFrame:
     """PROCESSED once the queue row's node is in the log."""
     known = log.select(F.col("id").alias("node")).distinct()

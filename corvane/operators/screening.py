@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,16 +63,25 @@ def parse_proposals(raw: DataFrame) -> DataFrame:
     whole = F.trim(F.col("raw"))
     # an array or a plain value is JSON too
     parsed = raw.withColumn("direct", F.get_json_object("raw", "$").isNotNull() & F.when(whole.startswith("{"), whole.endswith("}")).when(whole.startswith("["), whole.endswith("]")).otherwise(whole.rlike(r'^(-?[0-9.eE+-]+|"[^"]*"|true|false|null)$')))
-    good = parsed.where("direct").select(*raw.columns, F.col("raw").alias("json"), F.lit("DIRECT").alias("status"), F.lit(False).alias("used_repair"))
-    names = raw.columns
 
-    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for one in batches:
-            found = [recover(t or "") for t in one["raw"]]
-            yield one.assign(json=[f[0] for f in found], status=["FAILED" if f[0] is None else "REPAIRED" if f[1] else "EXTRACTED" for f in found], used_repair=[f[1] for f in found])
+    @F.pandas_udf("json string, status string, used_repair boolean")
+    def mend(text: pd.Series) -> pd.DataFrame:
+        found = [(None, None, None) if t is None else recover(t) for t in text]
+        return pd.DataFrame([(None,) * 3 if f[0] is None and len(f) == 3 else (f[0], "FAILED" if f[0] is None else "REPAIRED" if f[1] else "EXTRACTED", f[1]) for f in found], columns=["json", "status", "used_repair"])
 
-    schema = ", ".join([*(f"{n} {t}" for n, t in raw.dtypes), "json string", "status string", "used_repair boolean"])
-    return good.unionByName(parsed.where("direct is null or not direct").select(*names).mapInPandas(mend, schema))
+    # read once: the column is null where native parsing worked
+    direct = F.coalesce("direct", F.lit(False))
+    mended = parsed.withColumn("m", mend(F.when(~direct, F.coalesce("raw", F.lit("")))))
+    return mended.select(*raw.columns, F.when(direct, F.col("raw")).otherwise(F.col("m.json")).alias("json"), F.when(direct, "DIRECT").otherwise(F.col("m.status")).alias("status"), F.when(direct, False).otherwise(F.col("m.used_repair")).alias("used_repair"))
+
+
+def proposal_outcome(raw: DataFrame) -> DataFrame:
+    """Adds outcome: VALID, VALIDATION_ERROR for readable JSON that breaks the schema, PARSING_ERROR for JSON that can't be read or only breaks it after repair."""
+    parsed = parse_proposals(raw)
+    judged = validate_proposals(parsed.withColumnRenamed("raw", "__given").withColumn("raw", F.col("json")))
+    error = F.col("json").isNull() | (F.col("used_repair") & ~F.col("valid"))
+    outcome = F.when(error, "PARSING_ERROR").when(F.col("valid"), "VALID").otherwise("VALIDATION_ERROR")
+    return judged.withColumn("outcome", outcome).drop("raw", "valid").withColumnRenamed("__given", "raw").select(*raw.columns, "status", "outcome")
 
 
 def validate_proposals(raw: DataFrame) -> DataFrame:

@@ -158,17 +158,36 @@ def select_axes(vecs: DataFrame, anchor: int, k: int = 8) -> list[int]:
 
 
 def label_axes(ranked: DataFrame) -> DataFrame:
-    """Rank r becomes AXIS_{r+1} with its symbol and a cleaned tag."""
+    """Rank r becomes AXIS_{r+1} with its symbol and a cleaned tag.
+
+    The symbol is the character of the code; it is null where Unicode has none
+    (surrogates, and beyond 0x10FFFF), the code stays.
+    """
+    code = (F.col("rank") + SYMBOL_BASE).cast("long")
+    known = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     return ranked.select(
-        F.concat(F.lit("AXIS_"), (F.col("rank") + 1).cast("string")).alias("axis_id"), (F.col("rank") + SYMBOL_BASE).cast("long").alias("symbol_code"),
-        F.decode(F.unhex(F.hex(F.col("rank") + SYMBOL_BASE)), "UTF-16BE").alias("symbol"),
+        F.concat(F.lit("AXIS_"), (F.col("rank") + 1).cast("string")).alias("axis_id"), code.alias("symbol_code"),
+        F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).alias("symbol"),
         F.upper(F.replace(F.replace(F.col("name"), F.lit(" "), F.lit("_")), F.lit("'"), F.lit(""))).alias("tag"),
     )
 
 
-def insert_or_ignore(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``new`` whose key is not there yet."""
-    return new.join(existing.select(*keys), keys, "left_anti")
+def insert_or_ignore(new: DataFrame, existing: DataFrame, keys: list[str], arrival: str | None = None) -> DataFrame:
+    """The rows of ``new`` whose key is not there yet, one for each key: the first by ``arrival``, or any where that isn't given.
+
+    Rows with a missing part of the key are never the same and all stay.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    fresh = new.join(existing.select(*keys), keys, "left_anti").select(*new.columns)
+    keyed = fresh.where(whole)
+    if arrival is None:
+        keyed = keyed.dropDuplicates(keys)
+    else:
+        rest = [c for c in new.columns if c not in keys]
+        keyed = keyed.groupBy(*keys).agg(F.min_by(F.struct(*rest), arrival).alias("row")).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest]).select(*new.columns)
+    return keyed.unionByName(fresh.where(~whole))
 
 
 def active_epoch(axes: DataFrame) -> DataFrame:

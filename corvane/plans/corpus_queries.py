@@ -56,7 +56,7 @@ def shares(spark, d):
 
 
 def sparse(spark, d):
-    return C.sparse_variance(shares(spark, d)).join(I.corpus(spark, d).select("doc_id", "category"), "doc_id")
+    return C.sparse_scores(I.corpus(spark, d), lexicon(spark)).select("doc_id", "category", "charge", "variance")
 
 
 
@@ -157,7 +157,7 @@ s2 AS (SELECT doc_id, category, var_pop(CASE WHEN total > 0 THEN hits / total EL
 
 
 def control(spark, d, lex):
-    v = C.sparse_variance(C.project_sparse(I.corpus(spark, d), lex)).join(I.corpus(spark, d).select("doc_id", "category"), "doc_id")
+    v = C.sparse_scores(I.corpus(spark, d), lex)
     return v.groupBy("category").agg(F.round(F.avg("variance"), 9).alias("mean"))
 
 

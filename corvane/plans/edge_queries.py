@@ -122,8 +122,11 @@ def _(spark, d):
 
 @query("d4_node_view")
 def _(spark, d):
-    view = E.project_to_5d(I.points(spark, d))
-    return view.select("id", F.round(400 * F.col("x"), 3).alias("left"), F.round(400 * F.col("y"), 3).alias("top"), *[F.round(255 * F.col(c)).cast("int").alias(c) for c in "rgb"])
+    from ..operators import vectors as O
+
+    spectra = O.with_spectrum(I.points(spark, d), I.axes(spark, d)).withColumn("variance", V.variance(O.projections()))
+    gated = O.evaluate_gate(spectra.select("id", "vec_id", "variance", O.spectrum_map().alias("spectrum")), O.calibrate_threshold(I.axes(spark, d)), F.col("vec_id") % 3 != 0)
+    return E.node_view(gated).withColumns({c: F.round(c, 3) for c in ("left", "top")})
 
 
 @query("d5_edge_view", PAIRS + REQUESTS + ", r AS (SELECT id, 'manual' AS state FROM forged UNION ALL SELECT 'auto-edge-' || source || '-' || target, 'auto' FROM pairs WHERE dist <= 1.15) SELECT id, state = 'auto' AS animated, CASE WHEN state = 'auto' THEN 'grey' ELSE 'gold' END AS colour FROM r")

@@ -56,7 +56,8 @@ def _(spark, d):
 @query("r8_append_only_diff", W + "SELECT count(*) AS lost FROM (SELECT id, seq, state FROM nlog EXCEPT ALL SELECT id, seq, state FROM nlog WHERE event_id % 500 <> 0)")
 def _(spark, d):
     log = I.node_log(spark, d)
-    return log.select("id", "seq", "state").exceptAll(log.where("event_id % 500 <> 0").select("id", "seq", "state")).agg(F.count("*").alias("lost"))
+    rest = log.where("event_id % 500 <> 0").select("id", "seq", "state")
+    return R.lost_rows(log.select("id", "seq", "state"), rest).agg(F.count("*").alias("lost"))
 
 
 @query("r9_lifecycle_distribution", W + "SELECT state, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM nlog GROUP BY 1")
@@ -188,6 +189,14 @@ def _(spark, d):
     return S.validate_proposals(proposals(spark, d)).select("case_id", "valid")
 
 
+@query("q2_proposal_outcome", PROPOSALS + "SELECT case_id, CASE WHEN k IN (0, 5) THEN 'PARSING_ERROR' WHEN k = 3 THEN 'VALIDATION_ERROR' ELSE 'VALID' END AS outcome FROM made")
+def _(spark, d):
+    # a wrong intent breaks the schema; without its last brace a text is read only by repair
+    k, raw = F.col("k"), F.col("raw")
+    broken = F.when(k == 3, F.replace(raw, F.lit('"REFACTOR"'), F.lit('"EXPLAIN"'))).when(k.isin(5, 6), F.expr("left(raw, length(raw) - 1)")).otherwise(raw)
+    return S.proposal_outcome(proposals(spark, d).withColumn("raw", broken)).select("case_id", "outcome")
+
+
 @query("q3_screen_proposals", PROPOSALS + "SELECT case_id, decision FROM made")
 def _(spark, d):
     return S.screen_proposals(damaged(spark, d), files(spark, d)).select("case_id", "decision")
@@ -196,7 +205,7 @@ def _(spark, d):
 @query("q4_audit_append", PROPOSALS + "SELECT case_id, decision FROM made WHERE k <> 6")
 def _(spark, d):
     decided = S.screen_proposals(damaged(spark, d), files(spark, d)).select("case_id", "k", "decision")
-    return O.insert_or_ignore(decided, decided.where("k = 6"), ["case_id"]).select("case_id", "decision")
+    return O.insert_or_ignore(decided.unionByName(decided.where("k = 5")), decided.where("k = 6"), ["case_id"]).select("case_id", "decision")
 
 
 @query("q5_decision_counts", PROPOSALS + "SELECT decision, count(*) AS n FROM made GROUP BY 1")
