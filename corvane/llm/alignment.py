@@ -58,7 +58,7 @@ LINKED = tx.arrow_schema(**{f.name: f.type for f in ALIGNED}, keys=pa.list_(pa.i
 
 @dataclass
 class Aligned:
-    """Texts in a row: of text i, A tokens ``a[i]:a[i + 1]``, and so on; ``key`` of each link."""
+    """Texts in a row: of text i, A tokens ``a[i]:a[i + 1]``, and so on; ``closes``: whether a group ends at a byte; ``key`` of each link."""
 
     ids_a: np.ndarray
     ids_b: np.ndarray
@@ -68,7 +68,7 @@ class Aligned:
     b: np.ndarray
     groups: np.ndarray
     links: np.ndarray
-    group_ends: np.ndarray
+    closes: np.ndarray
     key: np.ndarray
 
 
@@ -97,35 +97,34 @@ class Pairing:
         a, b, size = [none] * len(texts), [none] * len(texts), np.zeros(len(texts), dtype=np.int64)
         there = [i for i, t in enumerate(texts) if t]
         for i, in_b in zip(there, self.pieces.encode([texts[i] for i in there], num_threads=1), strict=True):
-            spaced = " " + texts[i]
-            in_a = np.frombuffer(self.encode(spaced), dtype="<u4").tolist()
-            whole = spaced.encode()
-            if b"".join(map(self.bytes_a.__getitem__, in_a)) == whole and b"".join(map(self.bytes_b.__getitem__, in_b)) == whole:
-                a[i], b[i], size[i] = np.array(in_a, dtype=np.int64), np.array(in_b, dtype=np.int64), len(whole)
+            in_a = np.frombuffer(self.encode(" " + texts[i]), dtype="<u4").astype(np.int64)
+            whole = (" " + texts[i]).encode()
+            # byte-level merging keeps the order of bytes and adds none: it spells the text if it has its length
+            if int(self.length_a[in_a].sum()) == len(whole) and b"".join(map(self.bytes_b.__getitem__, in_b)) == whole:
+                a[i], b[i], size[i] = in_a, np.fromiter(in_b, dtype=np.int64, count=len(in_b)), len(whole)
         ids_a, ids_b = np.concatenate([none, *a]), np.concatenate([none, *b])
         end_a, end_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
         is_a, is_b = (np.zeros(int(size.sum()) + 1, dtype=bool) for _ in range(2))
         is_a[end_a], is_b[end_b] = True, True
-        links, group_ends = np.flatnonzero(is_a | is_b), np.flatnonzero(is_a & is_b)
+        links, closes = np.flatnonzero(is_a | is_b), is_a & is_b
         ends = np.concatenate(([0], np.cumsum(size)))
-        bounds = [np.searchsorted(x, ends, side="right") for x in (end_a, end_b, group_ends, links)]
+        bounds = [np.searchsorted(x, ends, side="right") for x in (end_a, end_b, np.flatnonzero(closes), links)]
         # a stretch belongs to the tokens that end at or after its end
         key = ids_a[np.cumsum(is_a)[links] - is_a[links]] * self.n_b + ids_b[np.cumsum(is_b)[links] - is_b[links]] if len(links) else none
-        return Aligned(ids_a, ids_b, end_a, end_b, *bounds, group_ends, key)
+        return Aligned(ids_a, ids_b, end_a, end_b, *bounds, closes, key)
 
     def groups(self, x: Aligned) -> list[str]:
         """Of each text: its groups as ``a1,a2|b1;a3|b2,b3``."""
-        ga, gb = np.searchsorted(x.group_ends, x.end_a), np.searchsorted(x.group_ends, x.end_b)
-        numbers = np.arange(len(x.group_ends))
+        last_a, last_b = x.closes[x.end_a], x.closes[x.end_b]  # the last token of a group of either kind
+        ga, gb = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        until_a, until_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
         out = np.empty(len(x.ids_a) + len(x.ids_b), dtype=object)
-        closes_a = np.zeros(len(x.ids_a), dtype=np.int64)
-        closes_a[np.searchsorted(x.end_a, x.group_ends)] = 1
-        closes_b = np.zeros(len(x.ids_b), dtype=np.int64)
-        closes_b[np.searchsorted(x.end_b, x.group_ends)] = 1
-        closes_b[x.b[1:][np.diff(x.b) > 0] - 1] = 2
-        out[np.arange(len(ga)) + np.searchsorted(gb, numbers)[ga]] = self.texts_a[x.ids_a + closes_a * len(self.bytes_a)]
-        out[np.arange(len(gb)) + np.searchsorted(ga, numbers, side="right")[gb]] = self.texts_b[x.ids_b + closes_b * self.n_b]
-        at = x.a + x.b
+        mark = last_b.astype(np.int64)
+        mark[x.b[1:][np.diff(x.b) > 0] - 1] = 2
+        if len(out):
+            out[np.arange(len(ga)) + np.append(0, until_b[:-1])[ga]] = self.texts_a[x.ids_a + last_a * len(self.bytes_a)]
+            out[np.arange(len(gb)) + until_a[gb]] = self.texts_b[x.ids_b + mark * self.n_b]
+        at, out = x.a + x.b, out.tolist()
         return ["".join(out[p:q]) for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
