@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .tables import keep
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether every node has one link at most and none leads to a node that has one."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("met")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("met")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("met").alias("met")).where("out > 1 or (out = 1 and met = 1)").isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -30,18 +32,15 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node that has a link; a component is named by its smallest node.
 
-    The number of passes grows with the logarithm of the longest chain; each pass
-    is written to the shared checkpoint folder, so a lost executor costs one pass.
+    The number of passes grows with the logarithm of the longest chain, and they end when every
+    link leads from a node to its component's smallest; each pass is written to the shared checkpoint folder, so a lost executor costs one pass.
     The least neighbours of the large star are written too: both sides of its join are
     then shuffled for the join alone, and a node with very many links can be split.
     """
     now = keep(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    state = _state(now)
-    while state[0]:
+    while True:
         now = keep(_small_star(_large_star(now)))
-        new = _state(now)
-        if new == state:
+        if _stars(now):
             break
-        state = new
     member = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return member.unionByName(member.select(F.col("component").alias("node"), "component")).distinct()

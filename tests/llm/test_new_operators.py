@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from corvane.llm import alignment, best_fit, perfect_hash, periodic  # noqa: E402
+from corvane.llm import alignment, best_fit, components, perfect_hash, periodic  # noqa: E402
 from corvane.llm.queries import QUERIES  # noqa: E402
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -301,3 +301,28 @@ def test_looped_texts_of_odd_rows(spark):
     for i, text, new in got[3:]:
         h = zlib.crc32(str(i).encode())
         assert new == text if h % 10 else new.split()[: (h // 10) % 4] == ["x", "y", "z", "w"][: (h // 10) % 4]
+
+
+# --- components ---
+
+def test_components_by_force(spark):
+    r = random.Random(12)
+    links, parent = [], {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for g in range(40):  # paths, stars, rings and loose graphs, each with ids of its own
+        ids = r.sample(range(1000 * g, 1000 * g + 1000), r.randint(2, 40))
+        kind = g % 4
+        pairs = list(zip(ids, ids[1:], strict=False)) if kind in (0, 3) else [(ids[0], x) for x in ids[1:]] if kind == 1 else [tuple(r.sample(ids, 2)) for _ in ids]
+        links += pairs + ([(ids[-1], ids[0])] if kind == 3 else []) + [(ids[0], ids[0])]
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {x["node"]: x["component"] for x in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {x: root(x) for x in linked}
+    assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
