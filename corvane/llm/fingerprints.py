@@ -2,19 +2,15 @@
 
 A text is cut into words (at most ``WORD_CHARS`` code points each), and its
 k-mers are runs of ``K`` words.  Every k-mer is numbered by its occurrence in the
-text, and the hash of k-mer and number puts it on a circle of 64-bit values.  Slot
-i orders the circle from the point ``i / SLOTS`` of the way round on, a permutation
-of its own; it takes the ``PER_SLOT`` smallest k-mers in that order, puts them back
-in text order, and hashes them as a tuple.  A slot agrees between two texts only if
-they hold the same k-mers in the same order.  Every slot of a text with at least
-``PER_SLOT`` k-mers holds ``PER_SLOT`` of them, so order counts in short texts too.
-The likeness of two fingerprints is the share of agreeing slots; an empty
+text.  Each two slots have a random order of their own: the hash of k-mer, occurrence
+and the order's number.  One slot takes the ``PER_SLOT`` smallest k-mers in it, the
+other the ``PER_SLOT`` largest, which are the smallest of the order turned round; each
+puts its k-mers back in text order and hashes them as a tuple.  A slot agrees between
+two texts only if they hold the same k-mers in the same order.  Every slot of a text
+with at least ``PER_SLOT`` k-mers holds ``PER_SLOT`` of them, so order counts in short
+texts too.  The likeness of two fingerprints is the share of agreeing slots; an empty
 fingerprint is like another empty one (1.0) and unlike all others (0.0).
 
-Rotations of one random order stand for independent permutations: two random
-points of the circle share their smallest k-mer with a chance of 2 / (n + 1) among
-n k-mers, two independent permutations with 1 / n.
-
 Defined results: a null text counts as empty and has the all-zero fingerprint; a
 text of fewer than ``K`` words is a single k-mer; equal texts have equal
 fingerprints.  Of repeated rows of one id each is a row of the order, by the hash
@@ -74,37 +70,25 @@ def numbered(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), plain).otherwise(let(placed, runs))
 
 
-def slot_hashes(hashes: Column, ranks: Column, slots: int, per_slot: int) -> Column:
-    """The tuple hash of each slot from the k-mers and their ranks, both in text order.
-
-    A rank's low bits give way to the k-mer's place, so that one sort of longs
-    orders the circle; the slots' starting points are sorted among them, and a
-    starting point's place there tells how many ranks are below it.
-    """
-    bits = F.when(F.size(ranks) < (1 << 24) - 1, F.lit((1 << 24) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
-    points = F.array(*[F.lit((i << 64) // slots - (1 << 63)).cast("long").bitwiseOR(F.lit((1 << 31) - 1).cast("long")) for i in range(slots)])
-
-    def of(mask: Column) -> Column:
-        circle = F.sort_array(F.concat(F.transform(ranks, lambda r, i: r.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))), points))
-
-        def cut(c: Column) -> Column:
-            below = F.filter(F.transform(c, lambda x, j: F.when(x.bitwiseAND(mask) == mask, j)), lambda j: j.isNotNull())
-            places = F.filter(F.transform(c, lambda x: F.when(x.bitwiseAND(mask) != mask, x.bitwiseAND(mask).cast("int"))), lambda p: p.isNotNull())
+def outermost(ranks: Column, count: int, end) -> Column:
+    """Places in text order, from 1, of the ``count`` ranks at one end (``array_min`` or ``array_max``), or of all if there are fewer."""
 
-            def each(p: Column) -> Column:
-                n = F.size(p)
+    def take(left: Column, found: list[Column]) -> Column:
+        if len(found) == count:
+            return F.sort_array(F.filter(F.array(*found), lambda p: p.isNotNull()))
+        return let(end(left), lambda m: take(F.array_remove(left, m), [*found, F.array_position(ranks, m).cast("int")]))
 
-                def tuple_hash(b: Column, i: Column) -> Column:
-                    chosen = F.array_sort(F.transform(F.sequence(F.lit(0), F.least(F.lit(per_slot), n) - 1), lambda j: p[(b - i + j) % n]))
-                    return F.hash(F.transform(chosen, lambda at: hashes[at])).bitwiseOR(1)
+    return take(ranks, [])
 
-                return F.transform(below, tuple_hash)
 
-            return let(places, each)
+def slot_hashes(hashes: Column, numbers: Column, slots: int, per_slot: int) -> Column:
+    """The tuple hash of each slot from the k-mers and the hashes of k-mer and occurrence, both in text order."""
 
-        return let(circle, cut)
+    def of_order(i: Column) -> Column:
+        name = lambda places: F.hash(F.transform(places, lambda p: hashes[p - 1])).bitwiseOR(1)
+        return let(F.transform(numbers, lambda g: F.xxhash64(g, i)), lambda r: F.array(name(outermost(r, per_slot, F.array_min)), name(outermost(r, per_slot, F.array_max))))
 
-    return let(bits, of)
+    return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((slots - 1) // 2)), of_order)), 1, slots)
 
 
 def fingerprint(text: Column, k: int = K, slots: int = SLOTS, per_slot: int = PER_SLOT) -> Column:

@@ -659,17 +659,16 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
-def brute_fingerprint(hashes, slots, per_slot, g):
+def brute_fingerprint(hashes, slots, per_slot, ranks):
     """Slots of an occurrence-numbered sequence of k-mer hashes, as tuples in text order."""
     seen, placed = collections.Counter(), []
     for at, h in enumerate(hashes):
-        placed.append((g[h, seen[h]] & ~0xFFFFFF, at, h))  # low bits hold the place
+        placed.append((at, h, seen[h]))
         seen[h] += 1
     out = []
-    for i in range(slots):
-        start = (i << 64) // slots - (1 << 63)
-        least = sorted(placed, key=lambda p: ((p[0] - start) % (1 << 64), p[1]))[:per_slot]
-        out.append(tuple(h for _, at, h in sorted(least, key=lambda p: p[1])))
+    for slot in range(slots):
+        ordered = sorted(placed, key=lambda p: ranks[p[1], p[2], slot // 2], reverse=slot % 2 == 1)
+        out.append(tuple(h for _, h, _ in sorted(ordered[:per_slot])))
     return out
 
 
@@ -683,8 +682,9 @@ def test_fingerprint_by_definition(spark, words):
     words = words.split()
     df = spark.createDataFrame([(" ".join(words),)], "text string")
     h = df.select(fingerprints.kmers(F.split("text", " "), 3).alias("h")).first()["h"]
-    pairs = spark.createDataFrame([(x, o) for x in set(h) for o in range(14)], "h long, o int").select("h", "o", F.xxhash64("h", "o").alias("g")).collect()
-    want = brute_fingerprint(h, fingerprints.SLOTS, fingerprints.PER_SLOT, {(r["h"], r["o"]): r["g"] for r in pairs})
+    triples = spark.createDataFrame([(x, o, i) for x in set(h) for o in range(14) for i in range(fingerprints.SLOTS)], "h long, o int, i int")
+    ranks = {(r["h"], r["o"], r["i"]): r["g"] for r in triples.withColumn("g", F.xxhash64(F.xxhash64("h", "o"), "i")).collect()}
+    want = brute_fingerprint(h, fingerprints.SLOTS, fingerprints.PER_SLOT, ranks)
     got = df.select(fingerprints.fingerprint(F.col("text")).alias("f")).first()["f"]
     named = spark.createDataFrame([(list(t),) for t in sorted(set(want))], "t array<long>").select("t", F.hash("t").bitwiseOR(1).alias("v")).collect()
     hashed = {tuple(r["t"]): r["v"] for r in named}
@@ -702,6 +702,32 @@ def test_short_texts_differ_by_order(spark, n):
     assert sum(x == y for x, y in zip(a, b)) < 0.7 * fingerprints.SLOTS  # the same runs in another order
 
 
+@pytest.mark.parametrize("n", [10, 30, 100])
+def test_spread_of_the_likeness(spark, n):
+    """The last third replaced: the likeness varies from text to text no more than with an independent order for each slot."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(400):
+        words = [word() for _ in range(n + 2)]
+        texts += [" ".join(words), " ".join(words[: n - n // 3] + [word() for _ in range(2 + n // 3)])]
+    found = prints(spark, texts)
+    own = np.array([np.mean([x == y for x, y in zip(a, b)]) for a, b in zip(found[::2], found[1::2])])
+    draw = np.random.default_rng(n)
+    kept = n - n // 3 - 2  # k-mers without a new word
+    def one():
+        both = 0
+        for _ in range(fingerprints.SLOTS):
+            ranks, new = draw.random(n), draw.random(n - kept)
+            a = set(np.argsort(ranks)[:2].tolist())
+            b = set(np.argsort(np.concatenate((ranks[:kept], new)))[:2].tolist())
+            both += a == b and max(a) < kept
+        return both / fingerprints.SLOTS
+    free = np.array([one() for _ in range(400)])
+    assert abs(own.mean() - free.mean()) < 0.02
+    assert own.std() < 1.2 * free.std()
+
+
 def test_next_with_skewed_repeated_and_missing_ids(spark):
     ids = [None, None, -(10**15), 10**17, 10**17 - 1, *range(40), 7, 7]
     rows = [(i, f"text number {k} of the table with a few words") for k, i in enumerate(ids)]
