@@ -2,10 +2,12 @@
 
 A text is cut into words (at most ``WORD_CHARS`` code points each), and its
 k-mers are runs of ``K`` words.  Every k-mer is numbered by its occurrence in the
-text.  Each two slots have a random order of their own: the hash of k-mer, occurrence
-and the order's number.  One slot takes the ``PER_SLOT`` smallest k-mers in it, the
+text.  Each two slots have a random order of their own: k-mers lie in ``BINS`` bins by
+the first bits of their hash with the occurrence, and order i goes by the hash of the
+bin and i, then by the hash of the k-mer and i.  One slot takes the ``PER_SLOT`` smallest k-mers in it, the
 other the ``PER_SLOT`` largest, which are the smallest of the order turned round; each
-puts its k-mers back in text order and hashes them as a tuple.  A slot agrees between
+puts its k-mers back in text order and hashes them as a tuple.  So an order is drawn
+over bins, whatever the text's length, and over the k-mers of the outermost bins alone.  A slot agrees between
 two texts only if they hold the same k-mers in the same order.  Every slot of a text
 with at least ``PER_SLOT`` k-mers holds ``PER_SLOT`` of them, so order counts in short
 texts too.  The likeness of two fingerprints is the share of agreeing slots; an empty
@@ -33,6 +35,8 @@ K = 3
 WORD_CHARS = 16
 SLOTS = 64
 PER_SLOT = 2
+#: Bins of k-mers, a power of two.
+BINS = 128
 #: Ranges of ids that are ordered apart; each is one key of the shuffle.
 RANGES = 20_000
 
@@ -71,24 +75,48 @@ def numbered(hashes: Column) -> Column:
 
 
 def outermost(ranks: Column, count: int, end) -> Column:
-    """Places in text order, from 1, of the ``count`` ranks at one end (``array_min`` or ``array_max``), or of all if there are fewer."""
+    """Places of the ``count`` ranks at one end (``array_min`` or ``array_max``), outermost first, or all if there are fewer."""
 
     def take(left: Column, found: list[Column]) -> Column:
         if len(found) == count:
-            return F.sort_array(F.filter(F.array(*found), lambda p: p.isNotNull()))
-        return let(end(left), lambda m: take(F.array_remove(left, m), [*found, F.array_position(ranks, m).cast("int")]))
+            return F.filter(F.array(*found), lambda p: p.isNotNull())
+        return let(end(left), lambda m: take(F.array_remove(left, m), [*found, (F.array_position(ranks, m) - 1).cast("int")]))
 
     return take(ranks, [])
 
 
 def slot_hashes(hashes: Column, numbers: Column, slots: int, per_slot: int) -> Column:
-    """The tuple hash of each slot from the k-mers and the hashes of k-mer and occurrence, both in text order."""
+    """The tuple hash of each slot from the k-mers and the hashes of k-mer and occurrence, both in text order.
 
-    def of_order(i: Column) -> Column:
-        name = lambda places: F.hash(F.transform(places, lambda p: hashes[p - 1])).bitwiseOR(1)
-        return let(F.transform(numbers, lambda g: F.xxhash64(g, i)), lambda r: F.array(name(outermost(r, per_slot, F.array_min)), name(outermost(r, per_slot, F.array_max))))
+    The low bits of the latter give way to the k-mer's place, so that one sort of
+    longs puts the k-mers of a bin together.
+    """
+    n = F.size(numbers)
+    mask = F.when(n < (1 << 24), F.lit((1 << 24) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
+    bin_of = lambda x: F.shiftrightunsigned(x, 64 - (BINS - 1).bit_length())
+
+    def of(mask: Column, placed: Column) -> Column:
+        clear = F.bitwise_not(mask)
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j == 0) | (bin_of(placed[F.greatest(j - 1, F.lit(0))]) != bin_of(placed[j])))
+
+        def with_bins(f: Column, bins: Column) -> Column:
+            def of_order(i: Column) -> Column:
+                def slot(ranks: Column, end) -> Column:
+                    def places(b: Column) -> Column:
+                        inside = F.slice(placed, f[b] + 1, F.coalesce(F.get(f, b + 1), n) - f[b])
+                        own = lambda x: F.xxhash64(x.bitwiseAND(clear), i)
+                        return let(inside, lambda xs: F.transform(outermost(F.transform(xs, own), per_slot, end), lambda p: xs[p].bitwiseAND(mask).cast("int")))
+
+                    chosen = F.slice(F.flatten(F.transform(outermost(ranks, per_slot, end), places)), 1, per_slot)
+                    return F.hash(F.transform(F.sort_array(chosen), lambda p: hashes[p])).bitwiseOR(1)
+
+                return let(F.transform(bins, lambda b: F.xxhash64(b, i)), lambda r: F.array(slot(r, F.array_min), slot(r, F.array_max)))
+
+            return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((slots - 1) // 2)), of_order)), 1, slots)
+
+        return let(firsts, lambda f: let(F.transform(f, lambda at: bin_of(placed[at])), lambda bins: with_bins(f, bins)))
 
-    return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((slots - 1) // 2)), of_order)), 1, slots)
+    return let(mask, lambda m: let(F.sort_array(F.transform(numbers, lambda g, p: g.bitwiseAND(F.bitwise_not(m)).bitwiseOR(p.cast("long")))), lambda placed: of(m, placed)))
 
 
 def fingerprint(text: Column, k: int = K, slots: int = SLOTS, per_slot: int = PER_SLOT) -> Column:

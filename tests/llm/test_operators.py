@@ -683,7 +683,9 @@ def test_fingerprint_by_definition(spark, words):
     df = spark.createDataFrame([(" ".join(words),)], "text string")
     h = df.select(fingerprints.kmers(F.split("text", " "), 3).alias("h")).first()["h"]
     triples = spark.createDataFrame([(x, o, i) for x in set(h) for o in range(14) for i in range(fingerprints.SLOTS)], "h long, o int, i int")
-    ranks = {(r["h"], r["o"], r["i"]): r["g"] for r in triples.withColumn("g", F.xxhash64(F.xxhash64("h", "o"), "i")).collect()}
+    g = F.xxhash64("h", "o")
+    bins, clear = F.shiftrightunsigned(g, 57), g.bitwiseAND(~0xFFFFFF)  # 128 bins; low bits hold the place
+    ranks = {(r["h"], r["o"], r["i"]): (r["b"], r["g"]) for r in triples.select("h", "o", "i", F.xxhash64(bins, "i").alias("b"), F.xxhash64(clear, "i").alias("g")).collect()}
     want = brute_fingerprint(h, fingerprints.SLOTS, fingerprints.PER_SLOT, ranks)
     got = df.select(fingerprints.fingerprint(F.col("text")).alias("f")).first()["f"]
     named = spark.createDataFrame([(list(t),) for t in sorted(set(want))], "t array<long>").select("t", F.hash("t").bitwiseOR(1).alias("v")).collect()
