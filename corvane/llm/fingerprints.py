@@ -105,7 +105,7 @@ def slot_hashes(hashes: Column, numbers: Column, slots: int, per_slot: int) -> C
                     def places(b: Column) -> Column:
                         inside = F.slice(placed, f[b] + 1, F.coalesce(F.get(f, b + 1), n) - f[b])
                         own = lambda x: F.xxhash64(x.bitwiseAND(clear), i)
-                        return let(inside, lambda xs: F.transform(outermost(F.transform(xs, own), per_slot, end), lambda p: xs[p].bitwiseAND(mask).cast("int")))
+                        return let(inside, lambda xs: let(F.transform(xs, own), lambda r: F.transform(outermost(r, per_slot, end), lambda p: xs[p].bitwiseAND(mask).cast("int"))))
 
                     chosen = F.slice(F.flatten(F.transform(outermost(ranks, per_slot, end), places)), 1, per_slot)
                     return F.hash(F.transform(F.sort_array(chosen), lambda p: hashes[p])).bitwiseOR(1)
