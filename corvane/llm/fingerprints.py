@@ -36,7 +36,7 @@ WORD_CHARS = 16
 SLOTS = 64
 PER_SLOT = 2
 #: Bins of k-mers, a power of two.
-BINS = 128
+BINS = 64
 #: Ranges of ids that are ordered apart; each is one key of the shuffle.
 RANGES = 20_000
 
@@ -53,9 +53,10 @@ def kmers(words: Column, k: int) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(words))).otherwise(runs)
 
 
-def numbered(hashes: Column) -> Column:
-    """Hashes of k-mer and occurrence number, in text order."""
-    plain = F.transform(hashes, lambda h: F.xxhash64(h, F.lit(0)))
+def numbered(hashes: Column, clear: Column) -> Column:
+    """Hashes of k-mer and occurrence number, in any order; the bits that are not in ``clear`` hold the k-mer's place."""
+    packed = lambda g, at: g.bitwiseAND(clear).bitwiseOR(at.cast("long"))
+    plain = F.transform(hashes, lambda h, i: packed(F.xxhash64(h, F.lit(0)), i))
 
     def runs(s: Column) -> Column:
         n = F.size(s)
@@ -63,10 +64,10 @@ def numbered(hashes: Column) -> Column:
 
         def number(firsts: Column) -> Column:
             def one(first: Column, r: Column) -> Column:
-                end = F.when(r + 1 < F.size(firsts), firsts[F.least(r + 1, F.size(firsts) - 1)]).otherwise(n)
-                return F.transform(F.slice(s, first + 1, end - first), lambda x, occurrence: F.struct(x["at"].alias("at"), F.xxhash64(x["h"], occurrence).alias("g")))
+                end = F.coalesce(F.get(firsts, r + 1), n)
+                return F.transform(F.slice(s, first + 1, end - first), lambda x, occurrence: packed(F.xxhash64(x["h"], occurrence), x["at"]))
 
-            return F.transform(F.sort_array(F.flatten(F.transform(firsts, one))), lambda x: x["g"])
+            return F.flatten(F.transform(firsts, one))
 
         return let(starts, number)
 
@@ -74,56 +75,49 @@ def numbered(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), plain).otherwise(let(placed, runs))
 
 
-def outermost(ranks: Column, count: int, end) -> Column:
-    """Places of the ``count`` ranks at one end (``array_min`` or ``array_max``), outermost first, or all if there are fewer."""
+def slot_hashes(hashes: Column, slots: int, per_slot: int) -> Column:
+    """The tuple hash of each slot from the k-mers in text order.
 
-    def take(left: Column, found: list[Column]) -> Column:
-        if len(found) == count:
-            return F.filter(F.array(*found), lambda p: p.isNotNull())
-        return let(end(left), lambda m: take(F.array_remove(left, m), [*found, (F.array_position(ranks, m) - 1).cast("int")]))
-
-    return take(ranks, [])
-
-
-def slot_hashes(hashes: Column, numbers: Column, slots: int, per_slot: int) -> Column:
-    """The tuple hash of each slot from the k-mers and the hashes of k-mer and occurrence, both in text order.
-
-    The low bits of the latter give way to the k-mer's place, so that one sort of
-    longs puts the k-mers of a bin together.
+    K-mers are longs whose low bits hold their place, so that one sort puts those of a
+    bin together.  Ranks end in the bin's number or the k-mer's place in the same way,
+    so that a rank says whose it is.  Bindings by ``let`` are kept out of what is done
+    for each order: Spark derives their types anew each time.
     """
-    n = F.size(numbers)
+    n = F.size(hashes)
     mask = F.when(n < (1 << 24), F.lit((1 << 24) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
     bin_of = lambda x: F.shiftrightunsigned(x, 64 - (BINS - 1).bit_length())
 
-    def of(mask: Column, placed: Column) -> Column:
-        clear = F.bitwise_not(mask)
+    def of(mask: Column, clear: Column, placed: Column) -> Column:
         firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j == 0) | (bin_of(placed[F.greatest(j - 1, F.lit(0))]) != bin_of(placed[j])))
 
         def with_bins(f: Column, bins: Column) -> Column:
-            def of_order(i: Column) -> Column:
-                def slot(ranks: Column, end) -> Column:
-                    def places(b: Column) -> Column:
-                        inside = F.slice(placed, f[b] + 1, F.coalesce(F.get(f, b + 1), n) - f[b])
-                        own = lambda x: F.xxhash64(x.bitwiseAND(clear), i)
-                        return let(inside, lambda xs: let(F.transform(xs, own), lambda r: F.transform(outermost(r, per_slot, end), lambda p: xs[p].bitwiseAND(mask).cast("int"))))
+            place = lambda rank: rank.bitwiseAND(BINS - 1).cast("int")
+            size = lambda b: F.coalesce(F.get(f, b + 1), n) - f[b]
 
-                    chosen = F.slice(F.flatten(F.transform(outermost(ranks, per_slot, end), places)), 1, per_slot)
-                    return F.hash(F.transform(F.sort_array(chosen), lambda p: hashes[p])).bitwiseOR(1)
+            def slot(ranks: Column, i: Column, ascending: bool) -> Column:
+                own = lambda x: F.xxhash64(x.bitwiseAND(clear), i).bitwiseAND(clear).bitwiseOR(x.bitwiseAND(mask))
+                inside = lambda b: F.slice(F.sort_array(F.transform(F.slice(placed, f[b] + 1, size(b)), own), ascending), 1, per_slot)
+                # further bins are looked into only if the outermost has too few
+                needed = F.slice(ranks, 1, F.when(size(place(ranks[0])) >= per_slot, 1).otherwise(per_slot))
+                chosen = F.slice(F.flatten(F.transform(needed, lambda r: inside(place(r)))), 1, per_slot)
+                return F.hash(F.transform(F.sort_array(F.transform(chosen, lambda r: r.bitwiseAND(mask).cast("int"))), lambda p: hashes[p])).bitwiseOR(1)
 
-                return let(F.transform(bins, lambda b: F.xxhash64(b, i)), lambda r: F.array(slot(r, F.array_min), slot(r, F.array_max)))
+            def of_order(i: Column) -> Column:
+                ranks = F.transform(bins, lambda b, j: F.xxhash64(b, i).bitwiseAND(~(BINS - 1)).bitwiseOR(j.cast("long")))
+                return F.flatten(F.transform(F.array(F.sort_array(ranks)), lambda r: F.array(slot(r, i, True), slot(F.reverse(r), i, False))))
 
             return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit((slots - 1) // 2)), of_order)), 1, slots)
 
         return let(firsts, lambda f: let(F.transform(f, lambda at: bin_of(placed[at])), lambda bins: with_bins(f, bins)))
 
-    return let(mask, lambda m: let(F.sort_array(F.transform(numbers, lambda g, p: g.bitwiseAND(F.bitwise_not(m)).bitwiseOR(p.cast("long")))), lambda placed: of(m, placed)))
+    return let(mask, lambda m: let(F.bitwise_not(m), lambda c: let(F.sort_array(numbered(hashes, c)), lambda placed: of(m, c, placed))))
 
 
 def fingerprint(text: Column, k: int = K, slots: int = SLOTS, per_slot: int = PER_SLOT) -> Column:
     """The tuple hash of each slot as an array of ints; all 0 without words."""
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % WORD_CHARS), F.lit(0))
     empty = F.array_repeat(F.lit(0), slots)
-    return let(let(words, lambda w: kmers(w, k)), lambda h: F.when(F.size(h) == 0, empty).otherwise(let(numbered(h), lambda g: slot_hashes(h, g, slots, per_slot))))
+    return let(let(words, lambda w: kmers(w, k)), lambda h: F.when(F.size(h) == 0, empty).otherwise(slot_hashes(h, slots, per_slot)))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -684,7 +684,7 @@ def test_fingerprint_by_definition(spark, words):
     h = df.select(fingerprints.kmers(F.split("text", " "), 3).alias("h")).first()["h"]
     triples = spark.createDataFrame([(x, o, i) for x in set(h) for o in range(14) for i in range(fingerprints.SLOTS)], "h long, o int, i int")
     g = F.xxhash64("h", "o")
-    bins, clear = F.shiftrightunsigned(g, 57), g.bitwiseAND(~0xFFFFFF)  # 128 bins; low bits hold the place
+    bins, clear = F.shiftrightunsigned(g, 65 - fingerprints.BINS.bit_length()), g.bitwiseAND(~0xFFFFFF)  # low bits hold the place
     ranks = {(r["h"], r["o"], r["i"]): (r["b"], r["g"]) for r in triples.select("h", "o", "i", F.xxhash64(bins, "i").alias("b"), F.xxhash64(clear, "i").alias("g")).collect()}
     want = brute_fingerprint(h, fingerprints.SLOTS, fingerprints.PER_SLOT, ranks)
     got = df.select(fingerprints.fingerprint(F.col("text")).alias("f")).first()["f"]
@@ -704,7 +704,7 @@ def test_short_texts_differ_by_order(spark, n):
     assert sum(x == y for x, y in zip(a, b)) < 0.7 * fingerprints.SLOTS  # the same runs in another order
 
 
-@pytest.mark.parametrize("n", [10, 30, 100])
+@pytest.mark.parametrize("n", [10, 30, 60, 100, 200])
 def test_spread_of_the_likeness(spark, n):
     """The last third replaced: the likeness varies from text to text no more than with an independent order for each slot."""
     r = random.Random(n)
