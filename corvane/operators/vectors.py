@@ -256,6 +256,25 @@ def ingest_vectors(vecs: DataFrame, axes: DataFrame, width: int, log: DataFrame
     return gated.select("id", "seq", "variance", "state", "axis_id", "k_cin").unionByName(errors)
 
 
+def ingest_texts(encoded: DataFrame, axes: DataFrame, width: int, log: DataFrame | None = None) -> DataFrame:
+    """The whole path of encoded texts (doc_id, vector): padding, spectrum, next number, always waiting for approval at milestone 0; and an error row for each text whose vector is missing or too long.
+
+    With a log (id, seq), numbers go on from it.  Rows of one id are numbered by the digest of their vectors.
+    """
+    padded, rejected = check_dimension(F.col("vector"), width, "text")
+    checked = encoded.select("doc_id", "vector", rejected.alias("rejected"))
+    good = checked.where(~F.col("rejected")).select(F.concat(F.lit("NODE_"), F.col("doc_id").cast("string")).alias("id"), "doc_id", F.xxhash64("vector").alias("tie"), V.unit(padded).alias("vector"))
+    if log is None:
+        log = good.select("id", F.lit(0).cast("long").alias("seq")).limit(0)
+    nodes = vector_variances(assign_seq(good, log, ["doc_id", "tie"]), axes, ["id", "seq"])
+    nodes = nodes.select("id", F.col("seq").cast("long").alias("seq"), F.lit("pending_approval").alias("state"), F.col("variance").alias("potential"), F.lit(0).alias("milestone"))
+    wide = F.coalesce(F.concat(F.lit("dimension "), F.size("vector").cast("string"), F.lit(f" beyond {width}")), F.lit("no vector"))
+    dead = to_error_log(checked.where("rejected").select(F.col("doc_id").alias("ingestion_id"), wide.alias("reason")))
+    # the id of an error is its text's own; its rows are numbered like a node's
+    errors = assign_seq(dead.select("id", F.xxhash64("projections").alias("tie"), F.col("lifecycle_state").alias("state"), F.col("action_potential").alias("potential")), log, ["tie"])
+    return nodes.unionByName(errors.select("id", F.col("seq").cast("long").alias("seq"), "state", "potential", F.lit(0).alias("milestone")))
+
+
 def gate_law_violations(spectra: DataFrame, threshold: DataFrame, scales=(0.1, 0.5, 1.0, 2.0, 5.0, 10.0)) -> DataFrame:
     """Breaches of the gate's three laws with each spectrum's deviations scaled around its mean.
 

@@ -288,9 +288,9 @@ def _(spark, d):
 
 @query("v9_ingest_texts")
 def _(spark, d):
-    padded, rejected = O.check_dimension(F.col("vector"), 64, "text")
-    fine = encoded(spark, d, C.HashProvider(48)).where(~rejected).withColumn("vector", V.unit(padded))
-    return O.vector_variances(fine, I.axes(spark, d), ["doc_id"]).select(F.concat(F.lit("NODE_"), F.col("doc_id").cast("string")).alias("id"), F.lit("pending_approval").alias("state"), F.round("variance", 9).alias("potential"))
+    # some texts get vectors that are too long, or none, as an encoder may fail
+    docs = encoded(spark, d, C.HashProvider(48)).withColumn("vector", F.when(F.col("doc_id") % 50 == 0, V.padded(F.col("vector"), 65)).when(F.col("doc_id") % 50 != 1, F.col("vector")))
+    return O.ingest_texts(docs, I.axes(spark, d), 64).withColumn("potential", F.round("potential", 9))
 
 
 @query("b10_name_basis")

@@ -1,5 +1,6 @@
 """Snapshots by digests, insertion within a batch, symbols, spectra of short texts, reduction without squares, outcomes, row-local lexicons."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -11,6 +12,8 @@ from corvane.operators import edges as E
 from corvane.operators import revisions as R
 from corvane.operators import screening as S
 from corvane.operators import vectors as O
+from corvane.plans import corpus_queries as CQ
+from corvane.plans.catalog import QUERIES
 
 
 def test_lost_rows_of_unequal_snapshots(spark):
@@ -153,3 +156,36 @@ def test_lexicon_inside_the_row_and_joined_agree(spark, monkeypatch):
     assert sorted(map(tuple, C.project_sparse(docs, lexicon).collect())) == row and sum(x[2] for x in row) > 100
     with pytest.raises(ValueError):
         C.lexicon_hits(docs, lexicon)
+
+
+def test_ingest_of_texts(spark):
+    rows = [(1, [3.0, 4.0]), (1, [4.0, 3.0]), (2, [0.0, 2.0, 0.0]), (3, [1.0] * 4), (4, None), (None, [1.0, 0.0])]
+    texts = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    axes = spark.createDataFrame([(f"AXIS_{i + 1}", [float(i == j) for j in range(3)], "EPOCH_V1") for i in range(3)], "axis_id string, vector array<double>, epoch string")
+    log = spark.createDataFrame([("NODE_2", 7), ("LOG_4", 2)], "id string, seq long")
+    got = {(r["id"], r["seq"]): (r["state"], round(r["potential"], 6), r["milestone"]) for r in O.ingest_texts(texts, axes, 3, log).collect() if r["id"] is not None}
+    var = lambda *v: round(sum((x - sum(v) / 3) ** 2 for x in v) / 3, 6)
+    waiting = lambda *v: ("pending_approval", var(*v), 0)
+    error = ("telemetry_error", 0.0, 0)
+    assert got == {("NODE_1", 1): waiting(0.6, 0.8, 0), ("NODE_1", 2): waiting(0.8, 0.6, 0), ("NODE_2", 8): waiting(0, 1, 0), ("LOG_3", 1): error, ("LOG_4", 3): error}
+    assert O.ingest_texts(texts.limit(0), axes, 3).count() == 0
+
+
+def test_encoders_are_seeded_by_the_text(spark):
+    docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one")], "doc_id long, text string")
+    for provider in (C.HashProvider(384), C.HashProvider(128, seed=7, normalise=False)):
+        found = {r["doc_id"]: np.array(r["vector"]) for r in C.encode(docs, provider).collect()}
+        digest = hashlib.sha256(b"two").digest()
+        seed = int.from_bytes(digest[:8], "little") if provider.seed is None else 7 + int.from_bytes(digest[:4], "little")
+        want = np.random.default_rng(seed).standard_normal(provider.dimension)
+        assert np.allclose(found[2], want / np.linalg.norm(want) if provider.normalise else want, atol=1e-6)
+        assert (found[1] == found[3]).all() and not np.allclose(found[1], found[2])
+
+
+def test_bimodality_by_the_formula(spark, data):
+    """One component's criterion from mean and variance by hand; two components fit at least as well."""
+    values = np.array([r["variance"] for r in CQ.sparse(spark, data).select("variance").collect()])
+    bic = {r["components"]: r["bic"] for r in QUERIES["m2_bimodality"](spark, data).collect()}
+    like = np.sum(-0.5 * np.log(2 * np.pi * values.var()) - (values - values.mean()) ** 2 / (2 * values.var()))
+    assert bic[1] == pytest.approx(-2 * like + 2 * np.log(len(values)))
+    assert bic[2] - 5 * np.log(len(values)) <= bic[1] - 2 * np.log(len(values)) + 1e-6
