@@ -90,6 +90,19 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], by: str | No
     return spark.createDataFrame(made, "key string, n long, low double, high double, mean double, quantiles array<double>")
 
 
+def as_number(df: DataFrame, order: str) -> Column:
+    """A double that rises with a column of numbers, dates or times; times without a zone are taken as they stand."""
+    kind, c = dict(df.dtypes)[order], F.col(order)
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind != "timestamp_ntz":
+        return c.cast("double")
+    since = c - F.lit("1970-01-01").cast("timestamp_ntz")
+    seconds = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+    parts = [F.date_part(F.lit(unit), since).cast("double") * n for unit, n in seconds.items()]
+    return parts[0] + parts[1] + parts[2] + parts[3]
+
+
 def range_of(df: DataFrame, order: str, span: int = SPAN) -> Column | None:
     """The number of the range that a row's place in the order falls in; ranges hold about ``span`` rows of the table.
 
@@ -99,17 +112,19 @@ def range_of(df: DataFrame, order: str, span: int = SPAN) -> Column | None:
     wanted = min(RANGES, -(-n // span))
     if wanted <= 1:
         return None
-    numeric = F.col(order).cast("double")
+    numeric = as_number(df, order)
     drawn = df.agg(F.percentile_approx(numeric, [k / wanted for k in range(1, wanted)], max(1000, 5 * wanted))).first()[0]
     bounds = sorted({b for b in drawn or () if b is not None})
     step = max(1, math.isqrt(len(bounds)))
     heads = bounds[::step]
     doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    passed = lambda xs: F.size(F.filter(xs, lambda b: b <= numeric))
+    passed = lambda xs, v: F.size(F.filter(xs, lambda b: b <= v))
     groups = F.array(*[doubles(bounds[k : k + step]) for k in range(0, len(bounds), step)])
     # two steps: the group of bounds, then the bound within it; nulls come first
-    group = passed(doubles(heads))
-    return F.when(numeric.isNull() | (group == 0), 0).otherwise((group - 1) * step + passed(F.get(groups, group - 1)))
+    within = lambda v, g: F.when(g == 0, 0).otherwise((g - 1) * step + passed(F.get(groups, g - 1), v))
+    # arrays of one, so that the number and the group are found once for all bounds
+    found = F.transform(F.array(numeric), lambda v: F.transform(F.array(passed(doubles(heads), v)), lambda g: within(v, g))[0])[0]
+    return F.when(numeric.isNull(), 0).otherwise(found)
 
 
 def number_rows(df: DataFrame, by: list[str], order: list[str], name: str = "n", span: int = SPAN) -> DataFrame:

@@ -63,6 +63,21 @@ def test_row_numbers_of_hot_keys(spark, span):
         K.number_rows(df, ["at"], ["key"])
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date"])
+def test_row_numbers_by_times(spark, kind):
+    """Ranges of times, those before 1970 and those of an hour that a zone skips or repeats included."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = [f"2024-03-10 0{h}:{m}:00.25" for h in (1, 2, 3) for m in (10, 40)] + [f"2024-11-03 0{h}:{m}:00.5" for h in (0, 1, 2) for m in (10, 40)] + ["1969-12-31 23:59:59.25", "1969-12-31 23:59:59.75", "1970-01-01 00:00:00.5", "0001-01-03 00:00:00", None]
+        rows = [(k % 2, t, k) for k, t in enumerate(texts * 3)]
+        df = spark.createDataFrame(rows, "key int, at string, tie int").withColumn("at", F.col("at").cast(kind)).repartition(3)
+        one = sorted(map(repr, K.number_rows(df, ["key"], ["at", "tie"], "n").collect()))
+        assert sorted(map(repr, K.number_rows(df, ["key"], ["at", "tie"], "n", 4).collect())) == one
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 @pytest.mark.parametrize("span", [1, 10, 10**6])
 def test_scan_of_a_hot_id_in_ranges(spark, span):
     r = random.Random(span)
