@@ -62,6 +62,22 @@ def test_dedupe_in_three_batches(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_dedupe_by_whole_batches(spark, tmp_path):
+    """The same rows as by a state for each key, with no Python for each of them, also where a batch runs again."""
+    schema = "idempotency_key string, ingestion_id long"
+    write = T.first_batches(4)(str(tmp_path))
+    for n in (0, 1, 1, 2, 3):
+        write(spark.createDataFrame(BATCHES[n] if n < 3 else [], schema), n)
+    known: dict = {}
+    want = []
+    for rows in BATCHES:
+        for key in {k for k, _ in rows}:
+            known.setdefault(key, min(i for k, i in rows if k == key))
+        want += [(i, known[k], i != known[k]) for k, i in rows]
+    found = spark.read.parquet(f"{tmp_path}/rows")
+    assert sorted((r["ingestion_id"], r["first_id"], r["duplicate"]) for r in found.collect()) == sorted(want)
+
+
 def test_keys_are_forgotten_by_timers(spark, tmp_path):
     at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
     batches = [[("a", 1, at(0)), ("b", 2, at(0))], [("a", 3, at(30)), ("c", 4, at(100))], [("d", 5, at(101))], [("a", 6, at(102)), ("c", 7, at(103))]]
