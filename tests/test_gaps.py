@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import vectors as V
 from corvane.operators import corpus as C
 from corvane.operators import edges as E
 from corvane.operators import revisions as R
@@ -80,6 +81,36 @@ def test_spectral_gap_has_a_row_for_every_text(spark):
         assert r["entropy"] == pytest.approx(entropy, abs=1e-6) or np.isnan(entropy)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_bigrams_are_counted_a_document_at_a_time(spark):
+    texts = [(1, "Ab ab 𝄞ab"), (2, "xyz"), (1, "abab"), (None, "aaa"), (None, "aab"), (3, "ab"), (4, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = {}
+    for doc_id, text in texts:
+        t = (text or "").lower()
+        for k in range(len(t) - 2):
+            key = (doc_id, t[k : k + 2], t[k + 1 : k + 3])
+            want[key] = want.get(key, 0) + 1
+    found = C.bigram_transitions(docs)
+    assert not any(s in plan_of(found) for s in ("Window", "Generate", "Aggregate"))
+    got = found.collect()
+    assert {(r["doc_id"], r["a"], r["b"]): r["n"] for r in got} == want and len(got) == len(want)
+    for r in got:
+        assert r["p"] == r["n"] / sum(n for (d, a, _), n in want.items() if (d, a) == (r["doc_id"], r["a"]))
+    three = {(r["a"], r["b"]): r["n"] for r in C.bigram_transitions(docs.where("doc_id = 1"), 3).collect()}
+    assert three["ab ", "b a"] == three["aba", "bab"] == 1 and len(three) == 7
+
+
+def test_spectral_gap_shuffles_texts_alone(spark):
+    docs = spark.createDataFrame([(1, "abcabc"), (None, "abab"), (2, "x")], "doc_id long, text string")
+    found = C.spectral_gap(docs)
+    assert not any(s in plan_of(found) for s in ("Window", "Generate", "FlatMapGroups"))
+    assert {r["doc_id"]: r["states"] for r in found.collect()} == {1: 3, None: 2, 2: 0}
+
+
 def frame(spark, x, parts=5):
     return spark.createDataFrame([(f"N{k}", [float(v) for v in row]) for k, row in enumerate(x)], "id string, vector array<double>").repartition(parts)
 
