@@ -111,6 +111,13 @@ def test_spectral_gap_shuffles_texts_alone(spark):
     assert {r["doc_id"]: r["states"] for r in found.collect()} == {1: 3, None: 2, 2: 0}
 
 
+def test_norm_of_a_unit_vector_is_found_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],)], "v array<double>")
+    found = df.select(V.unit(F.col("v")).alias("u"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [r["u"] for r in found.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
+
+
 def frame(spark, x, parts=5):
     return spark.createDataFrame([(f"N{k}", [float(v) for v in row]) for k, row in enumerate(x)], "id string, vector array<double>").repartition(parts)
 
