@@ -150,8 +150,12 @@ def frequent_lexicon(docs: DataFrame, groups: int = 5, size: int = 6) -> DataFra
 
 
 def ncd(pairs: DataFrame, texts: DataFrame, codec: str = "zlib") -> DataFrame:
-    """Compression distance of candidate pairs (a, b); each text's own size is computed once."""
+    """Compression distance of candidate pairs (a, b); each text's own size is computed once.
+
+    Texts come to Python in batches of ``HELD_TEXTS`` bytes, whatever their lengths, for the session.
+    """
     size = CODECS[codec]
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(HELD_TEXTS))
     alone = F.pandas_udf(lambda s: s.map(lambda t: size(t.encode())).astype("int64"), "long")
     both = F.pandas_udf(lambda x, y: pd.Series([size((p + q).encode()) for p, q in zip(x, y, strict=True)], dtype="int64"), "long")
     sized = texts.select("doc_id", "text", alone("text").alias("size"))

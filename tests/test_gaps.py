@@ -118,6 +118,12 @@ def test_norm_of_a_unit_vector_is_found_once(spark):
     assert [r["u"] for r in found.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
 
 
+def test_texts_are_compressed_in_batches_of_bounded_bytes(spark):
+    docs = spark.createDataFrame([(1, "ab" * 50), (2, "abc" * 40)], "doc_id long, text string")
+    assert C.ncd(spark.createDataFrame([(1, 2)], "a long, b long"), docs).count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == C.HELD_TEXTS
+
+
 def frame(spark, x, parts=5):
     return spark.createDataFrame([(f"N{k}", [float(v) for v in row]) for k, row in enumerate(x)], "id string, vector array<double>").repartition(parts)
 
