@@ -47,8 +47,8 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(tokenize(F.col("text"))).alias("token"))
+def tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    return docs.select(key, F.explode(tokenize(F.col("text"))).alias("token"))
 
 
 #: Forms of a lexicon up to which a document's hits are counted inside its row.

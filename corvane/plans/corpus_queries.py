@@ -116,8 +116,9 @@ def _(spark, d):
 
 @query("x1_tokenize", TOKENS_SQL + "SELECT category, count(*) AS n, count(DISTINCT token) AS kinds FROM toks GROUP BY 1")
 def _(spark, d):
-    t = C.tokens(I.corpus(spark, d)).join(I.corpus(spark, d).select("doc_id", "category"), "doc_id")
-    return t.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("token").alias("kinds"))
+    # a row for each token of a category: no document's tokens are joined or sorted
+    kinds = C.tokens(I.corpus(spark, d), "category").groupBy("category", "token").agg(F.count("*").alias("n"))
+    return kinds.groupBy("category").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
 
 
 @query("x2_project_sparse", SHARES_SQL + "SELECT doc_id, grp AS \"group\", hits, round(share, 9) AS share FROM shares")

@@ -118,6 +118,14 @@ def test_norm_of_a_unit_vector_is_found_once(spark):
     assert [r["u"] for r in found.collect()] == [[0.6, 0.8], [0.0, 0.0], None, []]
 
 
+def test_tokens_of_equal_ids_are_counted_once(spark, tmp_path):
+    rows = [(1, "en", "a b a"), (1, "en", "c"), (2, "fr", "a"), (3, "de", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["x1_tokenize"](spark, str(tmp_path))
+    assert "Join" not in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == [("A", 4, 3), ("B", 1, 1)]
+
+
 def test_texts_are_compressed_in_batches_of_bounded_bytes(spark):
     docs = spark.createDataFrame([(1, "ab" * 50), (2, "abc" * 40)], "doc_id long, text string")
     assert C.ncd(spark.createDataFrame([(1, 2)], "a long, b long"), docs).count() == 1
