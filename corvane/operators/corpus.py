@@ -169,6 +169,10 @@ def ncd(pairs: DataFrame, texts: DataFrame, codec: str = "zlib") -> DataFrame:
 BLOCK = 1 << 14
 #: Bytes of texts, and blocks, that one group of comparisons holds.
 HELD_TEXTS, HELD_BLOCKS = 1 << 23, 64
+#: Bytes of texts of a group, as far as held texts allow: some three seconds' work for three blocks, so that no core waits long for another's group.
+DEALT_TEXTS = 1 << 21
+#: Tasks that the groups are dealt to, two for each up to this number, so that few tasks get several.
+MOST_TASKS = 1000
 
 
 def reference_blocks(texts: DataFrame, order: str, block: int = BLOCK) -> DataFrame:
@@ -196,37 +200,51 @@ def reference_blocks(texts: DataFrame, order: str, block: int = BLOCK) -> DataFr
     return found if total else spark.createDataFrame([(0, b"")], "block long, reference binary")
 
 
+def zlib_sizes(text: bytes, blocks: list[bytes]) -> tuple[int, list[int]]:
+    """``CODECS["zlib"]`` of a text alone and before each block, going over the text once and carrying on from there."""
+    packer = zlib.compressobj(9)
+    n = len(packer.compress(text))
+
+    def then(more: bytes) -> int:
+        own = packer.copy()
+        return n + len(own.compress(more)) + len(own.flush())
+
+    return then(b""), [then(b) for b in blocks]
+
+
 def ncd_to_reference(docs: DataFrame, blocks: DataFrame, codec: str = "zlib") -> DataFrame:
     """1 - distance of each text to the reference: the mean over all its blocks, by their bytes.
 
-    Texts and blocks are dealt to pairs of groups of bounded size; one block gives the distance to it.
+    Equal texts are compared once. Texts and blocks are dealt to pairs of groups of bounded size; one block gives the distance to it.
     """
     size = CODECS[codec]
-    alone = F.pandas_udf(lambda s: s.map(lambda t: size(bytes(t))).astype("int64"), "long")
-    numbered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    keyed = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("sha", F.sha2("text", 256))
+    known = keyed.where(F.col("text").isNotNull())
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups, parts = -(-blocks.count() // HELD_BLOCKS), n_bytes // HELD_TEXTS + 1
-    pair = ["part", "group"]
-    # null texts have no nearness
-    x = numbered.where(F.col("text").isNotNull()).withColumn("size", alone("text")).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    groups, parts = -(-blocks.count() // HELD_BLOCKS), n_bytes // min(DEALT_TEXTS, HELD_TEXTS) + 1
+    pair, tasks = ["part", "group"], min(2 * groups * parts, MOST_TASKS)
+    x = known.select("sha", "text").distinct().withColumn("part", F.pmod(F.xxhash64("sha"), F.lit(parts)).cast("long"))
     x = x.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    y = blocks.withColumn("own", alone("reference")).withColumn("group", F.pmod(F.col("block"), F.lit(groups)).cast("long"))
+    y = blocks.withColumn("group", F.pmod(F.col("block"), F.lit(groups)).cast("long"))
     y = y.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def near(texts: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        out, some = [], some.sort_values("block")
-        for text, c in zip(texts["text"], texts["size"], strict=True):
-            total = 0.0
-            for reference, own in zip(some["reference"], some["own"], strict=True):
-                total += max(1, len(reference)) * (1 - (size(bytes(text) + bytes(reference)) - min(c, own)) / max(c, own))
-            out.append(total)
-        weight = int(some["reference"].map(lambda b: max(1, len(b))).sum())
-        return pd.DataFrame({"row": texts["row"], "doc_id": texts["doc_id"], "near": out, "weight": weight}, columns=["row", "doc_id", "near", "weight"])
-
-    schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, near double, weight long"
-    found = x.groupBy(*pair).cogroup(y.groupBy(*pair)).applyInPandas(near, schema)
-    missing = numbered.where(F.col("text").isNull()).select("row", "doc_id", F.lit(None).cast("double").alias("near"), F.lit(1).cast("long").alias("weight"))
-    return found.unionByName(missing).groupBy("row", "doc_id").agg((F.sum("near") / F.sum("weight")).alias("nearness")).drop("row")
+        references = [bytes(b) for b in some.sort_values("block")["reference"]]
+        own, weights = [size(b) for b in references], [max(1, len(b)) for b in references]
+        out = []
+        for text in texts["text"]:
+            text = bytes(text)
+            c, both = zlib_sizes(text, references) if codec == "zlib" else (size(text), [size(text + b) for b in references])
+            out.append(sum(w * (1 - (z - min(c, o)) / max(c, o)) for w, z, o in zip(weights, both, own, strict=True)))
+        return pd.DataFrame({"sha": texts["sha"], "near": pd.Series(out, dtype="float64"), "weight": sum(weights)}, columns=["sha", "near", "weight"])
+
+    # a number of tasks of its own, as small texts take long
+    found = x.repartition(tasks, *pair).groupBy(*pair).cogroup(y.repartition(tasks, *pair).groupBy(*pair)).applyInPandas(near, "sha string, near double, weight long")
+    # written, so that texts are shuffled for the join alone and many copies of one can be split
+    nearness = kept(found.groupBy("sha").agg((F.sum("near") / F.sum("weight")).alias("nearness")))
+    # null texts have no nearness
+    missing = keyed.where(F.col("text").isNull()).select("doc_id", F.lit(None).cast("double").alias("nearness"))
+    return known.select("doc_id", "sha").join(nearness, "sha").select("doc_id", "nearness").unionByName(missing)
 
 
 def split_reference(docs: DataFrame, seed: str = "seed") -> DataFrame:

@@ -161,6 +161,35 @@ def test_distance_to_the_whole_reference(spark, monkeypatch):
     assert C.reference_blocks(table.limit(0), "item_id").collect()[0]["reference"] == b""
 
 
+def test_copies_are_compared_once(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "calls")
+
+    def size(b):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return 10 + len(b)
+
+    monkeypatch.setitem(C.CODECS, "counted", size)
+    docs = spark.createDataFrame([(k, f"text {k % 3}") for k in range(300)] + [(300, None), (300, None)], "doc_id long, text string")
+    blocks = spark.createDataFrame([(0, b"one"), (1, b"two and")], "block long, reference binary")
+    got = C.ncd_to_reference(docs, blocks, "counted").collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(300), 300, 300]
+    assert {r["nearness"] is None for r in got if r["doc_id"] == 300} == {True}
+    # each text by itself and before each block, and the blocks: before, 300 texts
+    with open(log) as f:
+        assert sum(1 for _ in f) <= 3 * 3 + 2 * 3
+
+
+def test_sizes_from_a_kept_state():
+    rng = np.random.default_rng(8)
+    prose = lambda n: b" ".join(b"word%d" % w for w in rng.zipf(1.4, n) % 900)
+    texts = [b"", b"a", prose(50), prose(3000), prose(9000), prose(30_000), rng.bytes(40_000), rng.bytes(70_000) + prose(4000), b"z" * 100_000, prose(5000) * 9]
+    blocks = [b"", b"b", prose(2500), rng.bytes(1 << 14), b"z" * (1 << 14), texts[3][-9000:]]
+    size = C.CODECS["zlib"]
+    for t in texts:
+        assert C.zlib_sizes(t, blocks) == (size(t), [size(t + b) for b in blocks])
+
+
 def test_rank_test_without_a_side(spark):
     df = spark.createDataFrame([("A", 1.0), ("A", 2.0)], "category string, x double")
     r = C.mann_whitney(df, "x", F.col("category") == "A", F.col("category") == "B").first()
