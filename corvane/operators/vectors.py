@@ -298,11 +298,14 @@ def sigma_by_provider(variances: DataFrame) -> DataFrame:
 
 
 def coupling_report(gated: DataFrame, edges: DataFrame) -> DataFrame:
-    """Share that passes and mean variance for each provider, over all (category ``all``) and for each label; its edges and their density; and the spread of the shares over all."""
+    """Share that passes and mean variance for each provider, over all (category ``all``) and for each label; its edges and their density; and the spread of the shares over all.
+
+    ``edges`` has their number for each provider that has any.
+    """
     grouped = gated.groupingSets([["provider"], ["provider", "label"]], "provider", "label").agg(F.avg(F.col("passed").cast("int")).alias("kappa"), F.avg("variance").alias("sigma"), F.count("*").alias("n"), F.grouping("label").alias("whole"))
     named = grouped.withColumn("category", F.when(F.col("whole") == 1, "all").otherwise(F.col("label").cast("string")))
     # a row for each provider
-    whole = named.where("whole = 1").select("provider", "n", "kappa").join(edges.groupBy("provider").agg(F.count("*").alias("edges")), "provider", "left")
+    whole = named.where("whole = 1").select("provider", "n", "kappa")
     spread = whole.agg((F.max("kappa") - F.min("kappa")).alias("coupling"))
-    per = whole.select("provider", F.coalesce("edges", F.lit(0)).alias("edges"), density(F.coalesce("edges", F.lit(0)), F.col("n")).alias("density"))
+    per = whole.join(edges.select("provider", "edges"), "provider", "left").select("provider", F.coalesce("edges", F.lit(0)).alias("edges"), density(F.coalesce("edges", F.lit(0)), F.col("n")).alias("density"))
     return named.join(F.broadcast(per), "provider").crossJoin(F.broadcast(spread)).select("provider", "category", "kappa", "sigma", "edges", "density", "coupling")

@@ -410,6 +410,6 @@ def _(spark, d):
     vecs = runs(spark, d)
     gated = O.evaluate_gate(O.vector_variances(vecs, I.axes(spark, d), ["provider", "vec_id", "label"]), O.calibrate_threshold(I.axes(spark, d)), F.lit(True))
     # pairs of one provider only, all providers in one pass
-    edges = E.near_edges(vecs.select("provider", F.format_string("%019d", "vec_id").alias("id"), "vector"), [1.2], by="provider").select(F.col("key").alias("provider"))
+    edges = E.near_counts(vecs.select("provider", F.format_string("%019d", "vec_id").alias("id"), "vector"), [1.2], by="provider").select(F.col("key").alias("provider"), F.col("n").alias("edges"))
     found = O.coupling_report(gated, edges)
     return found.select("provider", "category", F.round("kappa", 6).alias("kappa"), F.round("sigma", 6).alias("sigma"), "edges", F.round("density", 4).alias("density"), F.round("coupling", 6).alias("coupling"))
