@@ -241,3 +241,21 @@ def test_bimodality_by_the_formula(spark, data):
     like = np.sum(-0.5 * np.log(2 * np.pi * values.var()) - (values - values.mean()) ** 2 / (2 * values.var()))
     assert bic[1] == pytest.approx(-2 * like + 2 * np.log(len(values)))
     assert bic[2] - 5 * np.log(len(values)) <= bic[1] - 2 * np.log(len(values)) + 1e-6
+
+
+def test_spectral_gaps_of_equal_texts_are_solved_once(spark):
+    texts = [(1, "abcabca"), (2, "ABCabca"), (None, "abcabca"), (3, "xyzzy xyz"), (4, "abab ac"), (4, "abcabca"), (5, "abcabca"), (5, "abab ac"), (6, "abab ac"), (7, "ab"), (None, "xy"), (8, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    keys, distinct = C.distinct_documents(docs, 2)
+    # of the ids 1, 2, None; of 3; of 4 and 5, which have two texts; of 6
+    assert distinct.select("doc_id").distinct().count() == 4 and distinct.count() == 5
+    assert keys.count() == 7 and keys.select("key").distinct().count() == 4
+    got = {}
+    for r in C.spectral_gap(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["states"], r["gap"], r["second"], r["entropy"]))
+    assert len(got[None]) == 2 and (0, 0.0, 0.0, 0.0) in got[None] and got[7] == got[8] == [(0, 0.0, 0.0, 0.0)]
+    same = lambda a, b: all(x == y or x != x and y != y for x, y in zip(a, b, strict=True))
+    assert same(got[1][0], got[2][0]) and any(same(got[1][0], one) for one in got[None]) and same(got[4][0], got[5][0]) and not same(got[4][0], got[6][0])
+    for doc_id, text in ((1, "abcabca"), (3, "xyzzy xyz"), (6, "abab ac")):
+        gap, second, states, _ = gap_by_force(text)
+        assert got[doc_id][0][0] == states and got[doc_id][0][1:3] == pytest.approx((gap, second), abs=1e-8)
